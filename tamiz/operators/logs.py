@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.functions import fixed_values as V
 from tamiz.functions import logtext as L
 from tamiz.functions.personal import clip, redact_literals
 from tamiz.operators.ordered import CHUNK, first_rows, running, running_sum
+from tamiz.session import durable
 
 
 def _kept(kind: Column, level: Column, text: Column, stamp: Column, levels: list[str],
@@ -25,44 +26,45 @@ def _kept(kind: Column, level: Column, text: Column, stamp: Column, levels: list
 
 def tag_headers(lines: DataFrame, levels: list[str] | None = None, since: str | None = None,
                 chunk: int = CHUNK) -> DataFrame:
-    """Give every line of ``(file, line_no, text)`` the header it belongs to.
+    """Headers in force of ``(file, line_no, text)``: kind, stamp, whether the event is kept and the
+    line of the next header.
 
-    While a kept labelled header is open only another labelled header ends it, so header tests run
-    in two passes: the labelled header in force first, then the stamped headers outside it.
+    While a kept labelled header is open only another labelled header ends it; a bare exception line
+    opens an event only where its file has shown no header yet. Only the few lines that could be
+    headers are ordered, without their text, and they are stored first so the log is read once.
     """
     levels = levels or V.LOG_LEVELS
     text = F.col("text")
     level, stamp = L.header_level(text), L.header_stamp(text)
-    labelled = F.when(L.is_labelled(text), F.struct(
-        F.col("line_no").alias("line"), F.lit(L.LABELLED).alias("kind"), stamp.alias("stamp"),
-        _kept(F.lit(L.LABELLED), level, text, stamp, levels, since).alias("kept")))
-    first = running(lines, ["file"], "line_no", {"lab": (labelled, "last")}, chunk)
-
-    inside = F.coalesce(F.col("lab.kept"), F.lit(False))
-    stamped = F.when(~inside & ~L.is_labelled(text) & L.is_stamped(text), F.struct(
-        F.col("line_no").alias("line"), F.lit(L.STAMPED).alias("kind"), stamp.alias("stamp"),
-        _kept(F.lit(L.STAMPED), level, text, stamp, levels, since).alias("kept")))
-    bare = F.when(F.col("lab").isNull() & L.names_exception(text), F.col("line_no"))
-    second = running(first, ["file"], "line_no", {"sta": (stamped, "last"), "dump": (bare, "min")}, chunk)
-
-    header = F.when(F.col("lab.line") > F.coalesce(F.col("sta.line"), F.lit(0)), F.col("lab")).otherwise(
-        F.coalesce(F.col("sta"), F.col("lab")))
-    opened = F.when(F.col("head").isNull() & F.col("dump").isNotNull(), F.struct(
-        F.col("dump").alias("line"), F.lit(L.PLAIN).alias("kind"), F.lit("").alias("stamp"),
-        F.lit(True).alias("kept"))).otherwise(F.col("head"))
-    return (second.withColumn("head", header).withColumn("head", opened)
-            .drop("lab", "sta", "dump"))
+    lab, sta, exc = L.is_labelled(text), L.is_stamped(text), L.names_exception(text)
+    kind = F.when(lab, L.LABELLED).when(sta, L.STAMPED).otherwise(L.PLAIN)
+    candidates = durable(lines.where(lab | sta | exc).select(
+        "file", "line_no", kind.alias("kind"), F.when(lab | sta, stamp).otherwise("").alias("stamp"),
+        (~(lab | sta) | _kept(kind, level, text, stamp, levels, since)).alias("kept")))
+
+    is_lab, is_plain = F.col("kind") == L.LABELLED, F.col("kind") == L.PLAIN
+    seen = running(candidates, ["file"], "line_no", {
+        "open_lab": (F.when(is_lab, F.struct(F.col("kept").alias("kept"))), "last"),
+        "first_head": (F.when(~is_plain, F.col("line_no")), "min"),
+        "first_bare": (F.when(is_plain, F.col("line_no")), "min")}, chunk)
+    inside = F.coalesce(F.col("open_lab.kept"), F.lit(False))
+    heads = seen.where(is_lab | ((F.col("kind") == L.STAMPED) & ~inside)
+                       | (is_plain & F.col("first_head").isNull() & (F.col("line_no") == F.col("first_bare"))))
+    heads = heads.select("file", "line_no", "kind", "stamp", "kept", (-F.col("line_no")).alias("back"))
+    return running(heads, ["file"], "back", {"next_line": (F.col("line_no"), "last")}, chunk,
+                   exclusive=True).drop("back")
 
 
 def assemble_events(lines: DataFrame, levels: list[str] | None = None, since: str | None = None,
                     chunk: int = CHUNK) -> DataFrame:
     """Lines to ``(file, line_no, kind, stamp, lines)``: a header and what follows it, 40 lines at
     most; lines of a passed-over header are passed over too."""
-    tagged = tag_headers(lines, levels, since, chunk).where("head.kept")
-    offset = F.col("line_no") - F.col("head.line")
-    return (tagged.where(offset < V.EVENT_LINES)
-            .groupBy("file", F.col("head.line").alias("event_line"), F.col("head.kind").alias("kind"),
-                     F.col("head.stamp").alias("stamp"))
+    heads = tag_headers(lines, levels, since, chunk).where("kept")
+    most = F.col("line_no") + (V.EVENT_LINES - 1)
+    members = heads.select("file", F.col("line_no").alias("event_line"), "kind", "stamp", F.explode(
+        F.sequence(F.col("line_no"), F.least(most, F.col("next_line") - 1))).alias("line_no"))
+    return (members.join(lines.select("file", "line_no", "text"), ["file", "line_no"])
+            .groupBy("file", "event_line", "kind", "stamp")
             .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
             .select("file", F.col("event_line").alias("line_no"), "kind", "stamp",
                     F.col("ls.text").alias("lines")))
@@ -130,7 +132,6 @@ def scan_cap(lines: DataFrame, max_lines: int) -> DataFrame:
     place = running_sum(
         files.groupBy("age").agg(F.sum("n").alias("n")), [], "age", F.col("n"), "upto", 3600 * 1000000)
     slices = place.select("age", (F.col("upto") - F.col("n")).alias("start"))
-    from pyspark.sql import Window
     same = Window.partitionBy("age").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     budget = (files.join(slices, "age")
               .withColumn("used", F.col("start") + F.coalesce(F.sum("n").over(same), F.lit(0)))

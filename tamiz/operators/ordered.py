@@ -14,9 +14,10 @@ CHUNK = 65536
 
 
 def running(df: DataFrame, group: list[str], order: str, specs: dict[str, tuple[Column, str]],
-            chunk: int = CHUNK) -> DataFrame:
+            chunk: int = CHUNK, exclusive: bool = False) -> DataFrame:
     """Add one column per spec: the last non-null value up to each row ('last') or the least one
-    ('min'). ``order`` is a whole number, unique in its group."""
+    ('min'); ``exclusive`` leaves the row itself out. ``order`` is a whole number, unique in its
+    group. The input is read twice: hand in a stored table when it is dear to compute."""
     marked = df.withColumn("__chunk", F.floor(F.col(order) / chunk))
     for name, (value, _) in specs.items():
         marked = marked.withColumn(f"__{name}", value)
@@ -29,7 +30,7 @@ def running(df: DataFrame, group: list[str], order: str, specs: dict[str, tuple[
     carried = summary.select(*cells, *[
         (F.last(f"__sum_{n}", ignorenulls=True) if how == "last" else F.min(f"__sum_{n}")).over(before)
         .alias(f"__carry_{n}") for n, (_, how) in specs.items()])
-    inside = Window.partitionBy(*cells).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*cells).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     joined = marked.join(carried, cells, "left")
     out = joined.select(*df.columns, *[
         (F.coalesce(F.last(f"__{n}", ignorenulls=True).over(inside), F.col(f"__carry_{n}"))

@@ -289,7 +289,7 @@ def _runs(words: Column, size: int) -> Column:
 
 
 def _keys(items: Column, k: int) -> Column:
-    hashes = F.array_distinct(F.transform(items, F.xxhash64))
+    hashes = F.array_distinct(F.transform(items, lambda t: F.xxhash64(t)))
     return F.transform(hashes, lambda h: F.struct(F.lit(k).alias("k"), h.alias("key")))
 
 
