@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["personal", "logs"]
+AREAS = ["personal", "logs", "history"]
 
 
 def _merged(attribute: str) -> dict:
