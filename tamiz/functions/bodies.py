@@ -11,8 +11,8 @@ from tamiz.functions import fixed_values as V
 def normalise_body(col: Column) -> Column:
     """Newlines to LF, lines cut on the right, ends trimmed; indentation stays."""
     lf = F.regexp_replace(F.coalesce(col, F.lit("")), r"\r\n?", "\n")
-    cut = F.regexp_replace(lf, r"[^\S\n]+(?=\n|\z)", "")
-    return F.regexp_replace(cut, r"^\s+|\s+\z", "")
+    cut = F.regexp_replace(lf, r"(?U)[[^\S\n]\x{1c}-\x{1f}]+(?=\n|\z)", "")
+    return F.regexp_replace(cut, r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z", "")
 
 
 def body_signature(col: Column, section: Column | None = None) -> Column:
