@@ -90,7 +90,7 @@ def _dominant(prefix: str) -> Column:
     """Form a column shows: any strong hit, else the most frequent weak form with its share."""
     at = lambda s: F.col(f"{prefix}_{s}")
     strong = [F.when(at(s) > 0, F.lit(s)) for s in V.STRONG_SHAPES]
-    weak = [F.when((at(f"{s}") / at("n") >= V.WEAK_SHARE) & (at("n") > 0), at(s)) for s in V.WEAK_SHAPES]
+    weak = [F.when((at(s) > 0) & (at(s) >= at("n") * V.WEAK_SHARE), at(s)) for s in V.WEAK_SHAPES]
     best = F.greatest(*weak)
     return F.coalesce(*strong, *[F.when((w == best) & (w > 0), F.lit(s)) for s, w in zip(V.WEAK_SHAPES, weak)])
 

@@ -26,6 +26,11 @@ def _expr(sql):
     return F.expr(sql.replace("TXT", "STRING"))
 
 
+def _as_text(df, *columns):
+    """Nullable flags and numbers as text, so that NULLs compare alike everywhere."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def database(spark, folder):
     return table(spark, folder, "part").select(
         _expr(TABLE).alias("table"), _expr(COLUMN).alias("column"), _expr(TYPE).alias("type"), (F.col("p_size") > 5).alias("nullable"))
@@ -38,7 +43,8 @@ def model(spark, folder):
 
 
 def schema_drift(spark, folder):
-    return O.schema_drift(database(spark, folder), model(spark, folder))
+    out = O.schema_drift(database(spark, folder), model(spark, folder))
+    return _as_text(out, "db_nullable", "model_nullable")
 
 
 def drift_labels(spark, folder):
@@ -67,7 +73,8 @@ def change_plan(spark, folder):
     relations = table(spark, folder, "part").where("p_size = 20").select(
         _expr(MODEL_TABLE).alias("source_table"), _expr(MODEL_COLUMN).alias("source_column"),
         F.lit("parts").alias("target_table"), F.col("p_brand").alias("target_column"))
-    return O.change_plan(schema_drift(spark, folder), relations, _indexes(spark, folder, "X"))
+    drift = O.schema_drift(database(spark, folder), model(spark, folder))
+    return O.change_plan(drift, relations, _indexes(spark, folder, "X"))
 
 
 def model_deviation(spark, folder):
@@ -107,7 +114,7 @@ def _sections(spark, folder):
 
 
 def coverage(spark, folder):
-    return O.coverage(*_sections(spark, folder))
+    return _as_text(O.coverage(*_sections(spark, folder)), "real")
 
 
 def merge_coverage(spark, folder):
@@ -115,7 +122,7 @@ def merge_coverage(spark, folder):
     new = O.coverage(real, captured, excluded).where("section <> 'Brand#3'")
     old = (O.coverage(real, captured.withColumn("captured", F.lit(0).cast("bigint")), excluded)
            .withColumn("origin", F.lit("tables")).withColumn("date", F.lit("2026-01-01")))
-    return O.merge_coverage(old, new, "objects", "2026-02-01")
+    return _as_text(O.merge_coverage(old, new, "objects", "2026-02-01"), "real")
 
 
 def _old(spark, folder):
@@ -133,7 +140,7 @@ def _fresh(spark, folder):
 
 
 def merge_schema(spark, folder):
-    return O.merge_schema(_old(spark, folder), _fresh(spark, folder))
+    return _as_text(O.merge_schema(_old(spark, folder), _fresh(spark, folder)), "pk_pos", "pii", "safe", "nullable")
 
 
 def refresh_subset(spark, folder):
@@ -141,12 +148,12 @@ def refresh_subset(spark, folder):
         table(spark, folder, "nation").select(F.col("n_name").alias("table")))
     out, status = O.refresh_subset(_old(spark, folder), _fresh(spark, folder), names)
     a = out.groupBy("table").agg(F.count("*").alias("columns"), F.count_if(F.col("description") != "").alias("described"))
-    return status.join(a, "table", "full_outer")
+    return _as_text(status.join(a, "table", "full_outer"), "columns", "described")
 
 
 def mark_visibility(spark, folder):
     tables = table(spark, folder, "part").select(_expr(MODEL_TABLE).alias("table")).distinct().withColumn("visible", F.lit(None).cast("boolean"))
-    return O.mark_visibility(tables, database(spark, folder), "2026-03-01")
+    return _as_text(O.mark_visibility(tables, database(spark, folder), "2026-03-01"), "visible")
 
 
 def merge_indexes(spark, folder):
@@ -301,7 +308,7 @@ def _ix(by):
 
 
 ORACLE = {
-    "q_schema_drift": f"WITH {_DRIFT} SELECT * FROM drift",
+    "q_schema_drift": f"""WITH {_DRIFT} SELECT "table", "column", change, db_type, model_type, db_nullable::VARCHAR AS db_nullable, model_nullable::VARCHAR AS model_nullable FROM drift""",
     "q_drift_labels": f"""WITH {_LOOSE}, o AS (SELECT DISTINCT {_v(TABLE)} AS t FROM part WHERE p_brand = 'Brand#1')
 SELECT "table", "column", CASE change WHEN 'table only in database' THEN CASE WHEN "table" IN (SELECT t FROM o) THEN 'ORPHAN_RECOVERED' ELSE 'NEW_TABLE' END
   WHEN 'table only in model' THEN 'MISSING' WHEN 'column only in database' THEN 'NEW_COL' ELSE 'REMOVED_COL' END AS label FROM drift WHERE change <> 'modified'
@@ -330,21 +337,21 @@ SELECT change, count(*) AS count, string_agg(name, ',' ORDER BY name) FILTER (rn
   WHEN 'LARGE' THEN CASE WHEN p_size > 10 THEN 'RAW(' || p_size || ')' ELSE 'RAW' END ELSE 'DATE' END AS rendered,
   CASE p_type WHEN 'SMALL' THEN 'VARCHAR2(' || p_size || ')' WHEN 'MEDIUM' THEN CASE WHEN p_size % 3 > 0 THEN 'NUMBER(' || p_size || ',' || (p_size % 3) || ')' ELSE 'NUMBER(' || p_size || ')' END
   WHEN 'LARGE' THEN 'RAW' ELSE 'DATE' END AS built FROM part""",
-    "q_coverage": f"WITH {_COVER} SELECT * FROM cov",
-    "q_merge_coverage": f"""WITH {_COVER} SELECT section, real, CASE WHEN section = 'Brand#3' THEN 0 ELSE captured END AS captured, excluded, reason,
+    "q_coverage": f"WITH {_COVER} SELECT section, real::VARCHAR AS real, captured, excluded, reason, gap FROM cov",
+    "q_merge_coverage": f"""WITH {_COVER} SELECT section, real::VARCHAR AS real, CASE WHEN section = 'Brand#3' THEN 0 ELSE captured END AS captured, excluded, reason,
   CASE WHEN section = 'Brand#3' THEN greatest(0, coalesce(real, 0) - excluded) ELSE gap END AS gap, CASE WHEN section = 'Brand#3' THEN 'tables' ELSE 'objects' END AS origin,
   CASE WHEN section = 'Brand#3' THEN '2026-01-01' ELSE '2026-02-01' END AS date FROM cov""",
     "q_merge_schema": f"""WITH {_OLD} SELECT coalesce(f.t, o.t) AS "table", coalesce(f.c, o.c) AS "column", CASE WHEN f.t IS NOT NULL THEN f.ty ELSE o.ty END AS type,
-  CASE WHEN f.t IS NOT NULL THEN f.nu ELSE true END AS nullable, f.pk AS pk_pos, coalesce(o.d, '') AS description, o.pii, o.safe,
+  (CASE WHEN f.t IS NOT NULL THEN f.nu ELSE true END)::VARCHAR AS nullable, f.pk::VARCHAR AS pk_pos, coalesce(o.d, '') AS description, o.pii::VARCHAR AS pii, o.safe::VARCHAR AS safe,
   CASE WHEN f.t IS NOT NULL THEN 'db' ELSE 'kept' END AS source
 FROM old o FULL JOIN fr f ON o.t = f.t AND o.c = f.c WHERE f.t IS NOT NULL OR o.t NOT IN (SELECT t FROM fr)""",
     "q_refresh_subset": f"""WITH {_OLD}, w AS (SELECT DISTINCT {_v(TABLE)} AS t FROM part WHERE p_name LIKE 'red%' UNION SELECT upper(n_name) FROM nation),
 p AS (SELECT DISTINCT t FROM fr WHERE t IN (SELECT t FROM w)),
 o AS (SELECT t, d FROM old WHERE t NOT IN (SELECT t FROM p) UNION ALL SELECT t, '' FROM fr WHERE t IN (SELECT t FROM p)),
 a AS (SELECT t, count(*) AS columns, count(*) FILTER (d <> '') AS described FROM o GROUP BY t)
-SELECT coalesce(w.t, a.t) AS "table", CASE WHEN w.t IS NULL THEN NULL WHEN w.t IN (SELECT t FROM p) THEN 'updated' ELSE 'not_in_db' END AS status, a.columns, a.described
+SELECT coalesce(w.t, a.t) AS "table", CASE WHEN w.t IS NULL THEN NULL WHEN w.t IN (SELECT t FROM p) THEN 'updated' ELSE 'not_in_db' END AS status, a.columns::VARCHAR AS columns, a.described::VARCHAR AS described
 FROM w FULL JOIN a ON w.t = a.t""",
-    "q_mark_visibility": f"""SELECT "table", CASE WHEN gone THEN false END AS visible, CASE WHEN gone THEN '2026-03-01' END AS visible_check
+    "q_mark_visibility": f"""SELECT "table", CASE WHEN gone THEN 'false' END AS visible, CASE WHEN gone THEN '2026-03-01' END AS visible_check
 FROM (SELECT DISTINCT {_v(MODEL_TABLE)} AS "table", p_name LIKE 'hot%' AS gone FROM part)""",
     "q_merge_indexes": f"""WITH o AS ({_ix('X')}), d AS (SELECT * FROM ({_ix('Y')}) WHERE t LIKE 'RED%')
 SELECT t AS "table", n AS name, cols AS columns, u AS "unique", s AS source FROM o WHERE s = 'manual' OR t NOT IN (SELECT t FROM d)

@@ -213,7 +213,7 @@ def text_changes(spark, folder):
         .otherwise(F.concat(F.lit("k"), key)).alias("control"),
         F.when(debt, F.col("c_name")).when(seg == "MACHINERY", F.concat(F.lit("new "), "c_name"))
         .when(seg == "BUILDING", F.concat("c_name", F.lit("*"))).otherwise(F.col("c_name")).alias("text"))
-    return K.classify_text_changes(old, new, old.select("id", "control"))
+    return K.classify_text_changes(old, new, old.select("id", "control")).withColumn("id", F.col("id").cast("string"))
 
 
 def runs(spark, folder):
@@ -371,7 +371,7 @@ JOIN t ON t.label = l.label AND length(t.label) % 3 <> 0 LEFT JOIN k ON k.page =
 SELECT CASE WHEN c_acctbal < 0 THEN 'm' WHEN c_mktsegment = 'MACHINERY' THEN 'n' ELSE 'k' END || c_custkey AS control,
   CASE WHEN c_acctbal < 0 THEN 'relink' WHEN c_mktsegment = 'MACHINERY' THEN 'add' WHEN c_mktsegment <> 'BUILDING' THEN 'same'
     WHEN n <= 1 THEN 'update' ELSE 'new id and relink' END AS action,
-  CASE WHEN c_acctbal >= 0 AND c_mktsegment = 'MACHINERY' THEN NULL ELSE id END AS id FROM o JOIN u USING (id)""",
+  (CASE WHEN c_acctbal >= 0 AND c_mktsegment = 'MACHINERY' THEN NULL ELSE id END)::VARCHAR AS id FROM o JOIN u USING (id)""",
     "q_run_summary": f"""WITH {_RUNS} SELECT count(*) AS total, count(*) FILTER (lower(status) = 'success') AS success, count(*) FILTER (status = 'fail') AS fail,
   count(*) FILTER (status = 'partial') AS partial, min(substr(timestamp, 1, 10)) AS period_from, max(substr(timestamp, 1, 10)) AS period_to,
   round(count(*) FILTER (lower(status) = 'success') * 100 / count(*), 2) AS success_pct FROM runs""",

@@ -164,7 +164,7 @@ CLIENTS = [G.SeedColumn("id", "bigint", unique=True, nullable=False), G.SeedColu
 def seed_rows(spark, folder):
     """As many synthetic clients as there are customers."""
     n = table(spark, folder, "customer").count()
-    return G.seed_table(spark, CLIENTS, n)
+    return G.seed_table(spark, CLIENTS, n).withColumns({c: F.col(c).cast("string") for c in ("alta", "saldo")})
 
 
 def seed_related(spark, folder):
@@ -255,8 +255,8 @@ FROM orders GROUP BY o_custkey""",
 SELECT 'src/F' || f.o_custkey || '.cs' AS file, count(*) FILTER (t.o_orderpriority = '1-URGENT') AS added, count(*) FILTER (t.o_orderpriority = '2-HIGH') AS removed, count(*) AS lines
 FROM t JOIN orders f ON f.o_orderkey = t.h GROUP BY f.o_custkey""",
     "q_seed": f"""SELECT n AS id, CASE WHEN length('Nombre ' || n) <= 14 THEN 'Nombre ' || n ELSE right('Nombre ' || n, 14) END AS nombre,
-  CASE WHEN {_HEX.format(salt='alta')} % 10 <> 0 THEN DATE '2020-01-01' + ({_HEX.format(salt='alta')} % 1826)::INT END AS alta,
-  CASE WHEN {_HEX.format(salt='saldo')} % 10 <> 0 THEN {_HEX.format(salt='saldo')} % 1000 END AS saldo
+  (CASE WHEN {_HEX.format(salt='alta')} % 10 <> 0 THEN DATE '2020-01-01' + ({_HEX.format(salt='alta')} % 1826)::INT END)::VARCHAR AS alta,
+  (CASE WHEN {_HEX.format(salt='saldo')} % 10 <> 0 THEN {_HEX.format(salt='saldo')} % 1000 END)::VARCHAR AS saldo
 FROM (SELECT unnest(range(900000, 900000 + (SELECT count(*) FROM customer))) AS n)""",
     "q_seed_related": f"""SELECT 900000 + {_HEX.format(salt='orders.client')} % (SELECT count(*) FROM customer) AS id, count(*) AS orders
 FROM (SELECT unnest(range(900000, 900000 + (SELECT count(*) FROM orders))) AS n) GROUP BY 1""",
