@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamiz.functions import fixed_values as V
+from tamiz.functions.personal import BLANK_CHARS, bind, strip
 
 
 def normalise_body(col: Column) -> Column:
     """Newlines to LF, lines cut on the right, ends trimmed; indentation stays."""
-    lf = F.regexp_replace(F.coalesce(col, F.lit("")), r"\r\n?", "\n")
-    cut = F.regexp_replace(lf, r"(?U)[[^\S\n]\x{1c}-\x{1f}]+(?=\n|\z)", "")
-    return F.regexp_replace(cut, r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z", "")
+    lines = F.split(F.coalesce(col, F.lit("")), r"\r\n|\r|\n")
+    return strip(F.array_join(F.transform(lines, lambda l: F.rtrim(l, F.lit(BLANK_CHARS))), "\n"))
 
 
 def body_signature(col: Column, section: Column | None = None) -> Column:
@@ -25,8 +25,12 @@ def body_signature(col: Column, section: Column | None = None) -> Column:
 
 
 def line_count(col: Column) -> Column:
-    body = normalise_body(col)
-    return F.when(body == "", 0).otherwise(F.regexp_count(body, F.lit("\n")) + 1)
+    return lines_in(normalise_body(col))
+
+
+def lines_in(body: Column) -> Column:
+    """Lines of a text already in normal form."""
+    return bind(body, lambda b: F.when(b == "", 0).otherwise(F.size(F.split(b, "\n"))))
 
 
 def clean_name(name: Column) -> Column:

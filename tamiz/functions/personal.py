@@ -13,17 +13,29 @@ from tamiz.functions import fixed_values as V
 
 # Whitespace as text tools see it: Unicode blanks plus the four separator controls.
 BLANKS = r"(?U)[\s\x{1c}-\x{1f}]+"
+BLANK_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
 _WORD = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 # A word edge that does not depend on the JVM release's reading of \b.
 EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
-DNI_IN_TEXT = EDGE + r"(\d{8}[A-HJ-NP-TV-Z])" + EDGE
-NIE_IN_TEXT = EDGE + r"([XYZ]\d{7}[A-HJ-NP-TV-Z])" + EDGE
-IBAN_IN_TEXT = EDGE + r"([A-Z]{2}\d{2}[A-Z0-9]{10,30})" + EDGE
-EMAIL_IN_TEXT = EDGE + r"([^@\s]+@[^@\s]+\.[A-Za-z]{2,})" + EDGE
+# These begin and end with word characters, so their edges are one-sided; the cheap look-ahead
+# spares the look-behind at most places.
+_START, _END = f"(?<!{_WORD})", f"(?!{_WORD})"
+DNI_IN_TEXT = r"(?=\d)" + _START + r"(\d{8}[A-HJ-NP-TV-Z])" + _END
+NIE_IN_TEXT = r"(?=[XYZ]\d)" + _START + r"([XYZ]\d{7}[A-HJ-NP-TV-Z])" + _END
+IBAN_IN_TEXT = r"(?=[A-Z]{2}\d)" + _START + r"([A-Z]{2}\d{2}[A-Z0-9]{10,30})" + _END
+EMAIL_IN_TEXT = EDGE + r"([^@\s]++@[^@\s]+\.[A-Za-z]{2,})" + EDGE
+# Parts of the forms without edges: a text that lacks them cannot hold the form.
+_DNI_HINT, _NIE_HINT, _IBAN_HINT = r"\d{8}[A-Z]", r"[XYZ]\d{7}[A-Z]", r"[A-Z]{2}\d{2}[A-Z0-9]{10}"
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{BLANKS}|{BLANKS}$", "")
+    return F.btrim(col, F.lit(BLANK_CHARS))
 
 
 def squash(col: Column) -> Column:
@@ -45,18 +57,16 @@ def is_blank(col: Column) -> Column:
 def detect_form(col: Column) -> Column:
     """First value shape the trimmed text matches, strong shapes first; NULL when none."""
     text = strip(col)
-    tests = [F.when(text.rlike("(?i)" + rx) if name != "email" else text.rlike(rx), F.lit(name))
-             for name, rx in V.STRONG_SHAPES.items()]
+    tests = [F.when(text.rlike("(?i)" + rx), F.lit(name)) for name, rx in V.STRONG_SHAPES.items() if name != "email"]
     tests += [F.when(text.rlike(rx), F.lit(name)) for name, rx in V.WEAK_SHAPES.items()]
-    # Every shape holds a digit or an at sign: most words never reach the full tests.
-    return F.when(col.rlike("[0-9@]"), F.coalesce(*tests))
+    # Only an e-mail holds an at sign; the others have eight characters at least and digits.
+    return (F.when(col.contains("@"), F.when(text.rlike(V.STRONG_SHAPES["email"]), F.lit("email")))
+            .when((F.length(col) >= 8) & col.rlike("[0-9]{2}"), F.coalesce(*tests)))
 
 
 def is_plain_number(col: Column) -> Column:
     """A quantity or a count; long whole numbers look like identifiers and are refused."""
-    digits = F.regexp_replace(col, "^-", "")
-    whole = ~digits.rlike("[.,]")
-    return col.rlike(V.PLAIN_NUMBER) & ~(whole & (F.length(digits) >= V.IDENTIFIER_DIGITS))
+    return col.rlike(V.PLAIN_NUMBER) & ~col.rlike(rf"^-?\d{{{V.IDENTIFIER_DIGITS},}}$")
 
 
 def _pads(key: bytes) -> tuple[bytes, bytes]:
@@ -95,19 +105,19 @@ def valid_ids(col: Column, pattern: str) -> Column:
     return F.array_distinct(F.filter(found, control_letter_ok))
 
 
-def _replace_ids(col: Column, pattern: str) -> Column:
+def _replace_ids(col: Column, pattern: str, hint: str) -> Column:
     replaced = F.aggregate(
         valid_ids(col, pattern), col,
         lambda acc, hit: F.regexp_replace(acc, F.concat(F.lit(EDGE), hit, F.lit(EDGE)),
                                           F.lit(V.SUPPRESSED)))
-    return F.when(col.rlike(pattern), replaced).otherwise(col)
+    return F.when(col.rlike(hint), replaced).otherwise(col)
 
 
 def redact_text(col: Column) -> Column:
     """Replace identity numbers with a right check letter, then IBANs, then e-mails."""
-    out = _replace_ids(_replace_ids(col, DNI_IN_TEXT), NIE_IN_TEXT)
-    out = F.regexp_replace(out, IBAN_IN_TEXT, V.SUPPRESSED)
-    return F.when(out.contains("@"), F.regexp_replace(out, EMAIL_IN_TEXT, V.SUPPRESSED)).otherwise(out)
+    out = bind(_replace_ids(col, DNI_IN_TEXT, _DNI_HINT), lambda t: _replace_ids(t, NIE_IN_TEXT, _NIE_HINT))
+    out = bind(out, lambda t: F.when(t.rlike(_IBAN_HINT), F.regexp_replace(t, IBAN_IN_TEXT, V.SUPPRESSED)).otherwise(t))
+    return bind(out, lambda t: F.when(t.contains("@"), F.regexp_replace(t, EMAIL_IN_TEXT, V.SUPPRESSED)).otherwise(t))
 
 
 def redact_literals(col: Column) -> Column:
@@ -117,10 +127,11 @@ def redact_literals(col: Column) -> Column:
 
 def personal_counts(col: Column) -> dict[str, Column]:
     """Number of personal values in a text, per form."""
+    ids = lambda rx: F.size(F.filter(F.regexp_extract_all(col, F.lit(rx), F.lit(1)), control_letter_ok))
     return {
-        "dni": F.size(valid_ids(col, DNI_IN_TEXT)),
-        "nie": F.size(valid_ids(col, NIE_IN_TEXT)),
-        "iban": F.regexp_count(col, F.lit(IBAN_IN_TEXT)),
+        "dni": F.when(col.rlike(_DNI_HINT), ids(DNI_IN_TEXT)).otherwise(0),
+        "nie": F.when(col.rlike(_NIE_HINT), ids(NIE_IN_TEXT)).otherwise(0),
+        "iban": F.when(col.rlike(_IBAN_HINT), F.regexp_count(col, F.lit(IBAN_IN_TEXT))).otherwise(0),
         "email": F.when(col.contains("@"), F.regexp_count(col, F.lit(EMAIL_IN_TEXT))).otherwise(0),
     }
 
@@ -146,4 +157,4 @@ def name_matches(name: str, patterns: list[str]) -> bool:
 def clip(col: Column, most: int) -> Column:
     """Control characters to blanks, trim, cut with an ellipsis."""
     text = strip(F.regexp_replace(col, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "))
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    return bind(text, lambda t: F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamiz.functions import fixed_values as V
+from tamiz.functions.personal import bind
 
 _LITERAL = r"'[^']*+(?:''[^']*+)*+(?:'|\z)"
 _COMMENT = r"--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
@@ -36,13 +37,11 @@ def blank_literals(col: Column) -> Column:
 
 def readonly_reason(col: Column) -> Column:
     """Why a statement is refused, or NULL when it only reads."""
-    text = F.btrim(strip_comments(col), F.lit(" \t\r\n\f\u000b"))
-    upper = F.upper(text)
-    bare = F.regexp_replace(F.rtrim(text, F.lit(";")), r"'[^']*+(?:'|\z)", "''")
-    return (F.when(~upper.rlike(r"^(SELECT|WITH)") | text.isNull(), F.lit(ONLY_SELECT))
-            .when(upper.rlike(r"^WITH") & upper.rlike(r"\b(INSERT|UPDATE|DELETE|MERGE)\b"),
-                  F.lit(WRITE_IN_CTE))
-            .when(bare.contains(";"), F.lit(MULTI_STATEMENT)))
+    bare = lambda text: F.regexp_replace(F.rtrim(text, F.lit(";")), r"'[^']*+(?:'|\z)", "''")
+    return bind(F.btrim(strip_comments(col), F.lit(" \t\r\n\f\u000b")), lambda text: (
+        F.when(~text.rlike(r"(?i)^(SELECT|WITH)") | text.isNull(), F.lit(ONLY_SELECT))
+        .when(text.rlike(r"(?i)^WITH") & text.rlike(r"(?i)\b(INSERT|UPDATE|DELETE|MERGE)\b"), F.lit(WRITE_IN_CTE))
+        .when(bare(text).contains(";"), F.lit(MULTI_STATEMENT))))
 
 
 def _base_name(raw: Column) -> Column:
@@ -51,25 +50,24 @@ def _base_name(raw: Column) -> Column:
 
 def _list_names(item: Column) -> Column:
     names = F.transform(F.split(item, ","), lambda e: _base_name(F.regexp_extract(e, f"({_NAME})", 1)))
-    tail = F.slice(names, F.lit(2), F.size(names))
-    stop = F.array_position(F.transform(tail, lambda n: n.isin(V.LIST_STOP_WORDS)), True)
-    kept = F.when(stop > 0, F.slice(tail, F.lit(1), (stop - 1).cast("int"))).otherwise(tail)
-    return F.concat(F.slice(names, F.lit(1), F.lit(1)), kept)
+    # The first name always counts; the list ends at the first later word that is not a name.
+    flags = lambda ns: F.transform(ns, lambda n, i: (i > 0) & n.isin(V.LIST_STOP_WORDS))
+    cut = lambda ns: bind(F.array_position(flags(ns), True), lambda stop: F.when(
+        stop > 0, F.slice(ns, F.lit(1), (stop - 1).cast("int"))).otherwise(ns))
+    return bind(names, lambda ns: F.when(F.size(ns) > 1, cut(ns)).otherwise(ns))
 
 
 def sql_tables(col: Column) -> Column:
     """Table names after FROM and JOIN, upper case, no schema, in order, once each."""
-    text = strip_comments(col)
-    lists = F.regexp_extract_all(text, F.lit(_LIST), F.lit(1))
-    names = F.array_distinct(F.flatten(F.transform(lists, _list_names)))
-    return F.when(has_open_literal(text), F.array().cast("array<string>")).otherwise(
-        F.filter(names, lambda n: (n != "DUAL") & (n != "")))
+    lists = lambda text: F.regexp_extract_all(text, F.lit(_LIST), F.lit(1))
+    names = lambda text: F.array_distinct(F.flatten(F.transform(lists(text), _list_names)))
+    return bind(strip_comments(col), lambda text: F.when(has_open_literal(text), F.array().cast("array<string>")).otherwise(
+        F.filter(names(text), lambda n: (n != "DUAL") & (n != ""))))
 
 
 def sql_predicates(col: Column) -> Column:
     """Columns left of a comparator after the first WHERE, upper case, once each."""
-    text = strip_comments(col)
-    body = F.regexp_extract(text, r"(?is)\bWHERE\b(.*)", 1)
-    found = F.regexp_extract_all(body, F.lit(_FILTERED), F.lit(1))
-    return F.when(has_open_literal(text), F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(found, F.upper)))
+    body = lambda text: F.regexp_extract(text, r"(?is)\bWHERE\b(.*)", 1)
+    found = lambda text: F.regexp_extract_all(body(text), F.lit(_FILTERED), F.lit(1))
+    return bind(strip_comments(col), lambda text: F.when(has_open_literal(text), F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.transform(found(text), lambda c: F.upper(c)))))

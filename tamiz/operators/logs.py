@@ -35,12 +35,14 @@ def tag_headers(lines: DataFrame, levels: list[str] | None = None, since: str |
     """
     levels = levels or V.LOG_LEVELS
     text = F.col("text")
-    level, stamp = L.header_level(text), L.header_stamp(text)
-    lab, sta, exc = L.is_labelled(text), L.is_stamped(text), L.names_exception(text)
-    kind = F.when(lab, L.LABELLED).when(sta, L.STAMPED).otherwise(L.PLAIN)
-    candidates = durable(lines.where(lab | sta | exc).select(
-        "file", "line_no", kind.alias("kind"), F.when(lab | sta, stamp).otherwise("").alias("stamp"),
-        (~(lab | sta) | _kept(kind, level, text, stamp, levels, since)).alias("kept")))
+    kind = F.when(L.is_labelled(text), L.LABELLED).when(L.is_stamped(text), L.STAMPED).when(L.names_exception(text), L.PLAIN)
+    # Staged, so that each part of a header is read once.
+    heads = lines.select("file", "line_no", "text", kind.alias("kind")).where("kind IS NOT NULL")
+    heads = heads.select("*", F.when(F.col("kind") != L.PLAIN, L.header_level(text)).otherwise("").alias("level"),
+                         F.when(F.col("kind") != L.PLAIN, L.header_stamp(text)).otherwise("").alias("stamp"))
+    kept = _kept(F.col("kind"), F.col("level"), text, F.col("stamp"), levels, since)
+    candidates = durable(heads.select("file", "line_no", "kind", "stamp",
+                                      ((F.col("kind") == L.PLAIN) | kept).alias("kept")))
 
     is_lab, is_plain = F.col("kind") == L.LABELLED, F.col("kind") == L.PLAIN
     seen = running(candidates, ["file"], "line_no", {
@@ -73,6 +75,7 @@ def assemble_events(lines: DataFrame, levels: list[str] | None = None, since: st
 def describe_events(events: DataFrame) -> DataFrame:
     """Add code, origin, screen, message and the signature of each event."""
     lines, kind = F.col("lines"), F.col("kind")
+    # Written column by column: the optimizer keeps what several later columns need as one step.
     return (events.withColumn("exception", L.error_code(lines, kind))
             .withColumn("origin", L.own_frame(lines))
             .withColumn("screen", L.screen(lines))

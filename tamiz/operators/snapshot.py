@@ -44,11 +44,14 @@ def build_inventory(objects: DataFrame, tables: DataFrame | None = None) -> Data
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "norm"))), lambda p: p["norm"]), "\n")
     packages = (parts.where("section = 'paquetes'").withColumn("norm", B.normalise_body(F.col("body")))
                 .groupBy(*_OBJECT).agg(F.bool_or("disabled").alias("disabled"), joined.alias("body"),
-                                       F.sum(B.line_count(F.col("norm"))).cast("bigint").alias("line_count"))
+                                       F.sum(B.lines_in(F.col("norm"))).cast("bigint").alias("line_count"))
                 .withColumn("signature", B.body_signature(F.col("body"))))
-    single = parts.where("section <> 'paquetes'").select(
-        *_OBJECT, "disabled", "body", B.line_count(F.col("body")).cast("bigint").alias("line_count"),
-        B.body_signature(F.col("body"), F.col("section")).alias("signature"))
+    # The normal form is staged, so that signature and line count share it.
+    plain = parts.where("section <> 'paquetes'").withColumn("norm", B.normalise_body(F.col("body")))
+    signed = F.when(F.col("section") == "secuencias", B.body_signature(F.col("body"), F.col("section"))).otherwise(
+        F.substring(F.sha2("norm", 256), 1, 16))
+    single = plain.select(*_OBJECT, "disabled", "body", B.lines_in(F.col("norm")).cast("bigint").alias("line_count"),
+                          signed.alias("signature"))
     whole = single.unionByName(packages)
     cards = whole.select(*_OBJECT, F.when(F.col("disabled"), "DISABLED").otherwise("VALID").alias("state"), "signature", "line_count")
     if tables is None:

@@ -43,8 +43,8 @@ def match_patterns(lines: DataFrame, patterns: dict[str, list[str]]) -> DataFram
     hits = []
     for symbol, regexes in patterns.items():
         first = F.coalesce(*[F.when(F.col("text").rlike("(?i)" + rx), F.lit(rx)) for rx in regexes])
-        hits.append(F.when(first.isNotNull(), F.struct(F.lit(symbol).alias("symbol"), first.alias("pattern"))))
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+        hits.append(F.struct(F.lit(symbol).alias("symbol"), first.alias("pattern")))
+    found = F.filter(F.array(*hits), lambda h: h["pattern"].isNotNull())
     return (lines.select("file", "line_no", F.trim("text").alias("content"), F.explode(found).alias("h"))
             .select("file", "line_no", "content", "h.symbol", "h.pattern"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.session import local_rows, table
+from tamiz.session import local_rows, spread, table
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -25,9 +25,14 @@ def catalog_of(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     return local_rows(spark, rows, CATALOG_SCHEMA)
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for work on their whole texts."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every document: ``(file, line_no, text)``."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     split = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file"),
                         F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return split.select("file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "text")

@@ -10,6 +10,7 @@ from tamiz.operators import history as H
 from tamiz.operators import seed as G
 from tamiz.operators import snapshot as O
 from tamiz.operators.validate import Field, Structure
+from tamiz.plans.base import documents
 from tamiz.plans.history import runs
 from tamiz.sources import sinks as Z
 from tamiz.sources import text as A
@@ -22,7 +23,7 @@ NAME = """CASE WHEN lang <> 'en' THEN 'D' || CAST(doc_id AS TXT) WHEN doc_id % 4
 
 def editions(spark, folder):
     """Two editions of the documents as objects: some added, removed, changed or disabled."""
-    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    docs = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left")
     base = docs.select(F.expr(SECTION).alias("section"), F.expr(NAME.replace("TXT", "STRING")).alias("name"),
                        F.col("text").alias("body"), "source", F.coalesce("quality", F.lit(0)).alias("quality"),
                        (F.coalesce("toxic", F.lit(0)) == 1).alias("disabled"))
@@ -34,7 +35,7 @@ def editions(spark, folder):
 
 def body_signature(spark, folder):
     text = F.col("text")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", B.body_signature(text).alias("signature"), B.line_count(text).cast("bigint").alias("lines"))
 
 
@@ -69,7 +70,7 @@ def delivery_plan(spark, folder):
 def failed_sections(spark, folder):
     """Differences and cards when reading the French and English objects failed."""
     old, new = editions(spark, folder)
-    errors = table(spark, folder, "documents").where("lang IN ('fr', 'en')").select(F.expr(SECTION).alias("section")).distinct()
+    errors = documents(spark, folder).where("lang IN ('fr', 'en')").select(F.expr(SECTION).alias("section")).distinct()
     before, after = O.build_inventory(old), O.build_inventory(new)
     left = O.drop_failed_sections(O.diff_inventory(before, after), errors).select(
         F.lit("change").alias("what"), "section", "name", F.col("change").alias("detail"))
@@ -80,7 +81,7 @@ def failed_sections(spark, folder):
 
 def compare_trees(spark, folder):
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
-    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    docs = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left")
     a = docs.where("source <> 'src3'").select(path.alias("path"), F.col("text").alias("content"))
     b = docs.where("source <> 'src4'").select(path.alias("path"), F.when(F.col("toxic") == 1, F.concat("text", F.lit("!")))
                                               .otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("content"))

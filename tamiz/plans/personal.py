@@ -8,8 +8,8 @@ from tamiz.functions import personal as P
 from tamiz.functions import sqltext as S
 from tamiz.operators import guard
 from tamiz.operators import personal as O
-from tamiz.plans.base import DEMO_KEY, LINES_SQL, TABLES, catalog_of, document_lines, hmac_sql
-from tamiz.session import table
+from tamiz.plans.base import DEMO_KEY, LINES_SQL, TABLES, catalog_of, document_lines, documents, hmac_sql
+from tamiz.session import spread, table
 
 POLICY = O.Policy.build("enforce", parametric=["NATION", "REGION"])
 
@@ -31,7 +31,8 @@ STATEMENT = """CASE
 
 def statements(spark, folder):
     expr = STATEMENT.replace("VARCHAR(20)", "STRING")
-    return table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", F.expr(expr).alias("sql"))
+    orders = spread(table(spark, folder, "orders"), "o_orderkey")
+    return orders.select("o_orderkey", "o_orderpriority", F.expr(expr).alias("sql"))
 
 
 def guarded_customer_totals(spark, folder):
@@ -57,7 +58,7 @@ def customer_pseudonyms(spark, folder):
 
 
 def detect_forms(spark, folder):
-    words = table(spark, folder, "documents").select(
+    words = documents(spark, folder).select(
         "lang", F.explode(F.split("text", r"[ \n\t\r]+")).alias("word"))
     shaped = words.withColumn("form", P.detect_form(F.col("word"))).where("form IS NOT NULL")
     return shaped.groupBy("lang", "form").agg(F.count("*").alias("words"))
@@ -72,11 +73,11 @@ def scan_columns(spark, folder):
 
 
 def document_personal_counts(spark, folder):
-    return O.personal_totals(table(spark, folder, "documents"), "text", ["lang", "source"])
+    return O.personal_totals(documents(spark, folder), "text", ["lang", "source"])
 
 
 def redact_documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.md5(P.redact_text(F.col("text"))).alias("digest"))
+    return documents(spark, folder).select("doc_id", F.md5(P.redact_text(F.col("text"))).alias("digest"))
 
 
 DERIVED_ID = """lpad(CAST(c_custkey AS VARCHAR(20)), 8, '0') ||
@@ -96,6 +97,7 @@ def column_inventory(spark, folder):
     samples = None
     for name in names:
         df = table(spark, folder, name)
+        df = spread(df, df.columns[0])
         cells = F.array(*[F.struct(F.lit(c).alias("column"), P.as_text(F.col(c), t).alias("value"))
                           for c, t in df.dtypes])
         part = df.select(F.lit(name).alias("table"), F.inline(cells))
@@ -124,7 +126,7 @@ INVENTORY_SQL = "SELECT * FROM (VALUES " + ", ".join(
 
 
 def unresolved_numbers(spark, folder):
-    item = table(spark, folder, "lineitem")
+    item = spread(table(spark, folder, "lineitem"), "l_orderkey")
     sheet = item.select(
         (F.col("l_orderkey") + 100000000).cast("string").alias("contract"), "l_quantity", "l_returnflag",
         F.col("l_partkey").cast("string").alias("part"), F.lit(" ").alias("nothing"))
@@ -148,7 +150,7 @@ PAGE_RULES = [
 
 
 def page_lines(spark, folder):
-    split = table(spark, folder, "pages").select(
+    split = spread(table(spark, folder, "pages"), "page_id").select(
         F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("file"),
         F.posexplode(F.split("html", "\n")).alias("pos", "text"))
     return split.select("file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "text")

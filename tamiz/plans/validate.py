@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamiz.operators import validate as O
-from tamiz.session import local_rows, table
+from tamiz.session import local_rows, spread, table
 
 Field, Structure = O.Field, O.Structure
 
@@ -21,7 +21,7 @@ def order_rows(spark, folder):
            .when(F.col("o_orderpriority") == "5-LOW",
                  F.concat(F.date_format("o_orderdate", "yyyyMM"), F.lpad((F.dayofmonth("o_orderdate") + 9).cast("string"), 2, "0")))
            .otherwise(F.date_format("o_orderdate", "yyyyMMdd")))
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders"), "o_orderkey").select(
         F.concat(F.lit("orders_"), F.year("o_orderdate").cast("string")).alias("file"),
         (F.col("o_orderkey") + 1).alias("line_no"), _text("o_orderkey").alias("id"), _text("o_custkey").alias("cust"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).otherwise("").alias("status"),
@@ -49,7 +49,7 @@ def compare_fields(spark, folder):
     spec = Structure("ITEMS", fields=(Field("discount", "decimal", decimales=2), Field("tax", "decimal", decimales=2),
                                       Field("quantity", "decimal", decimales=1), Field("line", "integer")),
                      comparisons=(("discount", ">=", "tax"), ("quantity", "!=", "line")))
-    rows = table(spark, folder, "lineitem").select(
+    rows = spread(table(spark, folder, "lineitem"), "l_orderkey").select(
         F.lit("items").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"),
         F.col("l_discount").cast("decimal(5,2)").cast("string").alias("discount"),
         F.col("l_tax").cast("decimal(5,2)").cast("string").alias("tax"),
