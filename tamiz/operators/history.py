@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions import fixed_values as V
+from tamiz.operators.ordered import first_rows
 from tamiz.session import durable
 
 
@@ -58,7 +59,6 @@ def diff_summary(diff: DataFrame, symbols: int = 10) -> DataFrame:
     name = F.regexp_extract("text", V.MEMBER_SYMBOL, 1)
     first = (diff.where((F.col("sign") == "+") & (name != "")).groupBy("file", name.alias("symbol"))
              .agg(F.min("line_no").alias("at")))
-    from tamiz.operators.ordered import first_rows
     kept = first_rows(first, ["file"], ["at"], symbols).groupBy("file").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "symbol"))), lambda s: s["symbol"]).alias("symbols"))
     return counts.join(kept, "file", "left").withColumn(
@@ -72,7 +72,8 @@ def hotspots(changes: DataFrame, sizes: DataFrame, top: int = 15, trivial: int =
     """Files that change often and are large. ``changes(path, revision)``, ``sizes(path, size)``;
     each measure is cut into thirds by its quantiles."""
     churn = changes.groupBy("path").agg(F.count_distinct("revision").alias("churn"))
-    both = sizes.where(~F.col("path").rlike(GENERATED) & (F.col("size") > trivial)).join(churn, "path")
+    both = durable(sizes.where(~F.col("path").rlike(GENERATED) & (F.col("size") > trivial)).join(churn, "path"))
+    # An exact quantile keeps one counter per distinct value: change counts and sizes repeat a lot.
     cuts = both.agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{n}")
                       for c in ("churn", "size") for n, q in (("lo", 1 / 3), ("hi", 2 / 3))]).first()
     level = lambda c: (F.when(F.col(c) > cuts[f"{c}_hi"], 3).when(F.col(c) > cuts[f"{c}_lo"], 2)

@@ -294,13 +294,14 @@ def _keys(items: Column, k: int) -> Column:
 
 
 def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text: str = "text",
-                    small: int = 100000) -> DataFrame:
+                    small: int = 8_000_000) -> DataFrame:
     """Lines that hold a phrase literally: ``(keys, text, phrase)``, without comparing every line
     with every phrase.
 
     The words strictly inside a phrase appear as whole words in any text that holds it, so a run of
     up to three inner words is an exact lookup key; phrases with no inner word are looked up by
     their first twelve characters. Every candidate is then verified. Shorter phrases are left out.
+    Phrases of up to ``small`` characters in all are sent to every task.
     """
     wanted = phrases.select("phrase").where(F.length("phrase") >= V.PHRASE_MIN).distinct()
     # The first and last word may be cut by the phrase's ends, so they are not used.
@@ -311,7 +312,7 @@ def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text:
         lambda r: F.struct(F.length(r), r.alias("run")))
     keyed = wanted.select("phrase", F.least(F.size(inner), F.lit(3)).alias("k"), F.array_max(choices)["run"].alias("run"))
     keyed = keyed.select("phrase", "k", F.xxhash64(F.coalesce("run", F.substring("phrase", 1, V.PHRASE_MIN))).alias("key"))
-    stats = keyed.groupBy("k").agg(F.count("*").alias("n")).collect()  # at most four rows
+    stats = keyed.groupBy("k").agg(F.sum(F.length("phrase") + 32).alias("size")).collect()  # at most four rows
     if not stats:
         return lines.select(*keys, text).withColumn("phrase", F.lit("")).limit(0)
 
@@ -328,7 +329,7 @@ def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text:
             parts.append(_keys(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(V.PHRASE_MIN))), 0))
     looked_up = F.explode(F.concat(*parts))
     same = lambda g: (g["k"] == keyed["k"]) & (g["key"] == keyed["key"])
-    if sum(r["n"] for r in stats) <= small:
+    if sum(r["size"] for r in stats) <= small:
         pairs = worded.select(*keys, text, looked_up.alias("g")).join(F.broadcast(keyed), same(F.col("g")))
     else:
         # Many phrases: shuffle only hashes and row keys, then fetch the texts of the candidates.

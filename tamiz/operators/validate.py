@@ -202,13 +202,24 @@ def check_structure(rows: DataFrame, spec: Structure) -> DataFrame:
     return out
 
 
-def match_files(files: DataFrame, structures: DataFrame, most: int = 10000) -> DataFrame:
-    """Structure of every file by name pattern, the longest match winning. ``structures(structure,
-    pattern)`` is a small registry, checked and turned into one expression."""
-    rows = sorted(bounded_rows(structures.select("structure", "pattern"), most),
-                  key=lambda r: (-len(r["pattern"]), r["structure"]))
+def match_files(files: DataFrame, structures: DataFrame, most: int = 200) -> DataFrame:
+    """Structure of every file by name pattern, the longest match winning, then the first name.
+
+    A registry ``(structure, pattern)`` of up to ``most`` rows becomes one expression. A larger one
+    is looked up by hash: the pieces of a file name, which is short, meet the patterns in a join.
+    """
+    known = structures.select("structure", F.upper("pattern").alias("pattern")).where("pattern <> ''")
     name = F.upper("file")
-    hit = F.coalesce(*[F.when(name.contains(r["pattern"].upper()), F.lit(r["structure"])) for r in rows],
+    if known.limit(most + 1).count() > most:
+        sizes = [r[0] for r in bounded_rows(known.select(F.length("pattern")).distinct(), 1000)]
+        starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+        pieces = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(s) for s in sorted(sizes)]), lambda s: F.transform(
+            starts, lambda i: F.substr(name, i, s)))))
+        best = (files.select("file", F.explode(pieces).alias("pattern")).join(known, "pattern").groupBy("file")
+                .agg(F.min_by("structure", F.struct(-F.length("pattern"), "structure")).alias("structure")))
+        return files.select("file").join(best, "file", "left")
+    rows = sorted(known.collect(), key=lambda r: (-len(r["pattern"]), r["structure"]))
+    hit = F.coalesce(*[F.when(name.contains(r["pattern"]), F.lit(r["structure"])) for r in rows],
                      F.lit(None).cast("string"))
     return files.select("file", hit.alias("structure"))
 

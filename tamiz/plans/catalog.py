@@ -14,7 +14,8 @@ from tamiz.session import local_rows, table
 # Column definitions both SQL dialects read the same way.
 TYPE = """CASE p_type WHEN 'SMALL' THEN 'VARCHAR2(' || CAST(p_size AS TXT) || ' CHAR)' WHEN 'MEDIUM' THEN 'NUMBER(' || CAST(p_size AS TXT) || ',2)'
   WHEN 'STANDARD' THEN 'NUMBER' WHEN 'ECONOMY' THEN 'DATE' WHEN 'LARGE' THEN 'CHAR' ELSE 'raw' END"""
-TABLE = "upper(replace(p_name, ' ', '_'))"
+# A table holds a hundred parts at most, as a declared table has a bounded number of columns.
+TABLE = "upper(replace(p_name, ' ', '_')) || '_' || CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS TXT)"
 COLUMN = "'C' || CAST(p_partkey AS TXT)"
 MODEL_TABLE = f"CASE WHEN p_name LIKE 'hot%' THEN {TABLE} || '_NEW' ELSE {TABLE} END"
 MODEL_COLUMN = f"CASE WHEN p_size = 7 THEN 'M' || CAST(p_partkey AS TXT) ELSE {COLUMN} END"

@@ -33,20 +33,20 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_lines_large(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """The same lines for files of any size. Lines are numbered inside each file block and blocks are
-    shifted by the lines before them, so no file passes through one task."""
+    """The same lines for files of any size. A task numbers its rows one after the other, so a line's
+    place in its file block is its number less the block's least one; blocks are shifted by the lines
+    before them. Only the short table of blocks is shuffled when it can be sent to every task."""
     raw = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"),
         F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"),
         F.monotonically_increasing_id().alias("place")))
-    per = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("ok"))
+    per = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("ok"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shift = per.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"),
+    shift = per.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"),
                        F.bool_and("ok").over(Window.partitionBy("file")).alias("ok"))
-    number = F.row_number().over(Window.partitionBy("file", "block").orderBy("place"))
     text = F.regexp_replace(_decoded(F.col("raw"), F.col("ok")), "^﻿", "")
-    return (raw.withColumn("n", number).join(shift, ["file", "block"])
-            .select("file", "mtime", (F.col("n") + F.col("shift")).alias("line_no"), text.alias("text")))
+    return (raw.join(shift, ["file", "block"])
+            .select("file", "mtime", (F.col("place") + F.col("shift")).alias("line_no"), text.alias("text")))
 
 
 def read_result_text(spark: SparkSession, path: str, sep: str = "|", quoted: bool = False) -> DataFrame:
