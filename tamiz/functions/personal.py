@@ -56,12 +56,16 @@ def is_blank(col: Column) -> Column:
 
 def detect_form(col: Column) -> Column:
     """First value shape the trimmed text matches, strong shapes first; NULL when none."""
-    text = strip(col)
+    return form_of(strip(col))
+
+
+def form_of(text: Column) -> Column:
+    """Value shape of a text already trimmed."""
     tests = [F.when(text.rlike("(?i)" + rx), F.lit(name)) for name, rx in V.STRONG_SHAPES.items() if name != "email"]
     tests += [F.when(text.rlike(rx), F.lit(name)) for name, rx in V.WEAK_SHAPES.items()]
     # Only an e-mail holds an at sign; the others have eight characters at least and digits.
-    return (F.when(col.contains("@"), F.when(text.rlike(V.STRONG_SHAPES["email"]), F.lit("email")))
-            .when((F.length(col) >= 8) & col.rlike("[0-9]{2}"), F.coalesce(*tests)))
+    return (F.when(text.contains("@"), F.when(text.rlike(V.STRONG_SHAPES["email"]), F.lit("email")))
+            .when((F.length(text) >= 8) & text.rlike("[0-9]{2}"), F.coalesce(*tests)))
 
 
 def is_plain_number(col: Column) -> Column:

@@ -46,10 +46,10 @@ def tag_headers(lines: DataFrame, levels: list[str] | None = None, since: str |
 
     is_lab, is_plain = F.col("kind") == L.LABELLED, F.col("kind") == L.PLAIN
     seen = running(candidates, ["file"], "line_no", {
-        "open_lab": (F.when(is_lab, F.struct(F.col("kept").alias("kept"))), "last"),
+        "open_lab": (F.when(is_lab, F.col("kept")), "last"),
         "first_head": (F.when(~is_plain, F.col("line_no")), "min"),
         "first_bare": (F.when(is_plain, F.col("line_no")), "min")}, chunk)
-    inside = F.coalesce(F.col("open_lab.kept"), F.lit(False))
+    inside = F.coalesce(F.col("open_lab"), F.lit(False))
     heads = seen.where(is_lab | ((F.col("kind") == L.STAMPED) & ~inside)
                        | (is_plain & F.col("first_head").isNull() & (F.col("line_no") == F.col("first_bare"))))
     heads = heads.select("file", "line_no", "kind", "stamp", "kept", (-F.col("line_no")).alias("back"))

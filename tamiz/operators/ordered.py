@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 CHUNK = 65536
 
 
+def _cell(order: str, chunk: int) -> Column:
+    """First position of the chunk a row falls in, in whole numbers."""
+    at = F.col(order).cast("bigint")
+    return at - F.pmod(at, F.lit(chunk).cast("bigint"))
+
+
 def running(df: DataFrame, group: list[str], order: str, specs: dict[str, tuple[Column, str]],
             chunk: int = CHUNK, exclusive: bool = False) -> DataFrame:
     """Add one column per spec: the last non-null value up to each row ('last') or the least one
     ('min'); ``exclusive`` leaves the row itself out. ``order`` is a whole number, unique in its
     group. The input is read twice: hand in a stored table when it is dear to compute."""
-    marked = df.withColumn("__chunk", F.floor(F.col(order) / chunk))
+    marked = df.withColumn("__chunk", _cell(order, chunk))
     for name, (value, _) in specs.items():
         marked = marked.withColumn(f"__{name}", value)
     cells = [*group, "__chunk"]
@@ -42,7 +48,7 @@ def running(df: DataFrame, group: list[str], order: str, specs: dict[str, tuple[
 def running_sum(df: DataFrame, group: list[str], order: str, value: Column, name: str,
                 chunk: int = CHUNK) -> DataFrame:
     """Inclusive running total of ``value`` in the order of a whole-number column."""
-    marked = df.withColumn("__chunk", F.floor(F.col(order) / chunk)).withColumn("__v", value)
+    marked = df.withColumn("__chunk", _cell(order, chunk)).withColumn("__v", value)
     cells = [*group, "__chunk"]
     before = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = marked.groupBy(*cells).agg(F.sum("__v").alias("__s")).select(

@@ -110,7 +110,7 @@ def scan_columns(df: DataFrame, columns: list[str]) -> DataFrame:
         stripped = P.strip(P.as_text(F.col(f"`{c}`"), types[c]))
         texts[f"t{i}"] = F.nullif(stripped, F.lit(""))
     staged = df.select(*[t.alias(n) for n, t in texts.items()])
-    staged = staged.select("*", *[P.detect_form(F.col(n)).alias(f"f{n[1:]}") for n in texts])
+    staged = staged.select("*", *[P.form_of(F.col(n)).alias(f"f{n[1:]}") for n in texts])
     aggs = [a for i in range(len(columns)) for a in _shape_counts(F.col(f"f{i}"), F.col(f"t{i}"), f"c{i}")]
     one = staged.agg(*aggs)
     one = one.select("*", *[_dominant(f"c{i}").alias(f"c{i}_form") for i in range(len(columns))])
@@ -193,7 +193,7 @@ def sample_columns(df: DataFrame, name: str, n: int = 50) -> DataFrame:
 def shape_table(values: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, form, hits, non_blank, all_plain)`` of a long ``value`` table."""
     text = F.nullif(P.strip(F.col("value")), F.lit(""))
-    staged = values.select(*keys, text.alias("t")).withColumn("f", P.detect_form(F.col("t")))
+    staged = values.select(*keys, text.alias("t")).withColumn("f", P.form_of(F.col("t")))
     agg = staged.groupBy(*keys).agg(*_shape_counts(F.col("f"), F.col("t"), "c"))
     form = _dominant("c")
     return agg.withColumn("form", form).select(*keys, "form", _hits("c", F.col("form")).alias("hits"),

@@ -9,7 +9,7 @@ from tamiz.functions import logtext as L
 from tamiz.operators import logs as O
 from tamiz.operators.ordered import rank_whole
 from tamiz.plans.base import LINES_SQL, document_lines
-from tamiz.session import durable, table
+from tamiz.session import durable, spread, table
 
 # Text of a log line, read the same way by both SQL dialects; k is the number in props.
 LINE = """CASE event_type
@@ -33,7 +33,7 @@ def log_lines(spark, folder):
     events = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     day = F.concat(F.lit("log-"), F.date_format("ts", "yyyy-MM-dd"))
     lines = events.select(day.alias("file"), "event_id", F.expr(LINE.replace("TXT", "STRING")).alias("text"))
-    return durable(rank_whole(lines, ["file"], "event_id", "line_no").select("file", "line_no", "text"))
+    return spread(durable(rank_whole(lines, ["file"], "event_id", "line_no").select("file", "line_no", "text")), "line_no")
 
 
 def _events(spark, folder):
