@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import re
 
@@ -154,10 +153,6 @@ def _glob(pattern: str) -> str:
     return "".join(out)
 
 
-def name_matches(name: str, patterns: list[str]) -> bool:
-    return any(fnmatch.fnmatchcase(name.upper(), p.upper()) for p in patterns)
-
-
 def clip(col: Column, most: int) -> Column:
     """Control characters to blanks, trim, cut with an ellipsis."""
     text = strip(F.regexp_replace(col, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "))

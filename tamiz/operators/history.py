@@ -12,12 +12,17 @@ from tamiz.operators.ordered import first_rows
 from tamiz.session import durable
 
 
+def _moment(value: datetime) -> Column:
+    """A literal without time zone, so the session's zone does not move it."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def delta(commits: DataFrame, since: datetime, until: datetime, limit: int | None = None,
           path: str | None = None, files: DataFrame | None = None) -> DataFrame:
     """Commits of a time range, newest first; with a path, those that touch it."""
     if until < since:
         raise ValueError("inverted range: the end is before the start")
-    out = commits.where(F.col("ts").between(F.lit(since), F.lit(until)))
+    out = commits.where(F.col("ts").between(_moment(since), _moment(until)))
     if path is not None:
         touched = files.where(F.col("path").startswith(path)).select("revision")
         out = out.join(touched, "revision", "left_semi")
@@ -155,7 +160,7 @@ def classify_commits(commits: DataFrame, since: datetime | None = None, groups=N
         kind = F.when(any_of(words), F.lit(name)).otherwise(kind)
     out = commits.where(~any_of(V.COMMIT_NOISE))
     if since is not None:
-        out = out.where(F.col("ts") >= F.lit(since))
+        out = out.where(F.col("ts") >= _moment(since))
     return out.withColumn("group", kind)
 
 

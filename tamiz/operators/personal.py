@@ -103,22 +103,18 @@ def _hits(prefix: str, form: Column) -> Column:
 
 
 def scan_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One pass over the rows: ``(column, form, hits, non_blank, all_plain)`` for every column."""
+    """One pass over the rows: ``(column, form, hits, non_blank, all_plain)`` for every column.
+
+    Cells are turned into rows and counted per column before any shuffle, so the work per cell and
+    the generated code stay the same for wide tables.
+    """
     types = dict(df.dtypes)
-    texts = {}
-    for i, c in enumerate(columns):
-        stripped = P.strip(P.as_text(F.col(f"`{c}`"), types[c]))
-        texts[f"t{i}"] = F.nullif(stripped, F.lit(""))
-    staged = df.select(*[t.alias(n) for n, t in texts.items()])
-    staged = staged.select("*", *[P.form_of(F.col(n)).alias(f"f{n[1:]}") for n in texts])
-    aggs = [a for i in range(len(columns)) for a in _shape_counts(F.col(f"f{i}"), F.col(f"t{i}"), f"c{i}")]
-    one = staged.agg(*aggs)
-    one = one.select("*", *[_dominant(f"c{i}").alias(f"c{i}_form") for i in range(len(columns))])
-    cells = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}_form").alias("form"),
-                      _hits(f"c{i}", F.col(f"c{i}_form")).alias("hits"),
-                      F.col(f"c{i}_n").alias("non_blank"), F.col(f"c{i}_plain").alias("all_plain"))
-             for i, c in enumerate(columns)]
-    return one.select(F.inline(F.array(*cells)))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), P.as_text(F.col(f"`{c}`"), types[c]).alias("value"))
+                      for c in columns])
+    shapes = shape_table(df.select(F.inline(cells)), ["column"])
+    named = local_rows(df.sparkSession, [(c,) for c in columns], "column string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return named.join(shapes, "column", "left").select("column", "form", zero("hits"), zero("non_blank"), "all_plain")
 
 
 def resolve_unresolved(scan: DataFrame) -> DataFrame:
@@ -132,11 +128,11 @@ def resolve_unresolved(scan: DataFrame) -> DataFrame:
         .when(plain, F.lit("plain numbers")).otherwise(F.lit("other values")).alias("reason"))
 
 
-def masked_value(column: str, dtype: str, policy: Policy, key: bytes) -> Column:
-    value = F.col(f"`{column}`")
+def masked_value(value: Column, name: str, dtype: str, policy: Policy, key: bytes) -> Column:
+    """Stand-in for a value of the named output column; NULL and blank stay."""
     text = P.as_text(value, dtype)
-    stand_in = F.lit(V.SUPPRESSED) if policy.transform == "suppress" else P.pseudonym(text, column, key)
-    return F.when(P.is_blank(text), text).otherwise(stand_in).alias(column)
+    stand_in = F.lit(V.SUPPRESSED) if policy.transform == "suppress" else P.pseudonym(text, name, key)
+    return F.when(P.is_blank(text), text).otherwise(stand_in).alias(name)
 
 
 def predicate_leak(spark, predicates: list[str], tables: list[str], catalog: DataFrame,
@@ -154,32 +150,37 @@ def mask(df: DataFrame, tables: list[str], catalog: DataFrame, policy: Policy, k
          predicates: list[str] = ()) -> tuple[DataFrame, MaskReport]:
     """Mask a result under the policy. Rows must be stable between runs: the value scan and the
     masking read them one after the other."""
-    spark = df.sparkSession
+    spark, names = df.sparkSession, df.columns
     report = MaskReport(policy.mode, tables=list(tables))
     if policy.mode == "off":
         return df, report
-    pairs = [(c, t) for c in df.columns for t in (tables or [None])]
+    # Columns go by position: a result may hold one name twice.
+    places = [f"c{i}" for i in range(len(names))]
+    work = df.toDF(*places)
+    pairs = [(c, t) for c in dict.fromkeys(names) for t in (tables or [None])]
     wanted = local_rows(spark, pairs, "column string, table string")
-    verdict = {r["column"]: r["verdict"] for r in classify_columns(wanted, catalog, policy).collect()}
-    report.unresolved = [c for c in df.columns if verdict[c] == UNRESOLVED]
-    open_columns = [c for c in df.columns if verdict[c] != MASK]
-    if open_columns:
-        for r in resolve_unresolved(scan_columns(df, open_columns)).collect():
-            c = r["column"]
-            if verdict[c] == UNRESOLVED:
-                verdict[c] = r["verdict"]
-            if verdict[c] == CLEAR and r["form"] is not None:
-                report.suspect.append(c)
-                verdict[c] = MASK
-    report.masked = [c for c in df.columns if verdict[c] == MASK]
-    report.suspect.sort(key=df.columns.index)
+    judged = {r["column"]: r["verdict"] for r in classify_columns(wanted, catalog, policy).collect()}
+    verdict = {p: judged[n] for p, n in zip(places, names)}
+    name_of = dict(zip(places, names))
+    report.unresolved = [name_of[p] for p in places if verdict[p] == UNRESOLVED]
+    suspect = set()
+    open_places = [p for p in places if verdict[p] != MASK]
+    if open_places:
+        for r in resolve_unresolved(scan_columns(work, open_places)).collect():
+            p = r["column"]
+            if verdict[p] == UNRESOLVED:
+                verdict[p] = r["verdict"]
+            if verdict[p] == CLEAR and r["form"] is not None:
+                suspect.add(p)
+                verdict[p] = MASK
+    report.suspect = [name_of[p] for p in places if p in suspect]
+    report.masked = [name_of[p] for p in places if verdict[p] == MASK]
     report.predicate_warning = predicate_leak(spark, list(predicates), list(tables), catalog, policy)
     if policy.mode == "audit":
         return df, report
-    types = dict(df.dtypes)
-    hidden = set(report.masked)
-    return df.select(*[masked_value(c, types[c], policy, key) if c in hidden else F.col(f"`{c}`")
-                       for c in df.columns]), report
+    types = dict(work.dtypes)
+    return work.select(*[masked_value(F.col(p), name_of[p], types[p], policy, key) if verdict[p] == MASK
+                         else F.col(p).alias(name_of[p]) for p in places]), report
 
 
 def sample_columns(df: DataFrame, name: str, n: int = 50) -> DataFrame:

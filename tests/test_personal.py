@@ -136,6 +136,13 @@ def test_safe_column_with_personal_values_is_masked(spark, catalog):
     assert rep.suspect == ["cod_postal"] and all(r[0].startswith("pii:") for r in df.collect())
 
 
+def test_a_name_may_come_twice(spark, catalog):
+    _debts(spark)
+    df, rep = guard.guarded_query(spark, "SELECT a.nombre, b.nombre, a.saldo FROM deuda a JOIN deuda b ON a.iddeudor = b.iddeudor", catalog, POLICY, KEY)
+    assert rep.error is None and df.columns == ["nombre", "nombre", "saldo"] and rep.masked == ["nombre", "nombre"]
+    assert models.pseudonym("Luis Gil", "nombre", KEY) in {r[1] for r in df.collect()}
+
+
 def test_modes(spark, catalog):
     _debts(spark)
     for mode, masked in (("off", []), ("audit", ["nombre"])):
