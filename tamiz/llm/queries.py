@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tamiz.llm.pii import op10_pii
 from tamiz.llm.quality import op5_quality_rules
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+QUERIES = {"op5_quality_rules": op5_quality_rules, "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
