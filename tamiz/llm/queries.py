@@ -5,7 +5,8 @@ from __future__ import annotations
 from tamiz.llm.langid import op2_language_id
 from tamiz.llm.pii import op10_pii
 from tamiz.llm.quality import op5_quality_rules
+from tamiz.llm.toxicity import op3_toxicity
 from tamiz.llm.urls import OP4_SQL, op4_url_filter
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op10_pii": op10_pii, "op2_language_id": op2_language_id, "op4_url_filter": op4_url_filter}
+QUERIES = {"op5_quality_rules": op5_quality_rules, "op10_pii": op10_pii, "op3_toxicity": op3_toxicity, "op2_language_id": op2_language_id, "op4_url_filter": op4_url_filter}
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}

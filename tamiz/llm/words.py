@@ -51,9 +51,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (bytes) and text number of each word, in order."""
-    full = ~BLANK[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (bytes) and text number of each word, in order. ``blank`` tells the bytes that part words."""
+    full = ~blank[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     before = np.zeros(len(data) + 1, dtype=bool)
