@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tamiz.llm.attribution import op6_token_counts
 from tamiz.llm.langid import op2_language_id
 from tamiz.llm.packing import op1_best_fit_packing
 from tamiz.llm.pii import op10_pii
@@ -9,5 +10,5 @@ from tamiz.llm.quality import op5_quality_rules
 from tamiz.llm.toxicity import op3_toxicity
 from tamiz.llm.urls import OP4_SQL, op4_url_filter
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_rules": op5_quality_rules, "op10_pii": op10_pii, "op3_toxicity": op3_toxicity, "op2_language_id": op2_language_id, "op4_url_filter": op4_url_filter}
+QUERIES = {"op6_token_counts": op6_token_counts, "op1_best_fit_packing": op1_best_fit_packing, "op5_quality_rules": op5_quality_rules, "op10_pii": op10_pii, "op3_toxicity": op3_toxicity, "op2_language_id": op2_language_id, "op4_url_filter": op4_url_filter}
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}

@@ -39,9 +39,9 @@ def same_ranks(path: str):
     chars = dict(zip(map(chr, printable), printable)) | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(printable)))}
     special = {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(chars[c] for c in t): k for t, k in model["vocab"].items() if t not in special}
-    n_bytes = np.zeros(1 + max(model["vocab"].values()), np.int64)
-    for t, k in model["vocab"].items():
-        n_bytes[k] = len(t.encode()) if t in special else len(t)
+    sizes = {k: len(t) for t, k in model["vocab"].items() if t not in special} | {t["id"]: len(t["content"].encode()) for t in spec.get("added_tokens", [])}
+    n_bytes = np.zeros(1 + max(sizes), np.int64)
+    n_bytes[list(sizes)] = list(sizes.values())
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), n_bytes
 
 
