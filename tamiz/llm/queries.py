@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tamiz.llm.attribution import op6_token_counts
+from tamiz.llm.jaccard import op7_jaccard_join
 from tamiz.llm.langid import op2_language_id
 from tamiz.llm.mixing import op9_mixing
 from tamiz.llm.packing import op1_best_fit_packing
@@ -12,5 +13,5 @@ from tamiz.llm.topk import OP8_SQL, op8_top_k
 from tamiz.llm.toxicity import op3_toxicity
 from tamiz.llm.urls import OP4_SQL, op4_url_filter
 
-QUERIES = {"op8_top_k": op8_top_k, "op9_mixing": op9_mixing, "op6_token_counts": op6_token_counts, "op1_best_fit_packing": op1_best_fit_packing, "op5_quality_rules": op5_quality_rules, "op10_pii": op10_pii, "op3_toxicity": op3_toxicity, "op2_language_id": op2_language_id, "op4_url_filter": op4_url_filter}
+QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op8_top_k": op8_top_k, "op9_mixing": op9_mixing, "op6_token_counts": op6_token_counts, "op1_best_fit_packing": op1_best_fit_packing, "op5_quality_rules": op5_quality_rules, "op10_pii": op10_pii, "op3_toxicity": op3_toxicity, "op2_language_id": op2_language_id, "op4_url_filter": op4_url_filter}
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op8_top_k": OP8_SQL}
