@@ -341,6 +341,15 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
             .select(F.col("id").alias(id_column), F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
 
 
+def one_of_each_class(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its class. Rows that share an id stay or go together; rows without an id
+    stay."""
+    classes = stored(jaccard_classes(docs, id_column, text_column), "shingle-classes")
+    gone = classes.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).cast("long").alias("__gone")).distinct()
+    few = gone.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_column].cast("long") == F.col("__gone"), "left_anti")
+
+
 def op7_jaccard_join(spark, folder: str) -> DataFrame:
     """Set size and class of every document."""
     from tamiz.llm.store import table

@@ -186,6 +186,29 @@ def calibrate(predicted: DataFrame, training, tail: float = 0.002, slack: float
     return out
 
 
+def identified(docs: DataFrame, training=None, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns. Rows are judged in place: nothing is joined by id."""
+    training = F.lit(True) if training is None else training
+    model = fit(docs.where(training), id_column=id_column, text_column=text_column, lang_column=lang_column)
+    marked = docs.where(F.coalesce(training & docs[lang_column].isNotNull(), F.lit(False)))
+    cutoffs = calibrate(stored(predict(marked, model, id_column, text_column), "langid"), F.lit(True))
+    place = docs.columns.index(text_column)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in W.slices(batches, text_column):
+            text = piece.column(place).cast(pa.large_string())
+            letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            stays = np.zeros(len(text), bool)
+            if model.langs:
+                found = counts(text)
+                langs, scores = nearest(model, found)
+                sizes = np.log2(1 + (found > 0).sum(axis=1)).astype(int).tolist()
+                stays = letters & np.array([s >= cutoffs.get((model.langs[k], z), 0.0) for k, s, z in zip(langs, scores, sizes)], bool)
+            yield piece.filter(pa.array(stays))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def identify(docs: DataFrame, training=None, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """Fit on the rows that ``training`` (a condition; all rows when None) marks, and give every document
     ``lang_pred, score, rejected``."""

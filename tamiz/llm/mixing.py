@@ -156,10 +156,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
 
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **settings) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them. Ids must be unique here: copies are joined back by id."""
+    """The rows of ``docs`` as often as the mix takes them. Copies are joined back by id, so ids should be unique; of rows that
+    share an id (or have none), each gets as many copies as the one with most."""
     taken = (copies(stored(measured(docs, id_column, text_column, source_column), "mix-sizes"), **settings)
-             .where("copies > 0").select(F.col("id").alias("__id"), F.col("copies").alias("__copies")))
-    return (docs.join(taken, docs[id_column] == F.col("__id"))
+             .groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0"))
+    return (docs.join(taken, docs[id_column].eqNullSafe(F.col("__id")))
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns]))
 
 

@@ -230,6 +230,24 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                            "base_sha256 string, spans string").withColumnRenamed("id", id_column))
 
 
+def redacted(docs: DataFrame, text_column: str = "text", length_column: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with personal data replaced in the text; ``length_column`` follows the new text, where not null."""
+    place = docs.columns.index(text_column)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in W.slices(batches, text_column):
+            texts = [redact(t, find_spans(t, threshold)) for t in part.column(place).to_pylist()]
+            columns = part.columns
+            columns[place] = pa.array(texts, part.schema.field(place).type)
+            if length_column is not None:
+                k = part.schema.get_field_index(length_column)
+                sizes = [None if t is None or old is None else len(t) for t, old in zip(texts, columns[k].to_pylist())]
+                columns[k] = pa.array(sizes, part.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op10_pii(spark, folder: str) -> DataFrame:
     """Personal data of every document, as counts, a digest of the base spans and a list of all spans."""
     from tamiz.llm.store import table
