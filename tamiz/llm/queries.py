@@ -13,5 +13,16 @@ from tamiz.llm.topk import OP8_SQL, op8_top_k
 from tamiz.llm.toxicity import op3_toxicity
 from tamiz.llm.urls import OP4_SQL, op4_url_filter
 
-QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op8_top_k": op8_top_k, "op9_mixing": op9_mixing, "op6_token_counts": op6_token_counts, "op1_best_fit_packing": op1_best_fit_packing, "op5_quality_rules": op5_quality_rules, "op10_pii": op10_pii, "op3_toxicity": op3_toxicity, "op2_language_id": op2_language_id, "op4_url_filter": op4_url_filter}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
+    "op4_url_filter": op4_url_filter,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_top_k": op8_top_k,
+    "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
+}
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op8_top_k": OP8_SQL}
