@@ -8,11 +8,13 @@ words the set is empty and links with nothing. Documents link when ``100 * |A &
 2. Candidates. Linked sets share one of their first ``n - ceil(3n/4) + 1`` shingles in any order that is the same for all; ours
    puts common ones last. Those heads are sent to token ranges as packed arrays, and only shingles of two or more documents come
    back as rows. Common shingles are known to be shared, so they bypass the ranges and are spread by document.
-3. Groups. For each shared shingle the smallest node is a centre; exact overlaps with the centres join similar documents into
-   groups. This leaves few links open, however large a set of near copies is.
+3. Groups. For each shared shingle the smallest node is a centre. A centre and a node that share enough head shingles, counted
+   where that node is the centre, are compared exactly; their links join similar documents into groups. This leaves few links
+   open, however large a set of near copies is.
 4. The matrix. Groups are cut into blocks of at most ``block_nodes``; the matrix holds each block's union of head shingles. A
-   node is a query for every block of another group that shares a head shingle and fits in length. Before a block is opened, the
-   query's overlap with the union of the block's whole sets must reach ``ceil(3n/4)``; only then its members are compared.
+   node is a query for the blocks of other groups. Its overlap with a block's union bounds the head shingles that it shares with
+   any member, and what lies behind the heads is bounded by their ends, so only blocks whose overlap reaches the difference
+   qualify. Of those, the union of the whole sets must hold ``ceil(3n/4)`` of the query; only then members are compared.
 5. Links between groups give the components; every document takes the component of its node.
 
 Every link between different sets is either inside a group or found in step 4, so the classes are exact. Overlaps are computed on
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm import words as W
@@ -34,7 +36,7 @@ from tamiz.llm.components import components
 from tamiz.llm.store import stored
 
 SHINGLE = 5
-COMMON = 16
+COMMON = 4
 MOST_COMMON = 2_000_000
 #: Packed entries a task gathers before it sends them on, and entries of one range at its receiver.
 FLUSH = 1 << 20
@@ -168,10 +170,12 @@ def common_prints(seen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def heads(src: DataFrame, prints: np.ndarray, classes: np.ndarray, n_ranges: int) -> DataFrame:
-    """``(token, doc)`` of every head shingle that two or more documents share."""
+    """``(token, doc)`` of every head shingle that two or more documents share, and ``(doc, last)`` of every document with words:
+    where its head ends in the common order (class, then the first 56 bits of the shingle)."""
     shared = src.sparkSession.sparkContext.broadcast((prints, classes))
 
     def emit(tokens: list, docs: list, known: list) -> pa.RecordBatch:
+        """``known``: 0 for a shingle that must be looked up, 1 for one known to be shared, 2 for the end of a head."""
         t, d, k = np.concatenate(tokens), np.concatenate(docs), np.concatenate(known)
         goes = np.where(k, d.astype(np.uint64) % np.uint64(n_ranges), _ranges(t, n_ranges))
         order = np.lexsort((t, k, goes))
@@ -200,8 +204,13 @@ def heads(src: DataFrame, prints: np.ndarray, classes: np.ndarray, n_ranges: int
             take = order[rank < np.repeat(n - least_common(n) + 1, n)]
             tokens.append(grams[take])
             docs.append(piece.column(0).to_numpy(zero_copy_only=False)[owner[take]])
-            known.append(cls[take] > 0)
-            held += len(take)
+            known.append((cls[take] > 0).astype(np.int8))
+            full = np.flatnonzero(n)
+            ends = order[bounds[:-1][full] + n[full] - least_common(n[full])]
+            tokens.append((cls[ends].astype(np.uint64) << np.uint64(56)) | (grams[ends] >> np.uint64(8)))
+            docs.append(piece.column(0).to_numpy(zero_copy_only=False)[full])
+            known.append(np.full(len(full), 2, np.int8))
+            held += len(take) + len(full)
             if held >= FLUSH:
                 yield emit(tokens, docs, known)
                 tokens, docs, known, held = [], [], [], 0
@@ -213,17 +222,18 @@ def heads(src: DataFrame, prints: np.ndarray, classes: np.ndarray, n_ranges: int
         t = [unpack_sorted(x.as_py(), np.uint64) for x in table.column("tokens")]
         d = [unpack(x.as_py(), np.int64) for x in table.column("docs")]
         none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        tokens = np.concatenate([x for x, k in zip(t, known) if not k] or none[0])
-        docs = np.concatenate([x for x, k in zip(d, known) if not k] or none[1])
+        tokens, docs = (np.concatenate([x for x, k in zip(of, known) if k == 0] or no) for of, no in zip((t, d), none))
         order = np.argsort(tokens, kind="stable")
         tokens, docs = tokens[order], docs[order]
         same = tokens[1:] == tokens[:-1]
         both = np.append(same, False) | np.append(False, same) if len(tokens) else np.zeros(0, bool)
-        out_t = np.concatenate([tokens[both], *[x for x, k in zip(t, known) if k]])
-        out_d = np.concatenate([docs[both], *[x for x, k in zip(d, known) if k]])
-        return pa.table({"token": out_t.view(np.int64), "doc": out_d})
+        out_t = np.concatenate([tokens[both], *[x for x, k in zip(t, known) if k == 1]]).view(np.int64)
+        last, last_d = (np.concatenate([x for x, k in zip(of, known) if k == 2] or no) for of, no in zip((t, d), none))
+        out_d = np.concatenate([docs[both], *[x for x, k in zip(d, known) if k == 1], last_d])
+        return pa.table({"token": pa.concat_arrays([pa.array(out_t), pa.nulls(len(last), pa.int64())]), "doc": out_d,
+                         "last": pa.concat_arrays([pa.nulls(len(out_t), pa.int64()), pa.array(last.view(np.int64))])})
 
-    return src.mapInArrow(cut, "range int, known boolean, tokens binary, docs binary").groupBy("range").applyInArrow(gather, "token long, doc long")
+    return src.mapInArrow(cut, "range int, known byte, tokens binary, docs binary").groupBy("range").applyInArrow(gather, "token long, doc long, last long")
 
 
 def sets_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -300,6 +310,16 @@ def block_links(asked: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFra
     return queries.unionByName(members).groupBy("block", "part").applyInArrow(open_block, "a long, b long")
 
 
+def _tail(n: str) -> Column:
+    """Shingles of a set after its head."""
+    return F.floor((3 * F.col(n) + 3) / 4) - 1
+
+
+def _least_shared(n: str, m: str, tail: Column) -> Column:
+    """Head shingles that linked sets of ``n`` and ``m`` share at least, when at most ``tail`` of their overlap is not in both heads."""
+    return F.greatest(F.lit(1), F.floor((3 * (F.col(n) + F.col(m)) + 6) / 7) - tail)
+
+
 def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` of every document; the component is the smallest id that links reach."""
     src = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
@@ -310,26 +330,32 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     node_of = stored(info.join(info.groupBy("n", "key1", "key2").agg(F.min("doc").alias("node")), ["n", "key1", "key2"]).select("doc", "node", "n"), "shingle-nodes")
     prints, classes = common_prints(seen, MOST_COMMON)
     found = stored(heads(has_id, prints, classes, max(1, -(-int(entries) // RANGE_ENTRIES))), "shingle-heads")
-    posted = stored(found.join(node_of, "doc").select("token", "node", "n").distinct(), "shingle-posted")
-    centre = posted.groupBy("token").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("last")).where("c.node <> last").select("token", F.col("c.node").alias("a"), F.col("c.n").alias("m"))
-    fits = (4 * F.least("n", "m") >= 3 * F.greatest("n", "m"))
-    pairs = stored(posted.join(centre, "token").where((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b")).distinct(), "shingle-pairs")
-    # Nodes of a shingle that only one node holds (copies of one another) are asked for nothing.
-    shared = stored(posted.join(centre.select("token"), "token"), "shingle-shared")
+    ends = found.where("last IS NOT NULL").select("doc", "last").distinct()
+    posted = found.where("token IS NOT NULL").select("token", "doc").join(node_of, "doc").select("token", "node", "n").distinct()
+    # Shingles of one node only (of copies) tie it to nothing. The order of heads decides which overlaps their tails allow.
+    span = posted.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("token", "a")
+    shared = stored(posted.join(span, "token").join(ends.withColumnRenamed("doc", "node"), "node").select("token", "a", "node", "n", "last"), "shingle-shared")
+    facts = shared.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("last").alias("z")).distinct()
+    counted = shared.where("node <> a").groupBy("a", F.col("node").alias("b"), "n", "last").agg(F.count("*").alias("c")).join(facts, "a")
+    tail = F.when(F.col("last") < F.col("z"), _tail("n")).when(F.col("last") > F.col("z"), _tail("m")).otherwise(F.greatest(_tail("n"), _tail("m")))
+    pairs = stored(counted.where((4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (F.col("c") >= _least_shared("n", "m", tail))).select("a", "b"), "shingle-pairs")
     near = star_links(pairs, sets_of(has_id, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     groups = components(near)
-    grouped = shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = stored(grouped.select("token", "node", "n", "component"), "shingle-grouped")
-    spread = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = stored(grouped.join(spread, "token"), "shingle-open")
+    grouped = shared.join(groups, "node", "left").select("token", "node", "n", "last", F.coalesce("component", "node").alias("component"))
+    apart = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    open_ = stored(grouped.join(apart, "token"), "shingle-open")
     order = Window.partitionBy("component").orderBy("n", "node")
-    nodes = open_.select("node", "n", "component").distinct()
+    nodes = open_.select("node", "n", "last", "component").distinct()
     blocks = stored(nodes.withColumn("block", F.struct("component", F.floor((F.row_number().over(order) - 1) / BLOCK_NODES).alias("k"))), "shingle-blocks")
-    lengths = blocks.groupBy("block").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"))
-    matrix = open_.join(blocks.select("node", "block"), "node").select("token", "block").distinct().join(lengths, "block")
-    asked = (open_.join(matrix, "token").where((F.col("component") > F.col("block.component")) & (4 * F.col("longest") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("shortest")))
-             .select("node", "block").distinct())
-    asked = stored(asked, "shingle-asked")
+    matrix = open_.join(blocks.select("node", "block"), "node").select("token", "block").distinct()
+    met = (open_.select("token", "node", F.col("component").alias("own")).join(matrix, "token").where(F.col("own") > F.col("block.component"))
+           .groupBy("node", "block").agg(F.count("*").alias("c")))
+    bounds = blocks.groupBy("block").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"), F.min("last").alias("first_end"), F.max("last").alias("last_end"))
+    rest = (F.when(F.col("last") < F.col("first_end"), _tail("n")).when(F.col("last") > F.col("last_end"), _tail("longest"))
+            .otherwise(F.greatest(_tail("n"), _tail("longest"))))
+    asked = (met.join(nodes.select("node", "n", "last"), "node").join(bounds, "block")
+             .where((4 * F.col("longest") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("shortest")) & (F.col("c") >= _least_shared("n", "shortest", rest))))
+    asked = stored(asked.select("node", "block"), "shingle-asked")
     used = asked.select("node").union(blocks.join(asked.select("block").distinct(), "block", "left_semi").select("node")).distinct()
     across = block_links(asked, blocks, sets_of(has_id, used))
     joined = across.join(groups.select(F.col("node").alias("b"), F.col("component").alias("g")), "b", "left").select("a", F.coalesce("g", "b").alias("b"))
@@ -347,7 +373,7 @@ def one_of_each_class(docs: DataFrame, id_column: str = "doc_id", text_column: s
     classes = stored(jaccard_classes(docs, id_column, text_column), "shingle-classes")
     gone = classes.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).cast("long").alias("__gone")).distinct()
     few = gone.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_column].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_column].cast("long") == gone["__gone"], "left_anti")
 
 
 def op7_jaccard_join(spark, folder: str) -> DataFrame:
