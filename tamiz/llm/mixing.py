@@ -160,8 +160,8 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     share an id (or have none), each gets as many copies as the one with most."""
     taken = (copies(stored(measured(docs, id_column, text_column, source_column), "mix-sizes"), **settings)
              .groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0"))
-    return (docs.join(taken, docs[id_column].eqNullSafe(F.col("__id")))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns]))
+    return (docs.join(taken, docs[id_column].eqNullSafe(taken["__id"]))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), taken["__copies"].cast("int")))).select(*[docs[c] for c in docs.columns]))
 
 
 def op9_mixing(spark, folder: str) -> DataFrame:
