@@ -43,10 +43,16 @@ def squash(col: Column) -> Column:
 
 
 def as_text(col: Column, dtype: str = "string") -> Column:
-    """Cell text used for shape tests; fractional types never print an exponent."""
+    """Cell text used for shape tests, pseudonyms and masking. A number has one text whatever its type: no exponent and no
+    trailing zero decimals, so 612345678 reads the same as BIGINT, DECIMAL(38,10) or DOUBLE, and no digit is rounded away."""
+    text = col.cast("string")
     if dtype in ("double", "float"):
-        return F.coalesce(col.try_cast("decimal(38,2)").cast("string"), col.cast("string"))
-    return col.cast("string")
+        plain = text.try_cast("decimal(38,18)")
+        # Beyond that scale the shortest text that reads back as the same number stays.
+        text = F.when(plain.cast("double") == col.cast("double"), plain.cast("string")).otherwise(text)
+    elif not dtype.startswith("decimal"):
+        return text
+    return F.when(text.contains(".") & ~text.contains("E"), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
 
 
 def is_blank(col: Column) -> Column:

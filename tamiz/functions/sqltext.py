@@ -19,6 +19,13 @@ _FILTERED = (r"(?i)\b(?:[A-Za-z_][\w$#]*\s*\.\s*)?([A-Za-z_][\w$#]*)\s*"
 ONLY_SELECT = "only SELECT or WITH ... SELECT is allowed"
 WRITE_IN_CTE = "write verb inside WITH is not allowed"
 MULTI_STATEMENT = "several statements are not allowed"
+CALLS_JAVA = "functions that call into the JVM are not allowed"
+READS_PATH = "reading a path past the catalog is not allowed"
+
+# Quoted texts and comments of Spark SQL: single and double quotes with backslash escapes; a back-quoted name is kept.
+_SPARK_TEXT = r"(`[^`]*+`)|'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\"|--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
+_JVM_CALL = r"(?i)(?<![\w`])`?(?:reflect|java_method|try_reflect)`?\s*\("
+_PATH_RELATION = r"(?i)\b(?:FROM|JOIN)\s*\(*\s*`?(?:parquet|orc|json|csv|text|avro|xml|binaryfile|delta|iceberg|hudi|jdbc)`?\s*\.\s*`"
 
 
 def strip_comments(col: Column) -> Column:
@@ -35,13 +42,27 @@ def blank_literals(col: Column) -> Column:
     return F.regexp_replace(col, r"'[^']*'", "'?'")
 
 
+def spark_text(col: Column) -> Column:
+    """A Spark statement as plain text: comments and quoted texts are blanks, back-quotes are off, brackets around a relation
+    too, and a name keeps its last two parts. A quote that is still open stays."""
+    bare = F.translate(F.regexp_replace(col, _SPARK_TEXT, "$1 "), "`", "")
+    opened = F.regexp_replace(bare, r"(?i)\b(FROM|JOIN)\s*\(+\s*(?!(?:SELECT|WITH|VALUES|FROM|TABLE)\b)", "$1 ")
+    return F.regexp_replace(opened, r"(?<![\w.])[A-Za-z_][\w$#]*\s*\.\s*(?=[A-Za-z_][\w$#]*\s*\.\s*[A-Za-z_])", "")
+
+
 def readonly_reason(col: Column) -> Column:
-    """Why a statement is refused, or NULL when it only reads."""
+    """Why a statement is refused, or NULL when it only reads. Functions that run any JVM method and relations that are file
+    paths are refused too."""
     bare = lambda text: F.regexp_replace(F.rtrim(text, F.lit(";")), r"'[^']*+(?:'|\z)", "''")
+    # Judged with and without quoted texts blanked, as either reading of a quote may be the engine's.
+    quiet = F.regexp_replace(col, _SPARK_TEXT, "$1 ")
+    either = lambda text, rx: text.rlike(rx) | quiet.rlike(rx)
     return bind(F.btrim(strip_comments(col), F.lit(" \t\r\n\f\u000b")), lambda text: (
         F.when(~text.rlike(r"(?i)^(SELECT|WITH)") | text.isNull(), F.lit(ONLY_SELECT))
         .when(text.rlike(r"(?i)^WITH") & text.rlike(r"(?i)\b(INSERT|UPDATE|DELETE|MERGE)\b"), F.lit(WRITE_IN_CTE))
-        .when(bare(text).contains(";"), F.lit(MULTI_STATEMENT))))
+        .when(bare(text).contains(";"), F.lit(MULTI_STATEMENT))
+        .when(either(bare(text), _JVM_CALL), F.lit(CALLS_JAVA))
+        .when(either(bare(text), _PATH_RELATION), F.lit(READS_PATH))))
 
 
 def _base_name(raw: Column) -> Column:
@@ -57,17 +78,18 @@ def _list_names(item: Column) -> Column:
     return bind(names, lambda ns: F.when(F.size(ns) > 1, cut(ns)).otherwise(ns))
 
 
-def sql_tables(col: Column) -> Column:
-    """Table names after FROM and JOIN, upper case, no schema, in order, once each."""
+def sql_tables(col: Column, spark: bool = False) -> Column:
+    """Table names after FROM and JOIN, upper case, no schema, in order, once each. ``spark``: read the text by the rules of
+    Spark SQL (back-quotes, double quotes, escapes, three-part names, bracketed relations)."""
     lists = lambda text: F.regexp_extract_all(text, F.lit(_LIST), F.lit(1))
     names = lambda text: F.array_distinct(F.flatten(F.transform(lists(text), _list_names)))
-    return bind(strip_comments(col), lambda text: F.when(has_open_literal(text), F.array().cast("array<string>")).otherwise(
+    return bind(spark_text(col) if spark else strip_comments(col), lambda text: F.when(has_open_literal(text), F.array().cast("array<string>")).otherwise(
         F.filter(names(text), lambda n: (n != "DUAL") & (n != ""))))
 
 
-def sql_predicates(col: Column) -> Column:
+def sql_predicates(col: Column, spark: bool = False) -> Column:
     """Columns left of a comparator after the first WHERE, upper case, once each."""
     body = lambda text: F.regexp_extract(text, r"(?is)\bWHERE\b(.*)", 1)
     found = lambda text: F.regexp_extract_all(body(text), F.lit(_FILTERED), F.lit(1))
-    return bind(strip_comments(col), lambda text: F.when(has_open_literal(text), F.array().cast("array<string>")).otherwise(
+    return bind(spark_text(col) if spark else strip_comments(col), lambda text: F.when(has_open_literal(text), F.array().cast("array<string>")).otherwise(
         F.array_distinct(F.transform(found(text), lambda c: F.upper(c)))))

@@ -114,7 +114,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     ``edges(source, target)`` means source refers to target. Breadth first; every round is stored,
     so the plan does not grow and a lost executor costs one round at most.
     """
-    edges = edges.select("source", "target").distinct()
+    edges = durable(edges.select("source", "target").distinct().repartition("target"))
     seen = durable(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("level")).distinct())
     front = seen
     for level in range(1, depth + 1):
@@ -128,11 +128,19 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 
 def impact(edges: DataFrame, starts: DataFrame, layers: DataFrame, depth: int) -> DataFrame:
-    """Direct and indirect references per start, and the level by how much they touch."""
-    got = reach(edges, starts, depth).join(layers, "node", "left")
-    agg = got.groupBy("start").agg(
+    """Direct and indirect references per start, and the level by how much they touch. A start that nothing refers to has zeros;
+    ``cut`` tells that references go on beyond ``depth``. A node of several layers counts once as a reference."""
+    found = reach(edges, starts, depth)
+    spread = found.join(layers.distinct(), "node").groupBy("start").agg(F.count_distinct("layer").alias("layers"))
+    edge = found.where(F.col("level") == depth).select("start", F.col("node").alias("target"))
+    beyond = (edge.join(edges, "target").select("start", F.col("source").alias("node"))
+              .join(found.select("start", "node"), ["start", "node"], "left_anti").where("start <> node").select("start").distinct().withColumn("cut", F.lit(True)))
+    counted = found.groupBy("start").agg(
         F.count_if(F.col("level") == 1).alias("direct"), F.count_if(F.col("level") > 1).alias("indirect"),
-        F.count("*").alias("total"), F.count_distinct("layer").alias("layers"))
+        F.count("*").alias("total"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    agg = (starts.select(F.col("node").alias("start")).distinct().join(counted, "start", "left").join(spread, "start", "left").join(beyond, "start", "left")
+           .select("start", zero("direct"), zero("indirect"), zero("total"), zero("layers"), F.coalesce("cut", F.lit(False)).alias("cut")))
     return agg.withColumn("impact", F.when(F.col("total") <= 1, "low").when(F.col("layers") <= 2, "medium")
                           .otherwise("high"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -235,15 +236,23 @@ def personal_totals(df: DataFrame, column: str, keys: list[str] = ()) -> DataFra
     return counts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in ("dni", "nie", "iban", "email")])
 
 
-def personal_data_gate(df: DataFrame, column: str, path: str, exempt: tuple[str, ...] = ()) -> DataFrame:
-    """The input unchanged, failing at run time on the first row that holds personal data; the
-    failure names the form, never the value. Rows under an exempt path prefix pass."""
+def gate_reason(column: str, path: str, exempt: tuple[str, ...] = ()) -> Column:
+    """Form of personal data that stops a row at the gate, or NULL."""
     counts = P.personal_counts(F.col(column))
     reason = F.coalesce(*[F.when(c > 0, F.lit(n)) for n, c in counts.items()])
     for prefix in exempt:
         reason = F.when(F.col(path).startswith(prefix), F.lit(None)).otherwise(reason)
+    return reason
+
+
+def personal_data_gate(df: DataFrame, column: str, path: str, exempt: tuple[str, ...] = ()) -> DataFrame:
+    """The input unchanged, failing at run time on the first row that holds personal data; the
+    failure names the form, never the value. Rows under an exempt path prefix pass.
+
+    The check is a filter, so it runs whatever columns are read from the result, and for a bare count."""
+    reason = gate_reason(column, path, exempt)
     fail = F.raise_error(F.concat(F.lit("personal data of form "), reason, F.lit(" in "), F.col(path)))
-    return df.withColumn(column, F.when(reason.isNotNull(), fail.cast("string")).otherwise(F.col(column)))
+    return df.where(F.when(reason.isNotNull(), fail.cast("boolean")).otherwise(F.lit(True)))
 
 
 def strictest_mode(modes: DataFrame) -> DataFrame:
@@ -260,7 +269,10 @@ def strictest_mode(modes: DataFrame) -> DataFrame:
 
 def rule_scan(lines: DataFrame, rules=None, kind: str = "web") -> DataFrame:
     """One finding per rule and line of ``(file, line_no, text)``. The rules are a short driver
-    list, so they become expressions of one projection, each pattern compiled once."""
+    list, so they become expressions of one projection, each pattern compiled once. Files in build
+    folders are not judged."""
+    built = "|".join(re.escape(f) for f in V.BUILD_FOLDERS)
+    lines = lines.where(~F.col("file").rlike(rf"(?i)(?:^|[\\/])(?:{built})[\\/]"))
     rules = V.CODE_RULES if rules is None else rules
     ext = F.lower(F.regexp_extract("file", r"(\.[^.\\/]+)$", 1))
     hits = [F.when(ext.isin(exts) & F.col("text").rlike(rx),
@@ -294,15 +306,17 @@ def _keys(items: Column, k: int) -> Column:
     return F.transform(hashes, lambda h: F.struct(F.lit(k).alias("k"), h.alias("key")))
 
 
-def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text: str = "text",
-                    small: int = 8_000_000) -> DataFrame:
-    """Lines that hold a phrase literally: ``(keys, text, phrase)``, without comparing every line
-    with every phrase.
+STRIDE = 6
+
+
+def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Lines that hold a phrase literally: ``(keys, text, phrase)``, one row for each line and phrase, without comparing every
+    line with every phrase. Shorter phrases than twelve characters are left out.
 
-    The words strictly inside a phrase appear as whole words in any text that holds it, so a run of
-    up to three inner words is an exact lookup key; phrases with no inner word are looked up by
-    their first twelve characters. Every candidate is then verified. Shorter phrases are left out.
-    Phrases of up to ``small`` characters in all are sent to every task.
+    The words strictly inside a phrase appear as whole words in any text that holds it, so a run of up to three inner words is
+    an exact lookup key. A phrase with no inner word is looked up by its pieces of six characters: a text is cut into such
+    pieces from its start, and any twelve characters of it hold a whole one, at one of six places. Only hashes and row keys are
+    spread; a row key is a digest of the row itself, so lines with equal keys or none stay apart. Every candidate is verified.
     """
     wanted = phrases.select("phrase").where(F.length("phrase") >= V.PHRASE_MIN).distinct()
     # The first and last word may be cut by the phrase's ends, so they are not used.
@@ -312,35 +326,31 @@ def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text:
         F.when(F.size(inner) >= 3, _runs(inner, 3)).when(F.size(inner) == 2, _runs(inner, 2)).otherwise(inner),
         lambda r: F.struct(F.length(r), r.alias("run")))
     keyed = wanted.select("phrase", F.least(F.size(inner), F.lit(3)).alias("k"), F.array_max(choices)["run"].alias("run"))
-    keyed = keyed.select("phrase", "k", F.xxhash64(F.coalesce("run", F.substring("phrase", 1, V.PHRASE_MIN))).alias("key"))
-    stats = keyed.groupBy("k").agg(F.sum(F.length("phrase") + 32).alias("size")).collect()  # at most four rows
-    if not stats:
+    pieces = F.transform(F.sequence(F.lit(1), F.lit(STRIDE)), lambda i: F.substr("phrase", i, F.lit(STRIDE)))
+    keyed = keyed.select("phrase", "k", F.explode(F.when(F.col("k") == 0, pieces).otherwise(F.array("run"))).alias("run"))
+    keyed = keyed.select("phrase", "k", F.xxhash64("run").alias("key"))
+    classes = sorted(r["k"] for r in keyed.select("k").distinct().collect())  # at most four
+    if not classes:
         return lines.select(*keys, text).withColumn("phrase", F.lit("")).limit(0)
 
+    row = F.sha2(F.to_json(F.struct(*keys, text)), 256)
     # Staged, so that a line is split into words once however many run lengths are needed.
-    worded = lines.select(*keys, text, F.filter(F.split(F.col(text), _WORDS), lambda w: w != "").alias("__w"))
-    own, parts = F.col("__w"), []
-    for k in sorted(r["k"] for r in stats):
+    worded = lines.select(row.alias("__row"), F.col(text).alias("__text"), F.filter(F.split(F.col(text), _WORDS), lambda w: w != "").alias("__w"))
+    parts = []
+    for k in classes:
         if k:
-            parts.append(_keys(_runs(own, k), k))
+            parts.append(_keys(_runs(F.col("__w"), k), k))
         else:
-            n = F.length(text) - V.PHRASE_MIN + 1
-            starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(
-                F.array().cast("array<int>"))
-            parts.append(_keys(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(V.PHRASE_MIN))), 0))
-    looked_up = F.explode(F.concat(*parts))
-    same = lambda g: (g["k"] == keyed["k"]) & (g["key"] == keyed["key"])
-    if sum(r["size"] for r in stats) <= small:
-        pairs = worded.select(*keys, text, looked_up.alias("g")).join(F.broadcast(keyed), same(F.col("g")))
-    else:
-        # Many phrases: shuffle only hashes and row keys, then fetch the texts of the candidates.
-        found = worded.select(*keys, looked_up.alias("g")).join(keyed, same(F.col("g")))
-        pairs = found.select(*keys, "phrase").join(lines.select(*keys, text), keys)
+            parts.append(_keys(F.regexp_extract_all("__text", F.lit(rf"(?s).{{{STRIDE}}}"), F.lit(0)), 0))
+    looked_up = worded.select("__row", F.explode(F.concat(*parts)).alias("g"))
+    found = looked_up.join(keyed, (F.col("g.k") == F.col("k")) & (F.col("g.key") == F.col("key"))).select("__row", "phrase").distinct()
+    pairs = lines.select(*keys, text, row.alias("__row")).join(found, "__row")
     return pairs.where(F.contains(F.col(text), F.col("phrase"))).select(*keys, text, "phrase")
 
 
-def leak_rules(lines: DataFrame, phrases: DataFrame, patterns=None) -> DataFrame:
-    """What must not leave: ``(file, line_no, reason, fragment)`` per pattern or literal phrase."""
+def leak_rules(lines: DataFrame, phrases: DataFrame, patterns=None, shown: int | None = 120) -> DataFrame:
+    """What must not leave: ``(file, line_no, reason, fragment)`` per pattern or literal phrase. Fragments are cut to ``shown``
+    characters; None keeps them whole."""
     patterns = V.LEAK_PATTERNS if patterns is None else patterns
     hits = []
     for reason, rx in patterns:
@@ -349,7 +359,7 @@ def leak_rules(lines: DataFrame, phrases: DataFrame, patterns=None) -> DataFrame
             hit = hit & ~F.regexp_extract("text", rx, 0).rlike(V.NOT_A_TICKET)
         hits.append(F.when(hit, F.lit(reason)))
     reasons = F.filter(F.array(*hits), lambda r: r.isNotNull())
-    fragment = F.substring(P.strip(F.col("text")), 1, 120).alias("fragment")
+    fragment = (P.strip(F.col("text")) if shown is None else F.substring(P.strip(F.col("text")), 1, shown)).alias("fragment")
     by_rule = lines.select("file", "line_no", F.explode(reasons).alias("reason"), fragment)
     held = contains_phrase(lines, phrases, ["file", "line_no"])
     return by_rule.unionByName(held.select("file", "line_no", F.lit(V.PHRASE_REASON).alias("reason"), fragment))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import fixed_values as V
 from tamiz.operators.ordered import CHUNK, rank_whole
-from tamiz.session import bounded_rows, durable
+from tamiz.session import durable
 
 
 def _free_ids(existing: DataFrame, low: int, high: int | None, wanted: int, chunk: int) -> DataFrame:
@@ -57,14 +57,13 @@ def allocate_ids(existing: DataFrame, requests: DataFrame, ranges=None, chunk: i
     return out
 
 
-def expand_languages(texts: DataFrame, languages: DataFrame, existing: DataFrame, most: int = 1000) -> DataFrame:
+def expand_languages(texts: DataFrame, languages: DataFrame, existing: DataFrame) -> DataFrame:
     """One row per text and active language, leaving out what exists. ``texts(id, lang, text)`` holds
-    the translations given; the rest get a placeholder. The language list is a small catalog and
-    its size is checked before it becomes part of the plan."""
-    codes = sorted(r[0] for r in bounded_rows(languages.select("lang").distinct(), most))
-    if not codes:
+    the translations given; the rest get a placeholder. The languages meet the texts as one list."""
+    codes = languages.where("lang IS NOT NULL").agg(F.sort_array(F.collect_set("lang")).alias("codes"), F.lit(1).alias("one"))
+    if languages.where("lang IS NOT NULL").isEmpty():
         raise ValueError("no active language")
-    ids = texts.select("id").distinct().select("id", F.explode(F.array(*[F.lit(c) for c in codes])).alias("lang"))
+    ids = (texts.select("id", F.lit(1).alias("one")).distinct().join(F.broadcast(codes), "one").select("id", F.explode("codes").alias("lang")))
     placeholder = F.concat(F.lit("[TEXTO_"), "lang", F.lit("]"))
     return (ids.join(texts.select("id", "lang", "text"), ["id", "lang"], "left")
             .join(existing.select("id", "lang"), ["id", "lang"], "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.functions import fixed_values as V
 from tamiz.functions.personal import clip
 from tamiz.operators.ordered import CHUNK, running
 
@@ -51,16 +52,7 @@ def match_patterns(lines: DataFrame, patterns: dict[str, list[str]]) -> DataFram
 
 def symbol_patterns(symbol: str, kind: str = "") -> list[str]:
     """Declaration and use patterns of a symbol by kind."""
-    forms = {
-        "class": [rf"class\s+{symbol}[\s:{{<]", rf"class\s+{symbol}$"],
-        "method": [rf"\s+{symbol}\s*\(", rf"void\s+{symbol}\s*\(", rf"public\s+\w+\s+{symbol}\s*\("],
-        "property": [rf"public\s+\w+\s+{symbol}\s*[{{;]"],
-        "interface": [rf"interface\s+{symbol}[\s:{{<]", rf"interface\s+{symbol}$"],
-        "enum": [rf"enum\s+{symbol}[\s{{]"],
-    }
-    every = [rf"class\s+{symbol}[\s:{{<]", rf"interface\s+{symbol}[\s:{{<]", rf"enum\s+{symbol}[\s{{]",
-             rf"\s+{symbol}\s*\(", rf"public\s+\w+\s+{symbol}\s*[{{;(]", rf"{symbol}\s*="]
-    return forms.get(kind.lower(), every)
+    return [form.replace("%s", symbol) for form in V.SYMBOL_FORMS.get(kind.lower(), V.SYMBOL_FORMS[""])]
 
 
 def find_sections(lines: DataFrame, keyword: str, heading: str = r"^#{1,4}\s+(.+)$", chunk: int = CHUNK) -> DataFrame:
@@ -78,19 +70,19 @@ def undocumented(changes: DataFrame, lines: DataFrame, element: str = "element")
     return changes.join(words.distinct(), F.lower(F.col(element)) == F.col("word"), "left_anti")
 
 
+def control_structs(col: Column) -> Column:
+    """All controls of a line with an identifier and a text, case ignored: an array of ``(id, label, kind)``."""
+    def of(kind: str, rx: str, i: int, t: int) -> Column:
+        return F.transform(F.regexp_extract_all(col, F.lit("(?i)" + rx), F.lit(0)), lambda m: F.struct(
+            F.regexp_extract(m, "(?i)" + rx, i).alias("id"), F.regexp_extract(m, "(?i)" + rx, t).alias("label"), F.lit(kind).alias("kind")))
+
+    return F.array_distinct(F.flatten(F.array(*[of(*form) for form in V.CONTROL_FORMS])))
+
+
 def extract_controls(lines: DataFrame, text: str = "text", keys: tuple[str, ...] = ("file", "line_no")) -> DataFrame:
-    """Controls with an identifier and a text in markup lines, once per pair of both."""
-    col = F.col(text)
-    # Fixed attribute orders, tried one after the other.
-    forms = [("control", r'<\w+:\w+[^>]+\bID="([^"]+)"[^>]*\bText="([^"]+)"', 1, 2),
-             ("control", r'\bText="([^"]+)"[^>]*\bID="([^"]+)"', 2, 1)]
-    hit = F.lit(None)
-    for kind, rx, i, t in reversed(forms):
-        row = F.struct(F.regexp_extract(col, rx, i).alias("id"), F.regexp_extract(col, rx, t).alias("label"),
-                       F.lit(kind).alias("kind"))
-        hit = F.when(col.rlike("(?i)" + rx), row).otherwise(hit)
-    found = lines.select(*keys, hit.alias("c")).where("c IS NOT NULL").select(*keys, "c.id", "c.label", "c.kind")
-    first = found.groupBy("id", "label").agg(F.min_by(F.struct("kind", *keys), F.struct(*keys)).alias("f"))
+    """Controls with an identifier and a text in markup lines, once per pair of both: where and as what it comes first."""
+    found = lines.select(*keys, F.explode(control_structs(F.col(text))).alias("c")).select(*keys, "c.id", "c.label", "c.kind")
+    first = found.groupBy("id", "label").agg(F.min_by(F.struct("kind", *keys), F.struct(*keys, "kind")).alias("f"))
     return first.select("id", "label", "f.*")
 
 

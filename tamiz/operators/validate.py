@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions import fixed_values as V
-from tamiz.session import bounded_rows
 
 FINDING = ["file", "line_no", "field", "rule", "value", "message"]
 COMPARE = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b,
@@ -18,13 +17,16 @@ COMPARE = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a,
 
 @dataclass(frozen=True)
 class Field:
-    """One declared field. ``tipo`` is text, integer, decimal or date."""
+    """One declared field. ``tipo`` is text, integer, decimal or date. ``decimales`` is the most, or with
+    ``decimales_obligatorios`` the exact, number of decimals; ``precision`` the most digits in all, leading zeros left out."""
 
     name: str
     tipo: str = "text"
     longitud: int | None = None
     start: int | None = None
     decimales: int | None = None
+    decimales_obligatorios: bool = False
+    precision: int | None = None
     nullable: bool = True
     pk: bool = False
     min: float | None = None
@@ -90,13 +92,16 @@ def read_date(col: Column, declared: str) -> Column:
     return F.when(col.rlike(f"^{shape}$"), F.try_to_timestamp(col, F.lit(pattern)))
 
 
-def numeric_ok(col: Column, decimals: int | None, separator: str, mandatory: bool = False) -> Column:
-    """Sign, digits and decimals as declared."""
+def numeric_ok(col: Column, decimals: int | None, separator: str, mandatory: bool = False, precision: int | None = None) -> Column:
+    """Sign, digits, decimals and number of digits as declared."""
     point = "\\" + separator
-    if not decimals:
-        return col.rlike(r"^[-+]?\d+$")
-    tail = rf"{point}\d{{{decimals}}}" if mandatory else rf"(?:{point}\d{{1,{decimals}}})?"
-    return col.rlike(rf"^[-+]?\d+{tail}$")
+    tail = ""
+    if decimals:
+        tail = rf"{point}\d{{{decimals}}}" if mandatory else rf"(?:{point}\d{{1,{decimals}}})?"
+    shape = col.rlike(rf"^[-+]?\d+{tail}$")
+    if precision is None:
+        return shape
+    return shape & (F.length(F.regexp_replace(F.regexp_replace(col, r"[^\d]", ""), "^0+(?=\\d)", "")) <= precision)
 
 
 def _field_checks(field: Field, spec: Structure) -> list[tuple[str, Column, str]]:
@@ -110,7 +115,7 @@ def _field_checks(field: Field, spec: Structure) -> list[tuple[str, Column, str]
         out.append(("length", ~empty & (F.length(raw) > field.longitud), f"longer than {field.longitud}"))
     if field.tipo in ("integer", "decimal"):
         separator = field.numeric_format or spec.numeric_format
-        ok = numeric_ok(text, field.decimales if field.tipo == "decimal" else None, separator)
+        ok = numeric_ok(text, field.decimales if field.tipo == "decimal" else None, separator, field.decimales_obligatorios, field.precision)
         out.append(("type" if field.tipo == "integer" else "numeric", ~empty & ~ok, f"not {field.tipo}"))
         value = typed(field, spec)
         if field.min is not None:
@@ -202,26 +207,18 @@ def check_structure(rows: DataFrame, spec: Structure) -> DataFrame:
     return out
 
 
-def match_files(files: DataFrame, structures: DataFrame, most: int = 200) -> DataFrame:
-    """Structure of every file by name pattern, the longest match winning, then the first name.
-
-    A registry ``(structure, pattern)`` of up to ``most`` rows becomes one expression. A larger one
-    is looked up by hash: the pieces of a file name, which is short, meet the patterns in a join.
-    """
-    known = structures.select("structure", F.upper("pattern").alias("pattern")).where("pattern <> ''")
-    name = F.upper("file")
-    if known.limit(most + 1).count() > most:
-        sizes = [r[0] for r in bounded_rows(known.select(F.length("pattern")).distinct(), 1000)]
-        starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-        pieces = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(s) for s in sorted(sizes)]), lambda s: F.transform(
-            starts, lambda i: F.substr(name, i, s)))))
-        best = (files.select("file", F.explode(pieces).alias("pattern")).join(known, "pattern").groupBy("file")
-                .agg(F.min_by("structure", F.struct(-F.length("pattern"), "structure")).alias("structure")))
-        return files.select("file").join(best, "file", "left")
-    rows = sorted(known.collect(), key=lambda r: (-len(r["pattern"]), r["structure"]))
-    hit = F.coalesce(*[F.when(name.contains(r["pattern"]), F.lit(r["structure"])) for r in rows],
-                     F.lit(None).cast("string"))
-    return files.select("file", hit.alias("structure"))
+def match_files(files: DataFrame, structures: DataFrame) -> DataFrame:
+    """Structure of every file by name pattern, the longest match winning, then the first name. Patterns are looked up by hash:
+    the pieces of a file name, which is short, meet the registry ``(structure, pattern)`` in a join, however long that is."""
+    known = (structures.select("structure", F.upper("pattern").alias("pattern")).where("pattern <> ''")
+             .groupBy("pattern").agg(F.min("structure").alias("structure")))
+    names = files.select(F.upper("file").alias("name")).where("name IS NOT NULL").distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
+    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("name") - i + 1, F.lit(1))), lambda n: F.substr("name", i, n)))))
+    best = (names.select("name", F.explode(pieces).alias("pattern")).join(known, "pattern").groupBy("name")
+            .agg(F.min_by("structure", F.struct(-F.length("pattern"), "structure")).alias("structure")))
+    return files.select("file", F.upper("file").alias("name")).join(best, "name", "left").select("file", "structure")
 
 
 def missing_files(matched: DataFrame, structures: DataFrame) -> DataFrame:

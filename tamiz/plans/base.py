@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.session import local_rows, spread, table
+from tamiz.session import local_rows, table
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -27,7 +27,7 @@ def catalog_of(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents for work on their whole texts."""
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return table(spark, folder, "documents")
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:

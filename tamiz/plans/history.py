@@ -97,8 +97,11 @@ def _refs(spark, folder):
 
 
 def impact(spark, folder):
-    edges = _refs(spark, folder)
-    starts = table(spark, folder, "region").select(F.concat(F.lit("r:"), _text("r_regionkey")).alias("node"))
+    # Some orders refer to a region directly as well, so nodes have several targets; region 99 is referred to by nothing.
+    direct = table(spark, folder, "orders").where("o_orderstatus = 'P'").select(
+        F.concat(F.lit("o:"), _text("o_orderkey")).alias("source"), F.concat(F.lit("r:"), (F.col("o_custkey") % 5).cast("string")).alias("target"))
+    edges = _refs(spark, folder).unionByName(direct)
+    starts = table(spark, folder, "region").select(F.explode(F.array(F.concat(F.lit("r:"), _text("r_regionkey")), F.lit("r:99"))).alias("node"))
     layers = edges.select(F.col("source").alias("node"), F.substring_index("source", ":", 1).alias("layer"))
     return H.impact(edges, starts, layers, depth=5)
 
@@ -317,9 +320,14 @@ FROM l ORDER BY x + y DESC, churn DESC, size DESC, path LIMIT 15""",
 SELECT *, versions FROM (SELECT package, version, solutions, count(*) OVER (PARTITION BY package) AS versions FROM p) WHERE versions > 1""".replace("SELECT *, versions", "SELECT *"),
     "q_impact": """WITH c AS (SELECT n_regionkey AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
 n AS (SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1),
-o AS (SELECT n_regionkey AS r, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
-SELECT 'r:' || n.r AS start, n.n AS direct, c.n + o.n AS indirect, n.n + c.n + o.n AS total, 3::BIGINT AS layers, 'high' AS impact
-FROM n JOIN c USING (r) JOIN o USING (r)""",
+o AS (SELECT n_regionkey AS r, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+p AS (SELECT o_orderkey, o_custkey % 5 AS r FROM orders WHERE o_orderstatus = 'P'), d AS (SELECT r, count(*) AS n FROM p GROUP BY 1),
+twice AS (SELECT n_regionkey AS r, count(*) AS n FROM p JOIN orders USING (o_orderkey) JOIN customer ON orders.o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE p.r = n_regionkey GROUP BY 1)
+SELECT 'r:' || n.r AS start, n.n + coalesce(d.n, 0) AS direct, c.n + o.n - coalesce(t.n, 0) AS indirect, n.n + c.n + o.n + coalesce(d.n, 0) - coalesce(t.n, 0) AS total,
+  3::BIGINT AS layers, false AS cut, 'high' AS impact
+FROM n JOIN c USING (r) JOIN o USING (r) LEFT JOIN d USING (r) LEFT JOIN twice t USING (r)
+UNION ALL SELECT 'r:99', 0, 0, 0, 0, false, 'low'""",
     "q_unreferenced_customers": """SELECT c_custkey AS symbol, CASE WHEN c_mktsegment = 'BUILDING' THEN 'inconclusive' ELSE 'dead' END AS verdict
 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)""",
     "q_reference_coverage": """SELECT p_brand, count(*) AS symbols, count(*) FILTER (u) AS covered, round(count(*) FILTER (u) * 100 / count(*), 2) AS percent

@@ -243,7 +243,7 @@ UNION ALL SELECT 'INSERT INTO SUPPLIER (s_suppkey, s_name, s_nationkey, s_acctba
 UNION ALL SELECT 'INSERT INTO ORDERS (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority) VALUES (' || o_orderkey || ', ' || o_custkey || ', ''' ||
   o_orderstatus || ''', ' || regexp_replace(o_totalprice::VARCHAR, '\\.0$', '') || ', ''' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ''', ''' || o_orderpriority || ''');' FROM orders""",
     "q_terminated_rows": """SELECT c_custkey::VARCHAR AS key, c_name || chr(10) || 'x' AS name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment FROM customer WHERE c_nationkey <> 3
-UNION ALL SELECT 'rejected', '4', md5(substr(c_custkey || '|@#@|' || c_name || '@@LF@@x|@#@|' || CASE WHEN c_acctbal < 0 THEN '@@NULL@@' ELSE c_mktsegment END || '|@#@|extra', 1, 120))
+UNION ALL SELECT 'rejected', '4', md5(c_custkey || '|@#@|' || c_name || '@@LF@@x|@#@|' || CASE WHEN c_acctbal < 0 THEN '@@NULL@@' ELSE c_mktsegment END || '|@#@|extra')
 FROM customer WHERE c_nationkey = 3""",
     "q_structured_rows": """SELECT 'c' AS file, c_custkey AS line_no, lpad(c_custkey::VARCHAR, 10, '0') AS key, rpad(c_name, 20, ' ') AS a, substr(c_mktsegment, 1, 4) AS b FROM customer
 UNION ALL SELECT 'o', o_orderkey, o_orderkey::VARCHAR, 'a;b "' || o_orderstatus || '"', o_orderpriority FROM orders""",

@@ -11,14 +11,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small input out over the cores when it sits in fewer splits than there are cores, for
-    work that costs more than moving its rows. Anything larger is left as it is: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores, key) if splits < cores else df
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint that outlives lost executors."""
     spark = df.sparkSession

@@ -20,9 +20,37 @@ def read_error_xml(spark: SparkSession, path: str) -> DataFrame:
                        F.concat(F.array(head), F.coalesce(detail, F.array().cast("array<string>"))).alias("lines"))
 
 
+def parse_error_xml(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Log events of whole ``<error>`` documents in a text column; what is no such document gives no event."""
+    schema = "_time string, _type string, _message string, _detail string"
+    doc = F.from_xml(F.col(column), schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = texts.select(*keep, doc.alias("e")).where("e._bad IS NULL AND e IS NOT NULL").select(*keep, "e.*")
+    head = F.concat(F.coalesce("_type", F.lit("")), F.lit(": "), F.coalesce("_message", F.lit("")))
+    detail = F.slice(F.split("_detail", "\n"), F.lit(1), F.lit(V.XML_DETAIL_LINES))
+    return rows.select(*keep, F.lit(L.XML).alias("kind"), F.coalesce("_time", F.lit("")).alias("stamp"),
+                       F.concat(F.array(head), F.coalesce(detail, F.array().cast("array<string>"))).alias("lines"))
+
+
+COUNTERS = ["total", "executed", "passed", "failed", "error", "timeout", "aborted", "notExecuted", "inconclusive"]
+
+
+def parse_test_results(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Counters and single results of whole result documents in a text column. A cut-off document has neither."""
+    result = "_testName: string, _outcome: string, Output: struct<ErrorInfo: struct<Message: string, StackTrace: string>>"
+    schema = (f"ResultSummary struct<Counters: struct<{', '.join(f'_{n}: bigint' for n in COUNTERS)}>>, "
+              f"Results struct<UnitTestResult: array<struct<{result}>>>, _bad string")
+    doc = F.from_xml(F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    whole = texts.select(*keep, doc.alias("d")).where("d._bad IS NULL AND d.ResultSummary.Counters IS NOT NULL")
+    counters = whole.select(*keep, *[F.col(f"d.ResultSummary.Counters._{n}").alias(n) for n in COUNTERS])
+    results = whole.select(*keep, F.explode("d.Results.UnitTestResult").alias("r")).select(
+        *keep, F.col("r._testName").alias("testName"), F.col("r._outcome").alias("outcome"),
+        F.col("r.Output.ErrorInfo.Message").alias("message"), F.col("r.Output.ErrorInfo.StackTrace").alias("stack"))
+    return counters, results
+
+
 def read_test_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Counters and single results of test-result files; a cut-off file is not among them."""
-    names = ["total", "executed", "passed", "failed", "error", "timeout", "aborted", "notExecuted", "inconclusive"]
+    names = COUNTERS
     xml = lambda tag, schema: (spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED")
                                .option("ignoreCorruptFiles", "true").schema(schema).load(path))
     counters = xml("Counters", ", ".join(f"_{n} bigint" for n in names)).select(
@@ -31,7 +59,8 @@ def read_test_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
                   "Output struct<ErrorInfo: struct<Message: string, StackTrace: string>>").select(
         F.col("_metadata.file_path").alias("file"), F.col("_testName").alias("testName"), F.col("_outcome").alias("outcome"),
         F.col("Output.ErrorInfo.Message").alias("message"), F.col("Output.ErrorInfo.StackTrace").alias("stack"))
-    return counters, results
+    # A cut-off file has lost its counters; what is left of its results is not a result of the run.
+    return counters, results.join(counters.select("file").distinct(), "file", "left_semi")
 
 
 _CATALOG_SQL = """
@@ -54,25 +83,44 @@ FROM tabs, LATERAL variant_explode(variant_get(v, '$.columns', 'variant')) AS c
 WHERE schema_of_variant(c.value) LIKE 'OBJECT%'"""
 
 
+def parse_catalog(texts: DataFrame) -> DataFrame:
+    """Catalog columns of JSON documents in the column ``value``; tables and columns may be objects or lists. Marks that are
+    absent stay NULL."""
+    return texts.sparkSession.sql(_CATALOG_SQL, texts=texts)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog columns of a JSON document; tables and columns may be objects or lists. Marks that
-    are absent stay NULL."""
-    texts = spark.read.option("wholetext", "true").text(path)
-    return spark.sql(_CATALOG_SQL, texts=texts)
+    return parse_catalog(spark.read.option("wholetext", "true").text(path))
 
 
 HISTORY = "id string, timestamp string, solution string, workspace string, task string, status string, agents array<string>"
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Run history from a JSON array; a missing or broken file is an empty history."""
+def parse_history(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Runs of whole history texts: a JSON array, or one JSON object a line. A broken array gives no run, a broken line is left
+    out, and so is a run without an id. ``version`` is null but in files of ``append_history``."""
+    row = HISTORY + ", version bigint"
+    body = F.regexp_replace(F.col(column), r"^[\uFEFF\s]+", "")
+    lines = F.filter(F.split(body, r"\r?\n"), lambda t: F.trim(t) != "")
+    runs = F.when(body.startswith("["), F.from_json(body, f"array<struct<{row.replace(' ', ':').replace(',:', ',')}>>")).otherwise(
+        F.transform(lines, lambda t: F.from_json(t, row)))
+    return texts.select(*keep, F.explode(runs).alias("r")).where("r.id IS NOT NULL").select(*keep, "r.*")
+
+
+def history_rows(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.errors import AnalysisException
     try:
-        df = (spark.read.schema(HISTORY + ", _corrupt_record string").option("multiLine", "true")
-              .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+        texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").text(path)
     except AnalysisException:
-        return spark.createDataFrame([], HISTORY)
-    return df.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record")
+        return spark.createDataFrame([], HISTORY + ", version bigint")
+    return parse_history(texts)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Run history of a file or folder; a missing or broken file is an empty history. Of a folder with versions, the newest."""
+    rows = history_rows(spark, path)
+    top = rows.agg(F.max("version")).first()[0]
+    return (rows if top is None else rows.where(F.col("version") == top)).drop("version")
 
 
 def read_dictionary(spark: SparkSession, database: str | None = None) -> DataFrame:

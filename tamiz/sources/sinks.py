@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamiz.functions import fixed_values as V
-from tamiz.functions.personal import redact_text
+from tamiz.functions.personal import as_text, redact_text
+
 
 def _literal(name: str, kind: T.DataType, dialect: str, large: bool) -> Column:
     col = F.col(f"`{name}`")
@@ -20,11 +21,17 @@ def _literal(name: str, kind: T.DataType, dialect: str, large: bool) -> Column:
         text = F.concat(F.lit("HEXTORAW('"), F.hex(col), F.lit("')")) if dialect == "ORACLE" else F.concat(F.lit("0x"), F.hex(col))
         text = F.when(F.length(col) == 0, F.lit("NULL")).otherwise(text)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        text = F.coalesce(F.regexp_replace(col.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", ""), col.cast("string"))
+        # Every digit is kept (an exponent where the number needs one); only one dialect can write what is no number.
+        odd = {"Infinity": "BINARY_DOUBLE_INFINITY", "-Infinity": "-BINARY_DOUBLE_INFINITY", "NaN": "BINARY_DOUBLE_NAN"}
+        text = as_text(col, "double")
+        for name, literal in odd.items():
+            text = F.when(col.cast("string") == name, literal if dialect == "ORACLE" else "NULL").otherwise(text)
     elif isinstance(kind, T.NumericType):
         text = col.cast("string")
     elif isinstance(kind, T.BooleanType):
         text = col.cast("int").cast("string")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and dialect == "SQLSERVER":
+        text = quoted(F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         text = quoted(F.date_format(col, "yyyy-MM-dd HH:mm:ss"))
     else:
@@ -113,9 +120,24 @@ def split_history(df: DataFrame, keep: int = V.HISTORY_KEEP) -> tuple[DataFrame,
 
 
 def append_history(df: DataFrame, current: str, archive: str, keep: int = V.HISTORY_KEEP) -> None:
+    """Write the history: its newest runs to ``current``, older ones to ``archive`` by month.
+
+    ``df`` may be what was read from ``current``. There are two slots; the new version goes to the slot that the readable one
+    does not use, so a run that is lost on the way leaves the old version whole. The archive's rows lie under the version that
+    moved them, so a repeated run writes the same rows over again. JSON lines throughout, as ``read_history`` reads them."""
+    spark = df.sparkSession
+    last = _history_version(spark, current)
     kept, old = split_history(df, keep)
-    old.write.mode("append").partitionBy("month").json(archive)
-    kept.write.mode("overwrite").json(current)
+    columns = [c for c in df.columns if c != "version"]
+    (old.select(*columns, "month").withColumn("batch", F.lit(last + 1)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("month", "batch").json(archive))
+    kept.select(*columns).withColumn("version", F.lit(last + 1).cast("bigint")).write.mode("overwrite").json(f"{current}/slot-{(last + 1) % 2}")
+
+
+def _history_version(spark, current: str) -> int:
+    from tamiz.sources.documents import history_rows
+    top = history_rows(spark, current).agg(F.max("version")).first()[0]
+    return top or 0
 
 
 def replace_partition(df: DataFrame, path: str, key: str) -> None:

@@ -11,29 +11,16 @@ from tamiz.operators.validate import Structure
 
 # Characters 0x80-0x9F as the Windows code page reads them; its five unused places stay as they are.
 _HIGH = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
-SMALL_FILE = 64 * 1024 * 1024
 
 
-def _decoded(raw: Column, valid: Column) -> Column:
+def decoded(raw: Column, valid: Column) -> Column:
+    """Text of bytes: UTF-8 when valid, else the ANSI code page."""
     ansi = F.translate(F.decode(raw, "ISO-8859-1"), "".join(chr(b) for b in range(0x80, 0xA0)), "".join(_HIGH))
     return F.when(valid, F.decode(raw, "UTF-8")).otherwise(ansi)
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Lines ``(file, mtime, line_no, text)`` of files that fit one row, at most 64 MB each: a larger
-    one fails here and belongs to read_lines_large. UTF-8 when valid, else the ANSI code page."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
-    size = F.when(F.col("length") > SMALL_FILE, F.raise_error(F.concat(F.lit("file too large for one row: "), "path")).cast("binary"))
-    raw = F.coalesce(size, F.col("content"))
-    text = F.regexp_replace(_decoded(raw, F.is_valid_utf8(F.col("content").cast("string"))), "^﻿", "")
-    split = F.split(F.regexp_replace(text, r"\r\n|\r|\n\z", "\n"), "\n")
-    trimmed = F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
-    return (files.select(F.col("path").alias("file"), F.col("modificationTime").alias("mtime"), F.posexplode(trimmed).alias("p", "text"))
-            .select("file", "mtime", (F.col("p") + 1).cast("bigint").alias("line_no"), "text"))
-
-
-def read_lines_large(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """The same lines for files of any size. A task numbers its rows one after the other, so a line's
+    """Lines ``(file, mtime, line_no, text)`` of files of any size, UTF-8 when a file is valid, else the ANSI code page. A task numbers its rows one after the other, so a line's
     place in its file block is its number less the block's least one; blocks are shifted by the lines
     before them. Only the short table of blocks is shuffled when it can be sent to every task."""
     raw = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path).select(
@@ -44,9 +31,11 @@ def read_lines_large(spark: SparkSession, path: str, glob: str = "*") -> DataFra
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shift = per.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"),
                        F.bool_and("ok").over(Window.partitionBy("file")).alias("ok"))
-    text = F.regexp_replace(_decoded(F.col("raw"), F.col("ok")), "^﻿", "")
-    return (raw.join(shift, ["file", "block"])
-            .select("file", "mtime", (F.col("place") + F.col("shift")).alias("line_no"), text.alias("text")))
+    text = decoded(F.col("raw"), F.col("ok"))
+    number = F.col("place") + F.col("shift")
+    # A byte-order mark opens a file; anywhere else it is text.
+    plain = F.when(number == 1, F.regexp_replace(text, "^\uFEFF", "")).otherwise(text)
+    return raw.join(shift, ["file", "block"]).select("file", "mtime", number.alias("line_no"), plain.alias("text"))
 
 
 def read_result_text(spark: SparkSession, path: str, sep: str = "|", quoted: bool = False) -> DataFrame:
@@ -116,9 +105,8 @@ def parse_structured(lines: DataFrame, spec: Structure) -> DataFrame:
     return body.where(text != "").select("file", "line_no", *cells)
 
 
-def read_structured_file(spark: SparkSession, path: str, spec: Structure, large: bool = False) -> DataFrame:
-    lines = (read_lines_large if large else read_lines)(spark, path)
-    return parse_structured(lines, spec)
+def read_structured_file(spark: SparkSession, path: str, spec: Structure) -> DataFrame:
+    return parse_structured(read_lines(spark, path), spec)
 
 
 def parse_terminated(records: DataFrame, columns: list[str], value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -131,7 +119,7 @@ def parse_terminated(records: DataFrame, columns: list[str], value: str = "value
     back = lambda c: F.replace(F.replace(c, F.lit(V.CR_TOKEN), F.lit("\r")), F.lit(V.LF_TOKEN), F.lit("\n"))
     rows = cells.where(good).select(*[
         F.when(F.get("__c", F.lit(i)) != V.NULL_TOKEN, back(F.get("__c", F.lit(i)))).alias(c) for i, c in enumerate(columns)])
-    rejects = cells.where(~good).select(F.size("__c").alias("cells"), F.substring("__t", 1, 120).alias("text"))
+    rejects = cells.where(~good).select(F.size("__c").alias("cells"), F.col("__t").alias("text"))
     return rows, rejects
 
 

@@ -44,7 +44,14 @@ def test_impact_levels(spark):
     starts = spark.createDataFrame([("a",), ("y",), ("q",)], "node string")
     layers = spark.createDataFrame([("b", "ui"), ("c", "bus"), ("d", "dalc"), ("z", "ui"), ("a", "ui")], "node string, layer string")
     got = {r["start"]: (r["direct"], r["indirect"], r["impact"]) for r in H.impact(edges, starts, layers, 9).collect()}
-    assert got == {"a": (1, 2, "high"), "y": (1, 0, "low")}
+    assert got == {"a": (1, 2, "high"), "y": (1, 0, "low"), "q": (0, 0, "low")}
+    # Several outgoing edges and repeated layers of a referrer count it once; what lies beyond the depth is told.
+    edges = spark.createDataFrame([("b", "a"), ("b", "x"), ("b", "y"), ("c", "b")], "source string, target string")
+    layers = spark.createDataFrame([("b", "ui"), ("b", "ui"), ("b", "bus"), ("c", "ui")], "node string, layer string")
+    r = H.impact(edges, starts.where("node = 'a'"), layers, 1).first()
+    assert (r["direct"], r["indirect"], r["total"], r["layers"], r["cut"]) == (1, 0, 1, 2, True)
+    assert not H.impact(edges, starts.where("node = 'a'"), layers, 2).first()["cut"]
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("a", "d"), ("z", "y")], "source string, target string")
     assert H.reach(edges, starts, 1).count() == 2
 
 

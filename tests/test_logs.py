@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import logtext as L
 from tamiz.operators import logs as O
-from tests import models
 
 SCHEMA = "file string, line_no bigint, text string"
 HEAD = "{label}: ({day}/08/2026 {time}) - Codigo error: {code} Codigo error sql: 0 Descripción error: {text}"
@@ -65,21 +64,36 @@ def test_no_errors_is_an_explicit_empty_report(spark):
     assert (s["total_events"], s["format_detected"]) == (0, "desconocido")
 
 
-@pytest.mark.parametrize("chunk", [3, 65536])
-def test_assembly_equals_line_by_line_reading(spark, chunk):
+MIXED = [
+    ("texto", None), ("System.IO.IOException: lectura", "plain"), ("   en Tienda.A.B(String s)", "+"),
+    ("2026-08-11 10:00:00 INFO nada", None), ("   detalle que se salta", None), ("System.IO.IOException en lo saltado", None),
+    ("2026-08-11 10:00:00 ERROR x", "stamped"), ("texto", "+"),
+    ("[2026-08-11 10:00] Tienda.PagoException", "stamped"), ("(11/08/2026 13:45) nada", None),
+    (head(), "labelled"), ("2026-08-11 10:00:00 INFO es parte del mensaje", "+"), ("", "+"),
+    (head(label="Warn"), None), ("System.IO.IOException tras un aviso", None), (head(label="Aviso"), "labelled"), ("fin", "+")]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 65536])
+def test_assembly_of_mixed_headers(spark, chunk):
+    lines = spark.createDataFrame([("m", i, t) for i, (t, _) in enumerate(MIXED, 1)], SCHEMA)
+    want, last = {}, None
+    for i, (text, mark) in enumerate(MIXED, 1):
+        if mark == "+":
+            want[last][1].append(text)
+        elif mark:
+            last, want[i] = i, (mark, [text])
+    got = {r["line_no"]: (r["kind"], r["lines"]) for r in O.assemble_events(lines, chunk=chunk).collect()}
+    assert got == want
+
+
+def test_chunks_change_nothing_and_events_are_cut(spark):
     rng = random.Random(7)
-    kinds = [head(), head(label="Warn"), head(label="Aviso"), "2026-08-11 10:00:00 ERROR x", "2026-08-11 10:00:00 INFO x", "(11/08/2026 13:45) nada",
-             "[2026-08-11 10:00] Tienda.PagoException", "  System.IO.IOException: lectura", "   en Tienda.A.B(String s)", "texto", ""]
-    rows, want = [], set()
-    for f in range(40):
-        body = [rng.choice(kinds[rng.choice([0, 3]):]) for _ in range(rng.choice([5, 30, 120]))]
-        if f % 7 == 0:
-            body = ["texto"] * 3 + ["System.IO.IOException"] + ["   en X.Y()"] * 60
-        rows += [(f"f{f}", i, t) for i, t in enumerate(body, 1)]
-        want |= {(f"f{f}", n, kind, tuple(ls)) for n, kind, ls in models.log_events(body)}
+    kinds = [t for t, _ in MIXED]
+    rows = [(f"f{f}", i, rng.choice(kinds)) for f in range(30) for i in range(1, rng.choice([5, 30, 120]))]
+    rows += [("long", i, t) for i, t in enumerate(["System.IO.IOException"] + ["   en X.Y()"] * 60, 1)]
     lines = spark.createDataFrame(rows, SCHEMA)
-    got = {(r["file"], r["line_no"], r["kind"], tuple(r["lines"])) for r in O.assemble_events(lines, chunk=chunk).collect()}
-    assert got == want and len({k for _, _, k, _ in want}) == 3
+    one, two = ({(r["file"], r["line_no"], r["kind"], tuple(r["lines"])) for r in O.assemble_events(lines, chunk=c).collect()} for c in (3, 65536))
+    assert one == two and len(next(ls for f, _, _, ls in one if f == "long")) == 40
 
 
 def test_levels_and_since(spark):

@@ -13,21 +13,20 @@ from tamiz.sources import text as A
 
 def test_lines_and_encodings(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "a.log").write_bytes("﻿uno\r\ndos é\n\ncuatro".encode())
+    (tmp_path / "a.log").write_bytes("\ufeffuno\r\n\ufeffdos é\n\ncuatro".encode())
     (tmp_path / "sub" / "b.log").write_bytes("línea € “x”\nfin\n".encode("cp1252"))
     (tmp_path / "c.txt").write_text("no")
-    for read in (A.read_lines, A.read_lines_large):
-        rows = read(spark, str(tmp_path), "*.log").collect()
-        got = {(r["file"].rsplit("/", 1)[1], r["line_no"], r["text"]) for r in rows}
-        assert got == {("a.log", 1, "uno"), ("a.log", 2, "dos é"), ("a.log", 3, ""), ("a.log", 4, "cuatro"),
-                       ("b.log", 1, "línea € “x”"), ("b.log", 2, "fin")}
+    rows = A.read_lines(spark, str(tmp_path), "*.log").collect()
+    got = {(r["file"].rsplit("/", 1)[1], r["line_no"], r["text"]) for r in rows}
+    assert got == {("a.log", 1, "uno"), ("a.log", 2, "\ufeffdos é"), ("a.log", 3, ""), ("a.log", 4, "cuatro"),
+                   ("b.log", 1, "línea € “x”"), ("b.log", 2, "fin")}
 
 
 def test_large_files_are_numbered_across_blocks(spark, tmp_path):
     (tmp_path / "big.log").write_text("".join(f"linea {i}\n" for i in range(1, 20001)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        lines = A.read_lines_large(spark, str(tmp_path))
+        lines = A.read_lines(spark, str(tmp_path))
         assert lines.count() == 20000
         assert lines.where(F.concat(F.lit("linea "), F.col("line_no").cast("string")) != F.col("text")).count() == 0
     finally:
@@ -118,7 +117,7 @@ def test_structured_forms(spark, tmp_path):
     (tmp_path / "f.csv").write_text('A;B\n1;"x;""y"\n2;z\n')
     plain = A.read_structured_file(spark, str(tmp_path / "f.csv"), Structure("S", fields=fields, tiene_cabecera=True))
     assert {(r["a"], r["b"]) for r in plain.collect()} == {("1", '"x'), ("2", "z")}
-    quoted = A.read_structured_file(spark, str(tmp_path / "f.csv"), Structure("S", fields=fields, text_qualifier='"', tiene_cabecera=True), large=True)
+    quoted = A.read_structured_file(spark, str(tmp_path / "f.csv"), Structure("S", fields=fields, text_qualifier='"', tiene_cabecera=True))
     assert {(r["line_no"], r["a"], r["b"]) for r in quoted.collect()} == {(2, "1", 'x;"y'), (3, "2", "z")}
 
 
@@ -158,8 +157,29 @@ def test_history_rotation(spark, tmp_path):
     assert kept.where("task LIKE '%12345678Z%'").count() == 0
     assert kept.agg(F.min("timestamp")).first()[0] >= old.agg(F.max("timestamp")).first()[0]
     assert Z.split_history(df.limit(5), 100)[1].count() == 0
-    Z.append_history(df, str(tmp_path / "now"), str(tmp_path / "old"), 100)
-    assert spark.read.json(str(tmp_path / "old")).count() == 150
+    now, past = str(tmp_path / "now"), str(tmp_path / "old")
+    Z.append_history(df, now, past, 100)
+    assert spark.read.json(past).count() == 150
+    # Read from, add to and write to the same folder, again and again.
+    for n in (1, 2, 3):
+        back = D.read_history(spark, now)
+        assert back.count() == 100
+        new = spark.createDataFrame([(f"n{n}", f"2026-09-0{n}T00:00:00", "x")], "id string, timestamp string, task string")
+        Z.append_history(back.unionByName(new, allowMissingColumns=True), now, past, 100)
+    assert D.read_history(spark, now).where("id LIKE 'n%'").count() == 3 and spark.read.json(past).select("id").distinct().count() == spark.read.json(past).count() == 153
+
+
+def test_history_texts(spark):
+    texts = spark.createDataFrame([('\ufeff[{"id": "1", "task": "a",\n "agents": ["x"]}, {"task": "no id"}]',), ('{"id": "2"}\n\nbroken\n{"id": "3"}\n',), ("[broken",), ("",), (None,)], "value string")
+    assert sorted(r["id"] for r in D.parse_history(texts).collect()) == ["1", "2", "3"]
+
+
+def test_numbers_and_times_of_insert_scripts(spark):
+    df = spark.sql("SELECT CAST(v AS DOUBLE) AS v, TIMESTAMP_NTZ'2026-01-02 03:04:05.123456' AS t FROM VALUES ('1.123456789012345'), ('1e-12'), ('NaN'), ('-Infinity'), ('100') AS x(v)")
+    texts = {d: [r[0].split("VALUES (")[1] for r in Z.insert_statements(df, "T", d).collect()] for d in ("ORACLE", "SQLSERVER")}
+    assert [t.split(",")[0] for t in texts["ORACLE"]] == ["1.123456789012345", "0.000000000001", "BINARY_DOUBLE_NAN", "-BINARY_DOUBLE_INFINITY", "100"]
+    assert [t.split(",")[0] for t in texts["SQLSERVER"]][2:] == ["NULL", "NULL", "100"]
+    assert "'2026-01-02 03:04:05');" in texts["ORACLE"][0] and "'2026-01-02 03:04:05.123456');" in texts["SQLSERVER"][0]
 
 
 def test_partition_replacement(spark, tmp_path):

@@ -48,8 +48,9 @@ def test_relation_catalog_and_files(spark):
     assert {r["file"]: r["structure"] for r in matched.collect()} == {"x_cli_dir_1.txt": "CLIDIR", "cli_2.txt": "CLI", "otro.txt": None}
     assert [r["structure"] for r in O.missing_files(matched, rules).collect()] == ["PAG"]
     assert [r["file"] for r in O.unmatched_files(matched).collect()] == ["otro.txt"]
-    by_hash = O.match_files(matched, rules, most=1)
-    assert sorted(map(tuple, by_hash.collect()), key=str) == sorted(map(tuple, matched.select("file", "structure").collect()), key=str)
+    many = spark.createDataFrame([(f"S{k:04d}", f"P{k:04d}" + "X" * (k % 40), True) for k in range(1500)], "structure string, pattern string, required boolean")
+    got = O.match_files(spark.createDataFrame([("a_p0039" + "x" * 39,), ("p0039x",), ("p0040",), (None,), ("p0040",)], "file string"), many).collect()
+    assert sorted((r["file"] or "", r["structure"]) for r in got) == [("", None), ("a_p0039" + "x" * 39, "S0039"), ("p0039x", None), ("p0040", "S0040"), ("p0040", "S0040")]
 
 
 def test_versions_and_groups(spark):
