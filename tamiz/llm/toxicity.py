@@ -94,8 +94,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 32
     text_of = np.concatenate([p[1] + p[2] for p in parts])
     bounds = np.searchsorted(text_of, np.arange(len(texts) + 1))
     embedding = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
-    seen = np.unique(np.stack([np.repeat(text_of, all_buckets.shape[1]).astype(np.int64), all_buckets.ravel()], axis=1), axis=0) if len(text_of) else np.zeros((0, 2), np.int64)
-    per = [np.bincount(seen[labels[seen[:, 0]] == y, 1], minlength=BUCKETS) for y in (0, 1)]
+    seen = np.unique(np.repeat(text_of.astype(np.int64), all_buckets.shape[1]) * BUCKETS + all_buckets.ravel())
+    of_label = labels[seen // BUCKETS]
+    per = [np.bincount(seen[of_label == y] % BUCKETS, minlength=BUCKETS) for y in (0, 1)]
     odds = np.log((per[1] + 0.5) / (labels.sum() + 1)) - np.log((per[0] + 0.5) / ((1 - labels).sum() + 1))
     # A bucket seen in few texts tells little either way.
     embedding[:, 0] = (odds * np.minimum(1, (per[0] + per[1]) / 20) / 4).astype(np.float32)
