@@ -52,7 +52,8 @@ def tag_headers(lines: DataFrame, levels: list[str] | None = None, since: str |
     inside = F.coalesce(F.col("open_lab"), F.lit(False))
     heads = seen.where(is_lab | ((F.col("kind") == L.STAMPED) & ~inside)
                        | (is_plain & F.col("first_head").isNull() & (F.col("line_no") == F.col("first_bare"))))
-    heads = heads.select("file", "line_no", "kind", "stamp", "kept", (-F.col("line_no")).alias("back"))
+    # Stored, as the way back reads it twice.
+    heads = durable(heads.select("file", "line_no", "kind", "stamp", "kept", (-F.col("line_no")).alias("back")))
     return running(heads, ["file"], "back", {"next_line": (F.col("line_no"), "last")}, chunk,
                    exclusive=True).drop("back")
 
