@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tamiz.llm.attribution import op6_token_counts
-from tamiz.llm.jaccard import op7_jaccard_join
+from tamiz.llm.jaccard import OP7_SQL, op7_jaccard_join
 from tamiz.llm.langid import op2_language_id
 from tamiz.llm.mixing import op9_mixing
 from tamiz.llm.packing import op1_best_fit_packing
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
-ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op8_top_k": OP8_SQL}
+ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op8_top_k": OP8_SQL}
