@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions import fixed_values as V
+from tamiz.functions.personal import as_text
 from tamiz.functions import sqltext as S
 from tamiz.functions.types import normalise_type, same_type
 from tamiz.operators.ordered import first_rows
@@ -371,18 +372,26 @@ def access_advice(statements: DataFrame, layout: DataFrame, sizes: DataFrame, la
             .select("id", "table", F.col("x.f").alias("finding"), F.col("x.s").alias("severity")))
 
 
-def truncation_risk(df: DataFrame, declared: dict[str, tuple[int | None, bool]]) -> DataFrame:
-    """Longest text and NULLs of every column against its declaration ``{column: (length, nullable)}``,
-    in one pass."""
+def truncation_risk(df: DataFrame, declared: dict[str, tuple]) -> DataFrame:
+    """Longest text and NULLs of every column against its declaration ``{column: (length, nullable)}``, in one pass. A number
+    is declared ``(precision, nullable, scale)``: its longest whole part and its decimals are held against those, and
+    ``loses_digits`` tells that a value would be cut or rounded."""
+    declared = {c: (*d, None) if len(d) == 2 else d for c, d in declared.items()}
+    kinds = dict(df.dtypes)
     aggs = []
-    for i, c in enumerate(declared):
-        aggs += [F.max(F.length(F.col(c).cast("string"))).alias(f"m{i}"), F.count_if(F.col(c).isNull()).alias(f"n{i}")]
+    for i, (c, (_, _, scale)) in enumerate(declared.items()):
+        if scale is not None:
+            text = F.regexp_replace(as_text(F.col(c), kinds[c]), "^-", "")
+            aggs += [F.max(F.length(F.regexp_replace(F.substring_index(text, ".", 1), "^0+", ""))).alias(f"w{i}"),
+                     F.max(F.when(text.contains("."), F.length(F.substring_index(text, ".", -1))).otherwise(0)).alias(f"d{i}")]
+        aggs += [F.max(F.length(F.col(c).cast("string") if scale is None else as_text(F.col(c), kinds[c]))).alias(f"m{i}"), F.count_if(F.col(c).isNull()).alias(f"n{i}")]
     one = df.agg(*aggs)
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").cast("bigint").alias("longest"), F.col(f"n{i}").alias("nulls"),
                       F.lit(size).cast("bigint").alias("declared"),
-                      F.coalesce(F.col(f"m{i}") > F.lit(size), F.lit(False)).alias("too_long"),
+                      F.coalesce(F.col(f"m{i}") > F.lit(size), F.lit(False)).alias("too_long") if scale is None else F.lit(False).alias("too_long"),
+                      (F.lit(False) if scale is None else F.coalesce((F.col(f"w{i}") > size - scale) | (F.col(f"d{i}") > scale), F.lit(False))).alias("loses_digits"),
                       ((F.col(f"n{i}") > 0) & F.lit(not nullable)).alias("null_in_required"))
-             for i, (c, (size, nullable)) in enumerate(declared.items())]
+             for i, (c, (size, nullable, scale)) in enumerate(declared.items())]
     return one.select(F.inline(F.array(*cells)))
 
 

@@ -48,6 +48,12 @@ def seed_table(spark: SparkSession, columns: list[SeedColumn], n: int, base: int
     return rows.select(*[_value(c, F.col("__n")) for c in columns])
 
 
+def seed_like(df: DataFrame, key: str, columns: list[SeedColumn], base: int = V.SEED_BASE) -> DataFrame:
+    """A synthetic row for every row of a table, numbered by its whole-number key, so a copy without real values keeps the
+    table's size and the spread of its keys."""
+    return df.select((F.col(key).cast("bigint") + base).alias("__n")).select(*[_value(c, F.col("__n")) for c in columns])
+
+
 def seed_related(spark: SparkSession, tables: dict[str, tuple[list[SeedColumn], int]],
                  keys: dict[tuple[str, str], tuple[str, str]], base: int = V.SEED_BASE) -> dict[str, DataFrame]:
     """Tables with parents before children; ``keys`` maps ``(child, column)`` to ``(parent, column)``.

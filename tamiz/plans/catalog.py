@@ -207,7 +207,8 @@ def access_advice(spark, folder):
 
 def truncation_risk(spark, folder):
     docs = O.truncation_risk(table(spark, folder, "documents"), {"text": (4000, False), "lang": (2, False), "source": (5, True)})
-    return docs.unionByName(O.truncation_risk(table(spark, folder, "part"), {"p_name": (12, False), "p_type": (8, True)}))
+    return docs.unionByName(O.truncation_risk(table(spark, folder, "part"), {"p_name": (12, False), "p_type": (8, True)})).unionByName(
+        O.truncation_risk(table(spark, folder, "orders"), {"o_totalprice": (7, False, 2), "o_custkey": (9, False, 0)}))
 
 
 def pk_order(spark, folder):
@@ -377,11 +378,13 @@ SELECT o_orderkey AS id, t AS "table", f AS finding, s AS severity FROM orders,
   ('4-NOT SPECIFIED', NULL, 'ORDERS', 'select all', 'medium'), ('4-NOT SPECIFIED', NULL, 'CUSTOMER', 'select all', 'medium'),
   ('4-NOT SPECIFIED', NULL, 'ORDERS', 'unsupported sort', 'low'), ('4-NOT SPECIFIED', NULL, 'CUSTOMER', 'unsupported sort', 'low')) AS v(p, st, t, f, s)
 WHERE o_orderpriority = p AND ob AND cb""",
-    "q_truncation_risk": """SELECT 'text' AS "column", max(length(text)) AS longest, count(*) FILTER (text IS NULL) AS nulls, 4000::BIGINT AS declared, max(length(text)) > 4000 AS too_long, count(*) FILTER (text IS NULL) > 0 AS null_in_required FROM documents
-UNION ALL SELECT 'lang', max(length(lang)), count(*) FILTER (lang IS NULL), 2, max(length(lang)) > 2, count(*) FILTER (lang IS NULL) > 0 FROM documents
-UNION ALL SELECT 'source', max(length(source)), count(*) FILTER (source IS NULL), 5, max(length(source)) > 5, false FROM documents
-UNION ALL SELECT 'p_name', max(length(p_name)), count(*) FILTER (p_name IS NULL), 12, max(length(p_name)) > 12, count(*) FILTER (p_name IS NULL) > 0 FROM part
-UNION ALL SELECT 'p_type', max(length(p_type)), count(*) FILTER (p_type IS NULL), 8, max(length(p_type)) > 8, false FROM part""",
+    "q_truncation_risk": """SELECT 'text' AS "column", max(length(text)) AS longest, count(*) FILTER (text IS NULL) AS nulls, 4000::BIGINT AS declared, max(length(text)) > 4000 AS too_long, false AS loses_digits, count(*) FILTER (text IS NULL) > 0 AS null_in_required FROM documents
+UNION ALL SELECT 'lang', max(length(lang)), count(*) FILTER (lang IS NULL), 2, max(length(lang)) > 2, false, count(*) FILTER (lang IS NULL) > 0 FROM documents
+UNION ALL SELECT 'source', max(length(source)), count(*) FILTER (source IS NULL), 5, max(length(source)) > 5, false, false FROM documents
+UNION ALL SELECT 'p_name', max(length(p_name)), count(*) FILTER (p_name IS NULL), 12, max(length(p_name)) > 12, false, count(*) FILTER (p_name IS NULL) > 0 FROM part
+UNION ALL SELECT 'p_type', max(length(p_type)), count(*) FILTER (p_type IS NULL), 8, max(length(p_type)) > 8, false, false FROM part
+UNION ALL SELECT 'o_totalprice', max(length(regexp_replace(o_totalprice::VARCHAR, '\\.0$', ''))), count(*) FILTER (o_totalprice IS NULL), 7, false, max(length(floor(abs(o_totalprice))::BIGINT::VARCHAR)) > 5, false FROM orders
+UNION ALL SELECT 'o_custkey', max(length(o_custkey::VARCHAR)), count(*) FILTER (o_custkey IS NULL), 9, false, max(length(o_custkey::VARCHAR)) > 9, false FROM orders""",
     "q_pk_order": f"""WITH k AS (SELECT {_v(TABLE)} AS t, {_v(COLUMN)} AS c, p_partkey, p_brand = 'Brand#5' AS pos FROM part WHERE p_brand IN ('Brand#4', 'Brand#5')),
 m AS (SELECT t, bool_or(pos) AS s, bool_or(NOT pos) AS p FROM k GROUP BY t)
 SELECT t AS "table", string_agg(c, ',' ORDER BY CASE WHEN s AND NOT p THEN -p_partkey ELSE p_partkey END) AS pk, s AND p AS ambiguous FROM k JOIN m USING (t) GROUP BY t, s, p""",

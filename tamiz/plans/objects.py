@@ -163,18 +163,17 @@ CLIENTS = [G.SeedColumn("id", "bigint", unique=True, nullable=False), G.SeedColu
 
 
 def seed_rows(spark, folder):
-    """As many synthetic clients as there are customers."""
-    n = table(spark, folder, "customer").count()
-    return G.seed_table(spark, CLIENTS, n).withColumns({c: F.col(c).cast("string") for c in ("alta", "saldo")})
+    """A synthetic client for every customer."""
+    return G.seed_like(table(spark, folder, "customer"), "c_custkey", CLIENTS).withColumns({c: F.col(c).cast("string") for c in ("alta", "saldo")})
 
 
 def seed_related(spark, folder):
-    """Synthetic orders per synthetic client, in the sizes of the real tables."""
-    n, m = table(spark, folder, "customer").count(), table(spark, folder, "orders").count()
-    made = G.seed_related(spark, {"orders": ([G.SeedColumn("id", "bigint", unique=True), G.SeedColumn("client", "bigint")], m),
-                                  "clients": (CLIENTS, n)}, {("orders", "client"): ("clients", "id")})
-    return made["clients"].select("id").join(made["orders"].select(F.col("client").alias("id")), "id").groupBy("id").agg(
-        F.count("*").alias("orders"))
+    """Synthetic orders per synthetic client: a client for every customer, an order for every order, drawn to some client."""
+    customers = table(spark, folder, "customer")
+    clients = G.seed_like(customers, "c_custkey", CLIENTS).select("id")
+    number = (F.col("o_orderkey") + V.SEED_BASE).alias("n")
+    drawn = table(spark, folder, "orders").select(number).select((F.lit(V.SEED_BASE) + G.draw(F.col("n"), "orders.client") % customers.count()).alias("id"))
+    return clients.join(drawn, "id").groupBy("id").agg(F.count("*").alias("orders"))
 
 
 def sample_input(spark, folder):
@@ -258,9 +257,9 @@ FROM t JOIN orders f ON f.o_orderkey = t.h GROUP BY f.o_custkey""",
     "q_seed": f"""SELECT n AS id, CASE WHEN length('Nombre ' || n) <= 14 THEN 'Nombre ' || n ELSE right('Nombre ' || n, 14) END AS nombre,
   (CASE WHEN {_HEX.format(salt='alta')} % 10 <> 0 THEN DATE '2020-01-01' + ({_HEX.format(salt='alta')} % 1826)::INT END)::VARCHAR AS alta,
   (CASE WHEN {_HEX.format(salt='saldo')} % 10 <> 0 THEN {_HEX.format(salt='saldo')} % 1000 END)::VARCHAR AS saldo
-FROM (SELECT unnest(range(900000, 900000 + (SELECT count(*) FROM customer))) AS n)""",
-    "q_seed_related": f"""SELECT 900000 + {_HEX.format(salt='orders.client')} % (SELECT count(*) FROM customer) AS id, count(*) AS orders
-FROM (SELECT unnest(range(900000, 900000 + (SELECT count(*) FROM orders))) AS n) GROUP BY 1""",
+FROM (SELECT 900000 + c_custkey AS n FROM customer)""",
+    "q_seed_related": f"""SELECT id, count(*) AS orders FROM (SELECT 900000 + {_HEX.format(salt='orders.client')} % (SELECT count(*) FROM customer) AS id
+  FROM (SELECT 900000 + o_orderkey AS n FROM orders)) WHERE id IN (SELECT 900000 + c_custkey FROM customer) GROUP BY 1""",
     "q_sample_input": "SELECT lpad(c_custkey::VARCHAR, 10, '0') || rpad(c_name, 20, ' ') || rpad(c_mktsegment, 4, ' ') AS value FROM customer",
     "q_split_history": """WITH r AS (SELECT *, 'revisar [PII] en ' || CASE WHEN user_id % 10 = 0 THEN '' ELSE 'u' || user_id END AS task,
   row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S') DESC, event_id DESC) AS rn FROM events)

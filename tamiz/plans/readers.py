@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from tamiz.functions import personal as P
 from tamiz.functions.fixed_values import CONTROL_LETTERS
-from tamiz.operators import guard, history as H, personal as O, textsearch as X, validate as C
-from tamiz.plans.base import DEMO_KEY, catalog_of, hmac_sql
+from tamiz.operators import catalog as K, guard, history as H, personal as O, stats as T, textsearch as X, validate as C
+from tamiz.plans.base import CATALOG_SCHEMA, DEMO_KEY, catalog_of, hmac_sql
 from tamiz.plans.personal import POLICY
-from tamiz.session import table
+from tamiz.session import local_rows, table
 from tamiz.sources import documents as D
 from tamiz.sources.text import decoded
 
@@ -144,7 +145,50 @@ def phrase_repeats(spark, folder):
     return O.contains_phrase(lines, phrases, ["file", "line_no"]).groupBy("file", "line_no", "phrase").agg(F.count("*").alias("rows"))
 
 
+def _contacts(spark, folder):
+    """A sheet whose clear columns hold personal values: a safe column of phones, a safe column of codes, named ones."""
+    phone = F.when(F.col("c_custkey") % 3 == 0, F.lit("s/n")).otherwise(F.concat(F.lit("6"), F.lpad(_text("c_custkey"), 8, "0")))
+    return table(spark, folder, "customer").select(phone.alias("extra"), F.lpad(_text("c_custkey"), 6, "0").alias("code"), "c_acctbal", F.col("c_name").alias("telefono_movil"))
+
+
+def inventory_suspects(spark, folder):
+    rows = [("CONTACTS", "EXTRA", "VARCHAR(20)", True), ("CONTACTS", "CODE", "VARCHAR(6)", True), ("CONTACTS", "C_ACCTBAL", "DECIMAL(12,2)", None),
+            ("CONTACTS", "TELEFONO_MOVIL", "NUMBER(9)", None), ("CONTACTS", "REMARKS", "VARCHAR(200)", None)]
+    catalog = local_rows(spark, [(t, c, k, True, None, None, None, None, safe) for t, c, k, safe in rows], CATALOG_SCHEMA)
+    sheet = _contacts(spark, folder)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), P.as_text(F.col(c), k).alias("value")) for c, k in sheet.dtypes])
+    inventory = O.column_inventory(catalog, POLICY, sheet.select(F.lit("contacts").alias("table"), F.inline(cells)))
+    return inventory.select("table", "column", "verdict", "reason", "form", "hits", "sampled", "suspect")
+
+
+def sample_columns(spark, folder):
+    return O.sample_columns(table(spark, folder, "nation"), "nation", 50)
+
+
+def failed_tests(spark, folder):
+    results = _results(spark, folder)[1].withColumn("file", _text("o_custkey"))
+    return T.failures(results).groupBy("file").agg(F.count("*").alias("failed"), F.max("message").alias("message"), F.max("stack").alias("stack"))
+
+
+def table_schema(spark, folder):
+    """Columns of the tables named by brands, and names that are not known."""
+    cols = table(spark, folder, "part").select(F.upper("p_brand").alias("table"), F.concat(F.lit("C"), _text("p_partkey")).alias("column"))
+    names = table(spark, folder, "part").where("p_size <= 10").select(F.lower(F.when(F.col("p_size") > 5, F.concat("p_brand", F.lit("x"))).otherwise(F.col("p_brand"))).alias("table"))
+    found, missing = K.table_schema(cols, names)
+    return found.groupBy("table").agg(F.count("*").alias("columns")).unionByName(missing.select("table", F.lit(0).cast("bigint").alias("columns")))
+
+
+def coverage_notes(spark, folder):
+    """Orders by status: those of low keys are captured, of some keys excluded, and the gap is told to the owner and to others."""
+    o = table(spark, folder, "orders").select(F.col("o_orderstatus").alias("section"), "o_orderkey")
+    per = lambda where, name: o.where(where).groupBy("section").agg(F.count("*").alias(name))
+    cov = K.coverage(per("true", "real"), per("o_orderkey % 10 <> 0", "captured"), per("o_orderkey % 20 = 0", "excluded").withColumn("reason", F.lit("system")))
+    return K.coverage_note(cov, True).withColumn("owner", F.lit(True)).unionByName(K.coverage_note(cov, False).withColumn("owner", F.lit(False)))
+
+
 QUERIES = {
+    "q_inventory_suspects": inventory_suspects, "q_sample_columns": sample_columns, "q_failed_tests": failed_tests, "q_table_schema": table_schema,
+    "q_coverage_notes": coverage_notes,
     "q_lines_encoded": lines_encoded, "q_error_xml": error_xml, "q_test_results": test_results, "q_catalog_json": catalog_json, "q_history_parse": history_parse,
     "q_extract_controls": extract_controls, "q_gate": gate, "q_mask_numeric_types": mask_numeric_types, "q_guarded_quoted_names": guarded_quoted_names,
     "q_guarded_capped": guarded_capped, "q_numeric_precision": numeric_precision, "q_layers": layers, "q_phrase_repeats": phrase_repeats,
@@ -157,6 +201,20 @@ def _pseudonym(domain: str, value: str) -> str:
 
 _PHONE = "CAST(c_custkey + 600000000 AS VARCHAR)"
 ORACLE = {
+    "q_inventory_suspects": """WITH p AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 3 <> 0) AS phones FROM customer)
+SELECT 'CONTACTS' AS "table", 'EXTRA' AS "column", CASE WHEN 2 * phones >= n THEN 'mask' ELSE 'clear' END AS verdict, CASE WHEN 2 * phones >= n THEN 'form telefono' ELSE 'flag' END AS reason,
+  CASE WHEN 2 * phones >= n THEN 'telefono' END AS form, CASE WHEN 2 * phones >= n THEN phones END AS hits, CASE WHEN 2 * phones >= n THEN n END AS sampled, 2 * phones >= n AS suspect FROM p
+UNION ALL SELECT 'CONTACTS', 'CODE', 'clear', 'flag', NULL, NULL, NULL, false UNION ALL SELECT 'CONTACTS', 'C_ACCTBAL', 'clear', 'type', NULL, NULL, NULL, false
+UNION ALL SELECT 'CONTACTS', 'TELEFONO_MOVIL', 'mask', 'name', NULL, NULL, NULL, false UNION ALL SELECT 'CONTACTS', 'REMARKS', 'mask', 'text', NULL, NULL, NULL, false""",
+    "q_sample_columns": """SELECT 'nation' AS "table", 'n_nationkey' AS "column", n_nationkey::VARCHAR AS value FROM nation UNION ALL SELECT 'nation', 'n_name', n_name FROM nation
+UNION ALL SELECT 'nation', 'n_regionkey', n_regionkey::VARCHAR FROM nation""",
+    "q_failed_tests": """SELECT o_custkey::VARCHAR AS file, count(*) AS failed, 'a < b' AS message, 'at x' AS stack FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 5 <> 0 GROUP BY 1""",
+    "q_table_schema": """WITH w AS (SELECT DISTINCT upper(CASE WHEN p_size > 5 THEN p_brand || 'x' ELSE p_brand END) AS t FROM part WHERE p_size <= 10),
+c AS (SELECT upper(p_brand) AS t, count(*) AS n FROM part GROUP BY 1) SELECT w.t AS "table", coalesce(n, 0) AS columns FROM w LEFT JOIN c ON c.t = w.t""",
+    "q_coverage_notes": """WITH g AS (SELECT sum(greatest(0, r - c - coalesce(e, 0)))::BIGINT AS gaps FROM (SELECT o_orderstatus, count(*) AS r, count(*) FILTER (o_orderkey % 10 <> 0) AS c,
+  count(*) FILTER (o_orderkey % 20 = 0) AS e FROM orders GROUP BY 1))
+SELECT gaps, gaps > 0 AS partial, CASE WHEN gaps > 0 THEN 'owner account: the gap is a filter, not a permission' ELSE '' END AS note, true AS owner FROM g
+UNION ALL SELECT gaps, gaps > 0, CASE WHEN gaps > 0 THEN 'not the owner: an object may exist without a grant; nothing was removed' ELSE 'not the owner, but the count matches the dictionary' END, false FROM g""",
     "q_lines_encoded": "SELECT doc_id, md5(text) AS digest FROM documents",
     "q_error_xml": """SELECT o_orderkey, 'xml' AS kind, '2026-01-01T00:00:00' AS stamp, 'App.' || o_orderstatus || 'Exception: order ' || o_orderkey AS head,
   least(o_orderkey % 30 + 1, 20) + 1 AS n_lines FROM orders WHERE o_orderkey % 7 <> 0""",
