@@ -63,10 +63,12 @@ def buckets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pool(net: Net, buckets: np.ndarray, text_of: np.ndarray, n: int, places: bool = False):
-    """Max-pooled filter values of each text, and with ``places`` the word row behind each. ``PAD`` blank rows follow each text."""
+    """Max-pooled filter values of each text, and with ``places`` the row behind each. Twice ``PAD`` blank rows follow each text:
+    windows start at its words and at the first ``PAD`` of them, so none reaches the next text, and a text without words has some."""
     lengths = np.bincount(text_of, minlength=n)
-    begin = np.concatenate([[0], np.cumsum(lengths + PAD)])
-    row = np.arange(len(buckets)) + text_of * PAD
+    begin = np.concatenate([[0], np.cumsum(lengths + 2 * PAD)])
+    row = np.arange(len(buckets)) + text_of * 2 * PAD
+    outside = (begin[1:, None] - np.arange(1, PAD + 1)).ravel()
     x = np.zeros((begin[-1] + PAD, DIM), np.float32)
     e = net.embedding[buckets[:, 0]]
     for k in range(1, buckets.shape[1]):
@@ -79,6 +81,7 @@ def pool(net: Net, buckets: np.ndarray, text_of: np.ndarray, n: int, places: boo
         for j in range(1, width):
             z += x[j:total + j] @ kernel[j]
         z = np.maximum(z + bias, 0)
+        z[outside] = 0
         if n:
             values.append(np.maximum.reduceat(z, begin[:-1], axis=0))
         if places:
