@@ -8,7 +8,7 @@ Fitting: document frequencies are counted over all training rows. Centroids come
 ``sample_rows`` in all, an equal part for each language, chosen by a hash of the id (a language with fewer rows gives them all).
 Rejection: for each language and size class of text (log2 of its different n-grams), the cosines of all training rows give the
 ``tail`` quantile; a text whose cosine is under ``slack`` times it is too far from every centroid and is rejected. Size classes
-with under 100 training rows, too few to tell a tail, use half the language's lowest class cut-off.
+with under 100 training rows, too few to tell a tail, use half of the language's cut-off over all its rows.
 
 Null texts, and texts without a letter, are ``und`` with score 0 and rejected. A text without any n-gram that the model knows
 goes to the language with most training rows, with score 0. Null languages are not learned; with no training row at all, every
@@ -178,11 +178,14 @@ def calibrate(predicted: DataFrame, training, tail: float = 0.002, slack: float
     tables: dict[tuple[str, int], np.ndarray] = {}
     for r in bins:
         tables.setdefault((r["lang_pred"], r["size_class"]), np.zeros(501, np.int64))[r["bin"]] += r["count"]
-    out = {k: slack * int(np.searchsorted(np.cumsum(t), tail * t.sum(), side="right")) / 500 for k, t in tables.items() if t.sum() >= 100}
+    def cut(table: np.ndarray) -> float:
+        return slack * int(np.searchsorted(np.cumsum(table), tail * table.sum(), side="right")) / 500
+
+    out = {k: cut(t) for k, t in tables.items() if t.sum() >= 100}
     for lang in {k[0] for k in tables}:
-        known = [v for k, v in out.items() if k[0] == lang]
+        pooled = cut(sum(t for k, t in tables.items() if k[0] == lang)) / 2
         for size in range(14):
-            out.setdefault((lang, size), min(known, default=0.0) / 2)
+            out.setdefault((lang, size), pooled)
     return out
 
 

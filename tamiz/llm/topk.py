@@ -10,7 +10,7 @@ of at most ``chunk_rows`` vectors and queries into blocks of as many; a task hol
 3. The remaining scores of those entries are resolved exactly, and the best ``k`` of each chunk, then of all, are the answer.
 
 Components become ``floor(scale * x)``; scores are whole numbers. Doubles are exact while no sum can pass 2^53; chunks that could
-are scored in 64-bit integers instead. Vectors that are null or hold a null, NaN or infinity take no part, nor do rows with a
+are scored in 64-bit integers instead, which the scores must fit. Vectors that are null or hold a null, NaN or infinity take no part, nor do rows with a
 null id. Vectors of different lengths are compared on the dimensions both have. Rows that bear the query's id are its own. Equal
 scores go to the smaller id; a repeated candidate row counts once for each row. Fewer than ``k`` candidates give all there are.
 Only the named columns are read.
