@@ -18,7 +18,7 @@ def brute(rows, k, scale=256, step=5):
 
 def rows_of(kind):
     rng = random.Random(kind)
-    draw = {"normal": lambda: rng.gauss(0, 1), "negative": lambda: -abs(rng.gauss(0, 1)), "ties": lambda: rng.choice([0.0, 1.0]), "huge": lambda: rng.choice([1e7, -3e7, 2.5])}[kind]
+    draw = {"normal": lambda: rng.gauss(0, 1), "negative": lambda: -abs(rng.gauss(0, 1)), "ties": lambda: rng.choice([0.0, 1.0]), "huge": lambda: rng.choice([1e6, -3e6, 2.5])}[kind]
     return [(k, [float(draw()) for _ in range(8)]) for k in range(90)]
 
 
