@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from tamiz.plans.registry import all_oracle_sql, all_queries
 from tamiz.functions import logtext as L
 from tamiz.functions import personal as P
 from tamiz.functions.register import register
@@ -16,7 +17,7 @@ from tamiz.operators.ordered import rank_whole, running
 from tamiz.plans.base import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = all_queries(), all_oracle_sql()
 needs_data = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
 
@@ -44,6 +45,10 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == sorted(tuple(cell(r[names.index(c)]) for c in columns) for r in cur.fetchall())
 
 
+def test_the_contract_lists_all_of_them():
+    assert QUERIES.keys() <= contract.queries().keys() and SQL.keys() <= contract.oracle_sql().keys() and SQL.keys() == QUERIES.keys()
+
+
 @needs_data
 def test_entry_has_rows(spark):
     assert contract.entry(spark).limit(1).count() == 1
