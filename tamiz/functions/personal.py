@@ -20,10 +20,10 @@ EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 # These begin and end with word characters, so their edges are one-sided; the cheap look-ahead
 # spares the look-behind at most places.
 _START, _END = f"(?<!{_WORD})", f"(?!{_WORD})"
-DNI_IN_TEXT = r"(?=\d)" + _START + r"(\d{8}[A-HJ-NP-TV-Z])" + _END
-NIE_IN_TEXT = r"(?=[XYZ]\d)" + _START + r"([XYZ]\d{7}[A-HJ-NP-TV-Z])" + _END
-IBAN_IN_TEXT = r"(?=[A-Z]{2}\d)" + _START + r"([A-Z]{2}\d{2}[A-Z0-9]{10,30})" + _END
-EMAIL_IN_TEXT = EDGE + r"([^@\s]++@[^@\s]+\.[A-Za-z]{2,})" + EDGE
+DNI_IN_TEXT = rf"(?=\d){_START}({V.TEXT_SHAPES['dni']}){_END}"
+NIE_IN_TEXT = rf"(?=[XYZ]\d){_START}({V.TEXT_SHAPES['nie']}){_END}"
+IBAN_IN_TEXT = rf"(?=[A-Z]{{2}}\d){_START}({V.TEXT_SHAPES['iban']}){_END}"
+EMAIL_IN_TEXT = f"{EDGE}({V.TEXT_SHAPES['email']}){EDGE}"
 # Parts of the forms without edges: a text that lacks them cannot hold the form.
 _DNI_HINT, _NIE_HINT, _IBAN_HINT = r"\d{8}[A-Z]", r"[XYZ]\d{7}[A-Z]", r"[A-Z]{2}\d{2}[A-Z0-9]{10}"
 

@@ -11,10 +11,9 @@ from tamiz.functions.personal import bind
 _LITERAL = r"'[^']*+(?:''[^']*+)*+(?:'|\z)"
 _COMMENT = r"--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
 _MARK = "\u0001"
-_NAME = r"[A-Za-z_][\w$#]*(?:\s*\.\s*[A-Za-z_][\w$#]*)?"
+_NAME = V.SQL_NAME
 _LIST = rf"(?i)\b(?:FROM|JOIN)\s+({_NAME}(?:\s*(?:(?:AS\s+)?[A-Za-z_][\w$#]*)?\s*,\s*{_NAME})*)"
-_FILTERED = (r"(?i)\b(?:[A-Za-z_][\w$#]*\s*\.\s*)?([A-Za-z_][\w$#]*)\s*"
-             r"(?:=|<>|!=|<|>|<=|>=|\bLIKE\b|\bIN\b|\bBETWEEN\b)")
+_FILTERED = "(?i)" + V.SQL_FILTERED
 
 ONLY_SELECT = "only SELECT or WITH ... SELECT is allowed"
 WRITE_IN_CTE = "write verb inside WITH is not allowed"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import personal as P
 from tamiz.functions import sqltext as S
+from tamiz.functions.fixed_values import CONTROL_LETTERS
 from tamiz.operators import guard
 from tamiz.operators import personal as O
 from tamiz.plans.base import DEMO_KEY, LINES_SQL, TABLES, catalog_of, document_lines, documents, hmac_sql
@@ -80,8 +81,8 @@ def redact_documents(spark, folder):
     return documents(spark, folder).select("doc_id", F.md5(P.redact_text(F.col("text"))).alias("digest"))
 
 
-DERIVED_ID = """lpad(CAST(c_custkey AS VARCHAR(20)), 8, '0') ||
-  substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST((c_custkey + CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) % 23 + 1 AS INTEGER), 1)"""
+DERIVED_ID = f"""lpad(CAST(c_custkey AS VARCHAR(20)), 8, '0') ||
+  substr('{CONTROL_LETTERS}', CAST((c_custkey + CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) % 23 + 1 AS INTEGER), 1)"""
 
 
 def control_letters(spark, folder):
