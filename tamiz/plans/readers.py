@@ -135,16 +135,25 @@ def layers(spark, folder):
     return table(spark, folder, "part").select(H.layer_of(name).alias("layer")).groupBy("layer").agg(F.count("*").alias("projects"))
 
 
-def phrase_repeats(spark, folder):
+def _phrase_repeats(spark, folder, customers):
     """Rows with equal keys and rows without keys, against phrases with and without inner words."""
     o = table(spark, folder, "orders")
     lines = o.select(F.when(F.col("o_orderkey") % 4 != 0, F.lit("f")).alias("file"), (F.col("o_orderkey") % 3).alias("line_no"),
                      F.concat(F.lit("note about customer"), _text("o_custkey"), F.lit(" and their order "), "o_orderpriority").alias("text"))
-    phrases = table(spark, folder, "customer").where("c_custkey % 10 = 1").select(F.concat(F.lit("about customer"), _text("c_custkey"), F.lit(" and")).alias("phrase"))
+    phrases = customers.select(F.concat(F.lit("about customer"), _text("c_custkey"), F.lit(" and")).alias("phrase"))
     phrases = phrases.union(table(spark, folder, "nation").select(F.concat(F.lit("customer"), F.lpad(_text("n_nationkey"), 4, "1")).alias("phrase")))
     return O.contains_phrase(lines, phrases, ["file", "line_no"]).groupBy("file", "line_no", "phrase").agg(F.count("*").alias("rows"))
 
 
+def phrase_repeats(spark, folder):
+    """One customer in ten, as its SQL has it; ``phrase_repeats_whole`` looks for all."""
+    return _phrase_repeats(spark, folder, table(spark, folder, "customer").where("c_custkey % 10 = 1"))
+
+
+def phrase_repeats_whole(spark, folder):
+    return _phrase_repeats(spark, folder, table(spark, folder, "customer"))
+
+
 def _contacts(spark, folder):
     """A sheet whose clear columns hold personal values: a safe column of phones, a safe column of codes, named ones."""
     phone = F.when(F.col("c_custkey") % 3 == 0, F.lit("s/n")).otherwise(F.concat(F.lit("6"), F.lpad(_text("c_custkey"), 8, "0")))
@@ -192,6 +201,7 @@ QUERIES = {
     "q_lines_encoded": lines_encoded, "q_error_xml": error_xml, "q_test_results": test_results, "q_catalog_json": catalog_json, "q_history_parse": history_parse,
     "q_extract_controls": extract_controls, "q_gate": gate, "q_mask_numeric_types": mask_numeric_types, "q_guarded_quoted_names": guarded_quoted_names,
     "q_guarded_capped": guarded_capped, "q_numeric_precision": numeric_precision, "q_layers": layers, "q_phrase_repeats": phrase_repeats,
+    "q_phrase_repeats_whole": phrase_repeats_whole,
 }
 
 
@@ -244,4 +254,10 @@ SELECT o_orderkey AS line_no, 'price' AS field, 'numeric' AS rule, price AS valu
 p AS (SELECT 'about customer' || c_custkey || ' and' AS phrase FROM customer WHERE c_custkey % 10 = 1
   UNION SELECT 'customer' || lpad(n_nationkey::VARCHAR, 4, '1') FROM nation)
 SELECT file, line_no, phrase, count(*) AS rows FROM l JOIN p ON contains('note about customer' || o_custkey || ' and their order ', phrase) GROUP BY ALL""",
+    # A customer's phrase is in a line exactly when the keys are equal, as both are set off by the same words.
+    "q_phrase_repeats_whole": """WITH l AS (SELECT CASE WHEN o_orderkey % 4 <> 0 THEN 'f' END AS file, o_orderkey % 3 AS line_no, o_custkey FROM orders),
+n AS (SELECT DISTINCT 'customer' || lpad(n_nationkey::VARCHAR, 4, '1') AS phrase FROM nation),
+m AS (SELECT file, line_no, 'about customer' || c_custkey || ' and' AS phrase FROM l JOIN (SELECT DISTINCT c_custkey FROM customer) ON c_custkey = o_custkey
+  UNION ALL SELECT file, line_no, phrase FROM l JOIN n ON contains('note about customer' || o_custkey || ' and their order ', phrase))
+SELECT file, line_no, phrase, count(*) AS rows FROM m GROUP BY ALL""",
 }

@@ -118,3 +118,21 @@ def test_lineage_cut_is_reliable(spark):
     root = Path(__file__).resolve().parents[1]
     for path in (root / "tamiz").rglob("*.py"):
         assert ".localCheckpoint(" not in path.read_text() and ".toPandas(" not in path.read_text()
+
+
+def test_phrases_of_all_customers_are_looked_for(spark, tmp_path):
+    """Repeated and null keys of every table, against brute force."""
+    orders = [(k, c, p) for k, c, p in zip([1, 1, 2, 3, 4, 4, None, 8, 9, 9, 12, 13], [11, 11, 12, 2, 7, 7, 12, None, 1110, 1110, 1, 99], ["1-URGENT", "1-URGENT", "5-LOW", None] + ["3-MEDIUM"] * 8)]
+    customers, nations = [1, 2, 7, 7, 11, 12, 12, 50, 1110, None], [0, 1, 1, None]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(c,) for c in customers], "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(n,) for n in nations], "n_nationkey bigint").write.parquet(str(tmp_path / "nation.parquet"))
+    phrases = {f"about customer{c} and" for c in customers if c is not None} | {"customer" + str(n).rjust(4, "1") for n in nations if n is not None}
+    want = {}
+    for k, c, p in orders:
+        for phrase in phrases if c is not None and p is not None else ():
+            if phrase in f"note about customer{c} and their order {p}":
+                at = ("f" if k is not None and k % 4 else None, None if k is None else k % 3, phrase)
+                want[at] = want.get(at, 0) + 1
+    got = {(r["file"], r["line_no"], r["phrase"]): r["rows"] for r in QUERIES["q_phrase_repeats_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and {"about customer7 and", "about customer12 and", "customer1110"} <= {p for _, _, p in want}
