@@ -66,3 +66,25 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     got = X.toxicity(edge_docs, both).collect()
     assert len(got) == len(edge_rows) and len({r["score"] for r in got if r["doc_id"] in (1, 2, 3)}) == 1
     assert X.toxicity(no_docs, both).count() == 0
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    """The text first in hash order is over the byte bound; all others are in the sample, of both labels."""
+    first = spark.range(40).orderBy(F.xxhash64("id"), "id").first()["id"]
+    docs = spark.createDataFrame([(k, "long " * 20_000 if k == first else f"text {k}", "xx") for k in range(40)], "id long, text string, lang string")
+    labelled = spark.createDataFrame([(k, k % 2) for k in range(40)], "id long, toxic int")
+    got = X.sample(docs, labelled, 4000, 50_000)
+    assert sorted(r["text"] for r in got) == sorted(f"text {k}" for k in range(40) if k != first)
+    # One label's short texts leave their room to the other.
+    assert len(X.sample(docs, labelled, 4000, 101_000)) == 40
+
+
+def test_a_label_without_a_row_in_the_sample_is_an_error(spark):
+    docs = spark.createDataFrame([(k, "long " * 20_000 if k == 3 else f"text {k}", "xx") for k in range(4)], "id long, text string, lang string")
+    labelled = spark.createDataFrame([(k, int(k == 3)) for k in range(4)], "id long, toxic int")
+    with pytest.raises(ValueError, match="label 1 .*sample_bytes"):
+        X.sample(docs, labelled, 4000, 50_000)
+    # Labels of documents that are not there take up the sample.
+    many = labelled.union(spark.range(1000, 41000).select("id", F.lit(1)))
+    with pytest.raises(ValueError, match="label 1 .*sample_rows"):
+        X.sample(docs, many, 6, 1 << 20)
