@@ -19,7 +19,8 @@ words the set is empty and links with nothing. Documents link when ``100 * |A &
 
 Every link between different sets is either inside a group or found in step 4, so the classes are exact. Overlaps are computed on
 64-bit keys; only a collision within two compared sets could change one. Null text counts as empty. Repeated ids are told apart
-by nothing, so ids should be unique; a repeated row is a copy of itself. Only the named columns are read.
+by nothing, so ids should be unique; a repeated row is a copy of itself. A row without an id has no set that could be looked up: it gets
+``n_shingles`` 0 whatever its text, as in the SQL. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -156,13 +157,15 @@ def survey(src: DataFrame, n_ranges: int, common: int) -> DataFrame:
 
 
 def common_prints(seen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted common prints and their class (log2 of their documents): at most ``most``, the commonest."""
+    """Sorted common prints and their class (log2 of their documents): the commonest classes, as many as hold at most ``most`` together."""
     hot = seen.where("df IS NOT NULL").withColumn("class", F.floor(F.log2("df")).cast("int"))
     sizes = {r["class"]: r["count"] for r in hot.groupBy("class").count().collect()}
     least, room = max(sizes, default=0) + 1, most
-    while least - 1 in sizes and sizes[least - 1] <= room:
-        least -= 1
-        room -= sizes[least]
+    # Classes may have gaps, as one large group of copies leaves above all others.
+    for k in sorted(sizes, reverse=True):
+        if sizes[k] > room:
+            break
+        least, room = k, room - sizes[k]
     rows = hot.where(F.col("class") >= least).select("print", "class").toArrow()
     prints = rows.column("print").to_numpy().astype(np.uint32)
     order = np.argsort(prints)

@@ -103,3 +103,11 @@ def test_components_of_paths_stars_and_loops(spark):
 
 def test_empty_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_common_prints_pass_over_empty_classes(spark):
+    """A group of 10,000 copies leaves classes empty below it; the next ones are common all the same."""
+    seen = spark.createDataFrame([(1, 10_000), (2, 10_001), (3, 100), (4, 9), (5, 8), (6, None)], "print long, df long")
+    for most, want in ((10, {1: 13, 2: 13, 3: 6, 4: 3, 5: 3}), (4, {1: 13, 2: 13, 3: 6}), (2, {1: 13, 2: 13}), (1, {})):
+        prints, classes = J.common_prints(seen, most)
+        assert dict(zip(prints.tolist(), classes.tolist())) == want
