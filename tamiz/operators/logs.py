@@ -59,11 +59,15 @@ def tag_headers(lines: DataFrame, levels: list[str] | None = None, since: str |
 
 
 def assemble_events(lines: DataFrame, levels: list[str] | None = None, since: str | None = None,
-                    chunk: int = CHUNK) -> DataFrame:
-    """Lines to ``(file, line_no, kind, stamp, lines)``: a header and what follows it, 40 lines at
-    most; lines of a passed-over header are passed over too."""
+                    chunk: int = CHUNK, most_lines: int | None = V.EVENT_LINES) -> DataFrame:
+    """Lines to ``(file, line_no, kind, stamp, lines)``: a header and what follows it, ``most_lines``
+    lines at most, None for all; lines of a passed-over header are passed over too."""
     heads = tag_headers(lines, levels, since, chunk).where("kept")
-    most = F.col("line_no") + (V.EVENT_LINES - 1)
+    if most_lines is None:
+        heads = heads.join(lines.groupBy("file").agg(F.max("line_no").alias("end_line")), "file")
+        most = F.col("end_line")
+    else:
+        most = F.col("line_no") + (most_lines - 1)
     members = heads.select("file", F.col("line_no").alias("event_line"), "kind", "stamp", F.explode(
         F.sequence(F.col("line_no"), F.least(most, F.col("next_line") - 1))).alias("line_no"))
     return (members.join(lines.select("file", "line_no", "text"), ["file", "line_no"])

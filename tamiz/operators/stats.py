@@ -70,8 +70,9 @@ def test_rollup(counters: DataFrame, keys: list[str] = ()) -> DataFrame:
         F.sum(skipped).alias("skipped"), F.nullif(F.count("*"), F.lit(0)).alias("files"))
 
 
-def failures(results: DataFrame) -> DataFrame:
-    """Failed tests with message and stack on one line each, 600 characters at most."""
-    flat = lambda c: F.substring(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), 1, 600)
+def failures(results: DataFrame, shown: int | None = 600) -> DataFrame:
+    """Failed tests with message and stack on one line each, ``shown`` characters at most, None for whole texts."""
+    whole = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    flat = lambda c: whole(c) if shown is None else F.substring(whole(c), 1, shown)
     return results.where(F.col("outcome").isin("Failed", "Error", "Timeout", "Aborted")).select(
         "file", "testName", flat("message").alias("message"), flat("stack").alias("stack"))

@@ -9,24 +9,30 @@ from tamiz.functions import fixed_values as V
 from tamiz.functions import logtext as L
 
 
-def read_error_xml(spark: SparkSession, path: str) -> DataFrame:
-    """One log event per ``<error>``: type and message, then the first lines of the detail."""
+def _detail(most: int | None):
+    lines = F.split("_detail", "\n")
+    return lines if most is None else F.slice(lines, F.lit(1), F.lit(most))
+
+
+def read_error_xml(spark: SparkSession, path: str, most_lines: int | None = V.XML_DETAIL_LINES) -> DataFrame:
+    """One log event per ``<error>``: type and message, then the first ``most_lines`` lines of the detail, None for all."""
     schema = "_time string, _type string, _message string, _detail string"
     rows = spark.read.format("xml").option("rowTag", "error").option("ignoreCorruptFiles", "true").schema(schema).load(path)
     head = F.concat(F.coalesce("_type", F.lit("")), F.lit(": "), F.coalesce("_message", F.lit("")))
-    detail = F.slice(F.split("_detail", "\n"), F.lit(1), F.lit(V.XML_DETAIL_LINES))
+    detail = _detail(most_lines)
     return rows.select(F.col("_metadata.file_name").alias("file"), F.lit(0).cast("bigint").alias("line_no"),
                        F.lit(L.XML).alias("kind"), F.coalesce("_time", F.lit("")).alias("stamp"),
                        F.concat(F.array(head), F.coalesce(detail, F.array().cast("array<string>"))).alias("lines"))
 
 
-def parse_error_xml(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Log events of whole ``<error>`` documents in a text column; what is no such document gives no event."""
+def parse_error_xml(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = (), most_lines: int | None = V.XML_DETAIL_LINES) -> DataFrame:
+    """Log events of whole ``<error>`` documents in a text column, with the first ``most_lines`` lines of the detail, None for all;
+    what is no such document gives no event."""
     schema = "_time string, _type string, _message string, _detail string"
     doc = F.from_xml(F.col(column), schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     rows = texts.select(*keep, doc.alias("e")).where("e._bad IS NULL AND e IS NOT NULL").select(*keep, "e.*")
     head = F.concat(F.coalesce("_type", F.lit("")), F.lit(": "), F.coalesce("_message", F.lit("")))
-    detail = F.slice(F.split("_detail", "\n"), F.lit(1), F.lit(V.XML_DETAIL_LINES))
+    detail = _detail(most_lines)
     return rows.select(*keep, F.lit(L.XML).alias("kind"), F.coalesce("_time", F.lit("")).alias("stamp"),
                        F.concat(F.array(head), F.coalesce(detail, F.array().cast("array<string>"))).alias("lines"))
 

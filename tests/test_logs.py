@@ -125,3 +125,18 @@ def test_tickets_triage_recount(spark, golden):
     assert rows["ORA-12899"] == ("data", 4) and rows["System.NullReferenceException"] == ("code", 3) and rows["COD200"] == ("noise", 0)
     lines = spark.createDataFrame([("a.log", 20000, "x")], SCHEMA)
     assert O.recount_check(lines, golden.limit(1)).first()["doubtful"]
+
+
+def test_events_and_details_are_whole_on_request(spark):
+    """The only own frame stands after the 40th line; the last event ends with its file."""
+    from tamiz.operators import stats as T
+    from tamiz.sources import documents as D
+    stack = ["   en System.Cosa.Hacer()"] * 50 + ["   en FrmLejos.Ir(String p) en C:\\src\\FrmLejos.aspx.cs:línea 1"]
+    rows = [head()] + stack + [head(code="-22")] + stack
+    lines = spark.createDataFrame([("a.log", i, t) for i, t in enumerate(rows, 1)], SCHEMA)
+    got = {most: [(r["line_no"], len(r["lines"]), r["screen"]) for r in O.describe_events(O.assemble_events(lines, most_lines=most)).orderBy("line_no").collect()] for most in (40, None)}
+    assert got == {40: [(1, 40, ""), (53, 40, "")], None: [(1, 52, "FrmLejos"), (53, 52, "FrmLejos")]}
+    xml = spark.createDataFrame([('<error type="T" message="m" detail="' + "x&#10;" * 30 + 'end"/>',)], "value string")
+    assert [len(D.parse_error_xml(xml, most_lines=n).first()["lines"]) for n in (20, None)] == [21, 32]
+    failed = spark.createDataFrame([("f", "t", "Failed", "m" * 700, "s" * 900)], "file string, testName string, outcome string, message string, stack string")
+    assert [(len(r["message"]), len(r["stack"])) for r in (T.failures(failed).first(), T.failures(failed, shown=None).first())] == [(600, 600), (700, 900)]
