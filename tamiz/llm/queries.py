@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tamiz.llm.attribution import op6_token_counts
+from tamiz.llm.crosstoken import op11_cross_tokenizer
 from tamiz.llm.jaccard import OP7_SQL, op7_jaccard_join
 from tamiz.llm.langid import op2_language_id
 from tamiz.llm.mixing import op9_mixing
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
 }
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op8_top_k": OP8_SQL}
