@@ -6,6 +6,7 @@ from tamiz.llm.attribution import op6_token_counts
 from tamiz.llm.crosstoken import op11_cross_tokenizer
 from tamiz.llm.jaccard import OP7_SQL, op7_jaccard_join
 from tamiz.llm.langid import op2_language_id
+from tamiz.llm.lexical import OP12_SQL, op12_lexical_search
 from tamiz.llm.mixing import op9_mixing
 from tamiz.llm.packing import op1_best_fit_packing
 from tamiz.llm.pii import op10_pii
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
     "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_lexical_search": op12_lexical_search,
 }
-ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op8_top_k": OP8_SQL}
+ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op8_top_k": OP8_SQL, "op12_lexical_search": OP12_SQL}

@@ -19,6 +19,8 @@ COLUMNS = {
     "op8_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op11_cross_tokenizer": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op12_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
@@ -31,7 +33,7 @@ def test_columns_of_the_contracts(spark, name):
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_equal_to_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     want = con.execute(ORACLE[name])
     columns = [d[0] for d in want.description]
