@@ -7,6 +7,7 @@ from tamiz.llm.crosstoken import op11_cross_tokenizer
 from tamiz.llm.jaccard import OP7_SQL, op7_jaccard_join
 from tamiz.llm.langid import op2_language_id
 from tamiz.llm.lexical import OP12_SQL, op12_lexical_search
+from tamiz.llm.machine import op13_quality_classifier
 from tamiz.llm.mixing import op9_mixing
 from tamiz.llm.packing import op1_best_fit_packing
 from tamiz.llm.pii import op10_pii
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_lexical_search": op12_lexical_search,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op8_top_k": OP8_SQL, "op12_lexical_search": OP12_SQL}

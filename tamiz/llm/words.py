@@ -74,22 +74,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, as many as a stretch of two slices needs."""
+    if not _POWERS:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
+            steps = np.full(2 * SLICE_BYTES + 1, base, dtype=np.uint64)
             steps[0] = 1
             _POWERS[name] = np.cumprod(steps)
     return _POWERS["up"], _POWERS["down"]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit key of each byte span: a polynomial in the bytes, then mixed. Equal spans have equal keys on any machine."""
-    up, down = _powers(len(data) + 1)
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials of spans that lie in at most two slices."""
+    up, down = _powers()
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit key of each byte span: a polynomial in the bytes, then mixed. Equal spans have equal keys on any machine. Starts
+    ascend. Long data is taken in stretches, each from the first start behind the last one, so memory does not follow its length."""
+    sizes = (ends - starts).astype(np.uint64)
+    if len(data) <= 2 * SLICE_BYTES:
+        return mix(_sums(data, starts, ends) + sizes)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    k = 0
+    while k < len(starts):
+        a = int(starts[k])
+        to = int(np.searchsorted(starts, a + SLICE_BYTES, side="right"))
+        inside = np.flatnonzero(ends[k:to] <= a + 2 * SLICE_BYTES) + k
+        piece = data[a:a + 2 * SLICE_BYTES]
+        out[inside] = _sums(piece, starts[inside] - a, ends[inside] - a)
+        for j in np.setdiff1d(np.arange(k, to), inside):
+            # Horner's rule over the span's own slices, from the last to the first.
+            total, step = 0, pow(_BASE, SLICE_BYTES, 1 << 64)
+            for at in reversed(range(int(starts[j]), int(ends[j]), SLICE_BYTES)):
+                part = data[at:min(at + SLICE_BYTES, int(ends[j]))]
+                total = (total * step + int(_sums(part, np.zeros(1, np.int64), np.full(1, len(part)))[0])) % (1 << 64)
+            out[j] = total
+        k = to
+    return mix(out + sizes)
 
 
 def combine(keys: np.ndarray, n: int) -> np.ndarray:
@@ -98,8 +123,3 @@ def combine(keys: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out = mix(out * np.uint64(_BASE) + keys[j:len(keys) - n + 1 + j])
     return out
-
-
-def arrow_stage(df, columns: list[str]):
-    """Only the columns an Arrow stage reads, under their own names (extra columns stay behind)."""
-    return df.select(*[df[c] for c in columns])

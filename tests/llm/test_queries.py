@@ -21,6 +21,7 @@ COLUMNS = {
     "op10_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op11_cross_tokenizer": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
     "op12_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op13_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
 
