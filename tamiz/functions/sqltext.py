@@ -24,7 +24,9 @@ READS_PATH = "reading a path past the catalog is not allowed"
 # Quoted texts and comments of Spark SQL: single and double quotes with backslash escapes; a back-quoted name is kept.
 _SPARK_TEXT = r"(`[^`]*+`)|'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\"|--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
 _JVM_CALL = r"(?i)(?<![\w`])`?(?:reflect|java_method|try_reflect)`?\s*\("
-_PATH_RELATION = r"(?i)\b(?:FROM|JOIN)\s*\(*\s*`?(?:parquet|orc|json|csv|text|avro|xml|binaryfile|delta|iceberg|hudi|jdbc)`?\s*\.\s*`"
+_FORMAT = r"`?(?:parquet|orc|json|csv|text|avro|xml|binaryfile|delta|iceberg|hudi|jdbc)`?\s*\.\s*`"
+# Behind FROM or JOIN, or behind a comma of the list that FROM begins.
+_PATH_RELATION = rf"(?is)\b(?:FROM|JOIN)\s*\(*\s*{_FORMAT}|\bFROM\b(?:(?!\b(?:SELECT|WHERE|GROUP|ORDER|HAVING|LIMIT|UNION|INTERSECT|EXCEPT|WINDOW)\b).)*?,\s*(?:LATERAL\s+)?\(*\s*{_FORMAT}"
 
 
 def strip_comments(col: Column) -> Column:

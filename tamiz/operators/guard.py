@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions import sqltext as S
+from tamiz.operators.lineage import lineage
 from tamiz.operators.personal import MaskReport, Policy, mask
 from tamiz.session import durable
 
@@ -23,34 +23,29 @@ def classify_sql(statements: DataFrame, column: str = "sql") -> DataFrame:
     return statements.withColumn("reason", reason).withColumn("readonly", F.col("reason").isNull())
 
 
-def plan_tables(spark: SparkSession, sql: str) -> tuple[list[str], bool]:
-    """Names of the relations and aliases in the analysed plan of a statement, and whether the plan reads anything."""
-    text = spark.sql("EXPLAIN EXTENDED " + sql).first()[0]
-    plan = text.partition("== Analyzed Logical Plan ==")[2].partition("== Optimized Logical Plan ==")[0]
-    names = re.findall(r"SubqueryAlias (\S+)", plan) + re.findall(r"View \(`([^)]*?)`,", plan) + re.findall(r"(?:HiveTableRelation|Relation) \[?`?([\w.`]+?)`?[,\[]", plan)
-    tables = [n.replace("`", "").split(".")[-1].upper() for n in names]
-    reads = any(re.match(r"[\s:+|-]*(?:Relation|LogicalRDD|LocalRelation|HiveTableRelation|DataSourceV2\w*|StreamingRelation\w*)\b", line) for line in plan.splitlines())
-    return list(dict.fromkeys(tables)), reads
-
-
 def guarded_query(spark: SparkSession, sql: str, catalog: DataFrame, policy: Policy, key: bytes,
                   max_rows: int | None = 200) -> tuple[DataFrame, MaskReport]:
     """Run one SELECT, keep at most ``max_rows`` rows, mask them and report.
 
-    The tables in scope are those that the text names and those that the analysed plan reads. When rows are read but no table
-    can be told, every column is masked. The result is written out before it is scanned, so the rows that are judged are the
-    rows that are returned, and the query runs once. When masking fails no row is returned.
+    The analysed plan tells which tables are read and which of their columns each output column is made of: one masked origin
+    masks the output, whatever it is called, unless only a count of it is left. The output's own name is judged too, against the
+    tables that the plan reads and those that the text names. Files that no catalog table or view names are refused. When rows are
+    read but no table can be told, every column is masked. The result is written out before it is scanned, so the rows that are
+    judged are the rows that are returned, and the query runs once. When masking fails no row is returned.
     """
     text = F.lit(sql)
     seen = spark.range(1).select(S.readonly_reason(text).alias("reason"), S.sql_tables(text, spark=True).alias("tables"),
                                  S.sql_predicates(text, spark=True).alias("predicates")).first()
     if seen["reason"] is not None:
         raise RefusedQuery(seen["reason"])
-    planned, reads = plan_tables(spark, sql.rstrip().rstrip(";"))
-    tables = list(dict.fromkeys([*seen["tables"], *planned]))
-    if reads and not tables:
+    result = spark.sql(sql)  # analysed, not run
+    known = lineage(result)
+    if known.files:
+        raise RefusedQuery(S.READS_PATH)
+    read = [*[t for t in seen["tables"] if t in known.tables], *[t for t in known.tables if t not in seen["tables"]]]
+    tables = list(dict.fromkeys([*seen["tables"], *read]))
+    if known.reads and not tables:
         policy = replace(policy, patterns=("*",))
-    result = spark.sql(sql)
     count = truncated = None
     if max_rows is None:
         result = durable(result)
@@ -60,10 +55,10 @@ def guarded_query(spark: SparkSession, sql: str, catalog: DataFrame, policy: Pol
         count, truncated = min(total, max_rows), total > max_rows
         result = durable(capped.limit(max_rows)) if truncated else capped
     try:
-        masked, report = mask(result, tables, catalog, policy, key, seen["predicates"])
+        masked, report = mask(result, tables, catalog, policy, key, seen["predicates"], known.origins)
     except Exception as problem:  # fail closed whatever went wrong
         report = MaskReport(policy.mode, tables=tables, error=type(problem).__name__)
         return result.limit(0), report
-    report.tables = list(seen["tables"]) or tables
+    report.tables = read
     report.row_count, report.rows_truncated = count, truncated
     return masked, report

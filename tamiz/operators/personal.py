@@ -147,10 +147,20 @@ def predicate_leak(spark, predicates: list[str], tables: list[str], catalog: Dat
     return [c for c in predicates if c in hit]
 
 
+def masked_origins(spark, origins: dict[str, set[tuple[str, str]]], catalog: DataFrame, policy: Policy) -> list[str]:
+    """Keys of ``origins`` with a ``(table, column)`` that the policy masks."""
+    rows = [(k, c, t) for k, pairs in origins.items() for t, c in sorted(pairs)]
+    if not rows:
+        return []
+    wanted = local_rows(spark, rows, "place string, column string, table string")
+    return [r["place"] for r in classify_columns(wanted, catalog, policy, ["place"]).where(F.col("verdict") == MASK).select("place").distinct().collect()]
+
+
 def mask(df: DataFrame, tables: list[str], catalog: DataFrame, policy: Policy, key: bytes,
-         predicates: list[str] = ()) -> tuple[DataFrame, MaskReport]:
+         predicates: list[str] = (), origins: list[set[tuple[str, str]]] | None = None) -> tuple[DataFrame, MaskReport]:
     """Mask a result under the policy. Rows must be stable between runs: the value scan and the
-    masking read them one after the other."""
+    masking read them one after the other. ``origins``: for each column, by place, the ``(table, column)`` it is made of
+    (`lineage`); a column with a masked origin is masked."""
     spark, names = df.sparkSession, df.columns
     report = MaskReport(policy.mode, tables=list(tables))
     if policy.mode == "off":
@@ -163,6 +173,8 @@ def mask(df: DataFrame, tables: list[str], catalog: DataFrame, policy: Policy, k
     judged = {r["column"]: r["verdict"] for r in classify_columns(wanted, catalog, policy).collect()}
     verdict = {p: judged[n] for p, n in zip(places, names)}
     name_of = dict(zip(places, names))
+    for p in masked_origins(spark, dict(zip(places, origins or [])), catalog, policy):
+        verdict[p] = MASK
     report.unresolved = [name_of[p] for p in places if verdict[p] == UNRESOLVED]
     suspect = set()
     open_places = [p for p in places if verdict[p] != MASK]

@@ -60,10 +60,10 @@ def allocate_ids(existing: DataFrame, requests: DataFrame, ranges=None, chunk: i
 def expand_languages(texts: DataFrame, languages: DataFrame, existing: DataFrame) -> DataFrame:
     """One row per text and active language, leaving out what exists. ``texts(id, lang, text)`` holds
     the translations given; the rest get a placeholder. The languages meet the texts as one list."""
-    codes = languages.where("lang IS NOT NULL").agg(F.sort_array(F.collect_set("lang")).alias("codes"), F.lit(1).alias("one"))
+    codes = languages.where("lang IS NOT NULL").agg(F.sort_array(F.collect_set("lang")).alias("codes"))
     if languages.where("lang IS NOT NULL").isEmpty():
         raise ValueError("no active language")
-    ids = (texts.select("id", F.lit(1).alias("one")).distinct().join(F.broadcast(codes), "one").select("id", F.explode("codes").alias("lang")))
+    ids = texts.select("id").distinct().select("id", F.explode(codes.scalar()).alias("lang"))
     placeholder = F.concat(F.lit("[TEXTO_"), "lang", F.lit("]"))
     return (ids.join(texts.select("id", "lang", "text"), ["id", "lang"], "left")
             .join(existing.select("id", "lang"), ["id", "lang"], "left_anti")

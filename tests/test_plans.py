@@ -114,7 +114,9 @@ def test_sql_functions_equal_the_expressions(spark):
 def test_lineage_cut_is_reliable(spark):
     from tamiz.session import durable
     df = durable(spark.range(5))
-    assert df.count() == 5 and "ExistingRDD" in plan_of(df)
+    assert df.count() == 5 and "FileScan parquet" in plan_of(df) and "Range" not in plan_of(df)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert folder in plan_of(df.select("id")).replace("file:", "")
     root = Path(__file__).resolve().parents[1]
     for path in (root / "tamiz").rglob("*.py"):
         assert ".localCheckpoint(" not in path.read_text() and ".toPandas(" not in path.read_text()
