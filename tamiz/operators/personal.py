@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tamiz.functions import fixed_values as V
 from tamiz.functions import personal as P
 from tamiz.functions.types import is_clear_type
-from tamiz.session import local_rows
+from tamiz.session import durable, local_rows
 
 MASK, CLEAR, UNRESOLVED = "mask", "clear", "unresolved"
 
@@ -301,63 +302,58 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 
 _WORDS = r"[^\p{L}\p{N}]+"
-_KEY = "array<struct<k:int,key:bigint>>"
-
-
-def _runs(words: Column, size: int) -> Column:
-    """All runs of consecutive words of one length, as texts."""
-    runs = words
-    for shift in range(2, size + 1):
-        rest = F.slice(words, F.lit(shift), F.greatest(F.size(words) - (shift - 1), F.lit(0)))
-        runs = F.zip_with(runs, rest, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(runs, lambda r: r.isNotNull())
-
-
-def _keys(items: Column, k: int) -> Column:
-    hashes = F.array_distinct(F.transform(items, lambda t: F.xxhash64(t)))
-    return F.transform(hashes, lambda h: F.struct(F.lit(k).alias("k"), h.alias("key")))
-
-
-STRIDE = 6
-
-
-def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+#: Length of the pieces that phrases without an inner word are looked up by; phrases looked for in one pass over the lines.
+STRIDE, PHRASES_A_PASS = 6, 8000
+
+
+def _among(items: Column, wanted: list[str]) -> Column:
+    """The items that are in a list, which Spark turns into a hash set of the plan."""
+    return F.array_distinct(F.filter(items, lambda w: w.isin(wanted))) if wanted else F.array().cast("array<string>")
+
+
+def _rarest(lines: DataFrame, text: str, inner: dict[str, list[str]]) -> dict[str, str]:
+    """For each phrase the inner word that the lines hold least often. A phrase with a word that no line holds is in none, and left out."""
+    words = sorted({w for ws in inner.values() for w in ws})
+    if not words:
+        return {}
+    counted = lines.select(F.explode(F.filter(F.split(text, _WORDS), lambda w: w.isin(words))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    held = {r["word"]: r["n"] for r in counted.collect()}
+    return {p: min(ws, key=lambda w: (held[w], -len(w), w)) for p, ws in inner.items() if all(w in held for w in ws)}
+
+
+def _held(lines: DataFrame, phrases: list, keys: list[str], text: str) -> DataFrame:
+    inner = {r["phrase"]: r["inner"] for r in phrases if r["inner"]}
+    by_word = _rarest(lines, text, inner)
+    by_piece = {r["phrase"]: {r["phrase"][i:i + STRIDE] for i in range(STRIDE)} for r in phrases if not r["inner"]}
+    keyed = [(1, w, p) for p, w in by_word.items()] + [(0, piece, p) for p, pieces in by_piece.items() for piece in sorted(pieces)]
+    hits = [F.transform(_among(items, sorted({k for kind, k, _ in keyed if kind == n})), lambda k: F.struct(F.lit(n).alias("kind"), k.alias("key")))
+            for n, items in ((1, F.split(text, _WORDS)), (0, F.regexp_extract_all(text, F.lit(rf"(?s).{{{STRIDE}}}"), F.lit(0))))
+            if any(kind == n for kind, _, _ in keyed)]
+    wanted = F.broadcast(local_rows(lines.sparkSession, keyed, "kind int, key string, phrase string"))
+    met = lines.select(*keys, text, F.explode(F.concat(*hits) if hits else F.array().cast("array<struct<kind:int,key:string>>")).alias("__hit"))
+    pairs = met.join(wanted, (F.col("__hit.kind") == F.col("kind")) & (F.col("__hit.key") == F.col("key"))).where(F.contains(text, "phrase"))
+    # Of a phrase's pieces only the first whole one behind its first place counts, so a pair comes once.
+    first = F.ceil((F.instr(F.col(text), F.col("phrase")) - 1) / STRIDE) * STRIDE + 1
+    return pairs.where((F.col("kind") == 1) | (F.substr(F.col(text), first.cast("int"), F.lit(STRIDE)) == F.col("key"))).select(*keys, text, "phrase")
+
+
+def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text: str = "text", a_pass: int = PHRASES_A_PASS) -> DataFrame:
     """Lines that hold a phrase literally: ``(keys, text, phrase)``, one row for each line and phrase, without comparing every
     line with every phrase. Shorter phrases than twelve characters are left out.
 
-    The words strictly inside a phrase appear as whole words in any text that holds it, so a run of up to three inner words is
-    an exact lookup key. A phrase with no inner word is looked up by its pieces of six characters: a text is cut into such
-    pieces from its start, and any twelve characters of it hold a whole one, at one of six places. Only hashes and row keys are
-    spread; a row key is a digest of the row itself, so lines with equal keys or none stay apart. Every candidate is verified.
-    """
-    wanted = phrases.select("phrase").where(F.length("phrase") >= V.PHRASE_MIN).distinct()
-    # The first and last word may be cut by the phrase's ends, so they are not used.
+    The words strictly inside a phrase appear as whole words in any text that holds it (its first and last may be cut there), so
+    a phrase is looked up by the one of them that is rarest over the lines. A phrase with no inner word is looked up by its
+    pieces of six characters: a text is cut into such pieces from its start, and any twelve characters of it hold a whole one,
+    at one of six places. The keys are tested inside the row against a hash set in the plan, so lines without any go no further,
+    nothing is shuffled, and every candidate is verified on the spot. Phrases are looked for in passes of about ``a_pass``, which bounds
+    the set."""
     split = F.split("phrase", _WORDS)
-    inner = F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0)))
-    choices = F.transform(
-        F.when(F.size(inner) >= 3, _runs(inner, 3)).when(F.size(inner) == 2, _runs(inner, 2)).otherwise(inner),
-        lambda r: F.struct(F.length(r), r.alias("run")))
-    keyed = wanted.select("phrase", F.least(F.size(inner), F.lit(3)).alias("k"), F.array_max(choices)["run"].alias("run"))
-    pieces = F.transform(F.sequence(F.lit(1), F.lit(STRIDE)), lambda i: F.substr("phrase", i, F.lit(STRIDE)))
-    keyed = keyed.select("phrase", "k", F.explode(F.when(F.col("k") == 0, pieces).otherwise(F.array("run"))).alias("run"))
-    keyed = keyed.select("phrase", "k", F.xxhash64("run").alias("key"))
-    classes = sorted(r["k"] for r in keyed.select("k").distinct().collect())  # at most four
-    if not classes:
-        return lines.select(*keys, text).withColumn("phrase", F.lit("")).limit(0)
-
-    row = F.sha2(F.to_json(F.struct(*keys, text)), 256)
-    # Staged, so that a line is split into words once however many run lengths are needed.
-    worded = lines.select(row.alias("__row"), F.col(text).alias("__text"), F.filter(F.split(F.col(text), _WORDS), lambda w: w != "").alias("__w"))
-    parts = []
-    for k in classes:
-        if k:
-            parts.append(_keys(_runs(F.col("__w"), k), k))
-        else:
-            parts.append(_keys(F.regexp_extract_all("__text", F.lit(rf"(?s).{{{STRIDE}}}"), F.lit(0)), 0))
-    looked_up = worded.select("__row", F.explode(F.concat(*parts)).alias("g"))
-    found = looked_up.join(keyed, (F.col("g.k") == F.col("k")) & (F.col("g.key") == F.col("key"))).select("__row", "phrase").distinct()
-    pairs = lines.select(*keys, text, row.alias("__row")).join(found, "__row")
-    return pairs.where(F.contains(F.col(text), F.col("phrase"))).select(*keys, text, "phrase")
+    wanted = phrases.select("phrase").where(F.length("phrase") >= V.PHRASE_MIN).distinct().select(
+        "phrase", F.filter(F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))), lambda w: w != "").alias("inner"))
+    wanted = durable(wanted)
+    passes = max(1, -(-wanted.count() // a_pass))
+    parts = [_held(lines, wanted.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == n).collect(), keys, text) for n in range(passes)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def leak_rules(lines: DataFrame, phrases: DataFrame, patterns=None, shown: int | None = 120) -> DataFrame:

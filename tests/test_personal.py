@@ -123,6 +123,32 @@ def test_phrases_with_equal_and_missing_row_keys(spark):
     assert got == [("", 0, "frase bastante larga"), ("f", 1, "frase bastante larga"), ("f", 1, "frase bastante larga"), ("g", 2, "cdefghijklmn")]
 
 
+def test_phrases_by_brute_force(spark):
+    import random
+    rng = random.Random(5)
+    words = ["uno", "dos", "tres", "cuatro", "cinco", "ñandú", "x", "largapalabra"]
+    texts = [rng.choice([" ", "  ", ", "]).join(rng.choices(words, k=rng.randint(0, 14))) for _ in range(300)] + ["largapalabralargapalabra" * 9, None, "", "😀" * 40]
+    phrases = [t[a:a + rng.randint(8, 30)] for t in texts[:200] if t and len(t) > 20 for a in [rng.randrange(len(t) - 10)]] + ["palabralargapal", "😀" * 13, "no esta en ninguna", "uno", None]
+    lines = spark.createDataFrame([(k % 7, t) for k, t in enumerate(texts)], "n int, text string")
+    asked = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    want = sorted((k % 7, t, p) for k, t in enumerate(texts) if t is not None for p in set(phrases) if p is not None and len(p) >= 12 and p in t)
+    for a_pass in (2000, 20):
+        assert sorted(map(tuple, O.contains_phrase(lines, asked, ["n"], a_pass=a_pass).collect())) == want
+
+
+def test_a_very_long_line_takes_no_more_than_its_length(spark):
+    import time
+    phrases = spark.createDataFrame([("entre dos palabras mas",), ("sinpalabrainterior",)], "phrase string")
+
+    def seconds(words):
+        lines = spark.createDataFrame([(1, "dos palabras " * words + "entre dos palabras mas sinpalabrainterior")], "n int, text string")
+        start = time.perf_counter()
+        assert O.contains_phrase(lines, phrases, ["n"]).count() == 2
+        return time.perf_counter() - start
+    seconds(10)
+    assert seconds(6200) < 5 + 2 * seconds(62)
+
+
 def test_rules_leave_out_build_folders(spark):
     lines = spark.createDataFrame([("bin/Debug/a.cs", 1, 'pass = "abcd"'), ("src\\obj\\a.cs", 1, 'pass = "abcd"'), ("src/binary/a.cs", 1, 'pass = "abcd"')], "file string, line_no int, text string")
     assert [r["file"] for r in O.rule_scan(lines).collect()] == ["src/binary/a.cs"]
