@@ -25,11 +25,12 @@ by nothing, so ids should be unique; a repeated row is a copy of itself. A row w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm import words as W
@@ -40,8 +41,8 @@ SHINGLE = 5
 COMMON = 4
 MOST_COMMON = 2_000_000
 #: Packed entries a task gathers before it sends them on, and entries of one range at its receiver.
-FLUSH = 1 << 20
-RANGE_ENTRIES = 1_500_000
+FLUSH = 1 << 18
+RANGE_ENTRIES = 750_000
 BLOCK_NODES = 64
 MEMBERS = 256
 #: Ids that may be broadcast to pick texts out of a scan; more are joined by a shuffle.
@@ -133,7 +134,7 @@ def survey(src: DataFrame, n_ranges: int, common: int) -> DataFrame:
                 sums = [np.add.reduceat(W.mix(grams ^ np.uint64(seed)), bounds[:-1][full]).view(np.int64) for seed in (1, _OWN)]
                 docs.append(np.column_stack([ids[full], n[full], *sums]))
             held += len(grams)
-            if held >= 4 * FLUSH:
+            if held >= 2 * FLUSH:
                 yield emit(prints, docs)
                 prints, docs, held = [], [], 0
         yield emit(prints, docs)
@@ -347,17 +348,20 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     grouped = shared.join(groups, "node", "left").select("token", "node", "n", "last", F.coalesce("component", "node").alias("component"))
     apart = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = stored(grouped.join(apart, "token"), "shingle-open")
-    order = Window.partitionBy("component").orderBy("n", "node")
-    nodes = open_.select("node", "n", "last", "component").distinct()
-    blocks = stored(nodes.withColumn("block", F.struct("component", F.floor((F.row_number().over(order) - 1) / BLOCK_NODES).alias("k"))), "shingle-blocks")
-    matrix = open_.join(blocks.select("node", "block"), "node").select("token", "block").distinct()
-    met = (open_.select("token", "node", F.col("component").alias("own")).join(matrix, "token").where(F.col("own") > F.col("block.component"))
-           .groupBy("node", "block").agg(F.count("*").alias("c")))
+    # Nodes of a group are cut into blocks by length (linked sets are at most one class of 4/3 apart), then by hash: no group is sorted.
+    nodes = open_.select("node", "n", "last", "component", F.floor(F.log("n") / math.log(4 / 3)).alias("size")).distinct()
+    parts = nodes.groupBy("component", "size").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
+    blocks = stored(nodes.join(parts, ["component", "size"]).select(
+        "node", "n", "last", "component", F.struct("component", "size", F.pmod(F.xxhash64("node"), F.col("parts")).alias("k")).alias("block")), "shingle-blocks")
     bounds = blocks.groupBy("block").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"), F.min("last").alias("first_end"), F.max("last").alias("last_end"))
+    matrix = open_.join(blocks.select("node", "block"), "node").select("token", "block").distinct().join(bounds.select("block", "shortest", "longest"), "block")
+    met = (open_.select("token", "node", "n", F.col("component").alias("own")).join(matrix, "token")
+           .where((F.col("own") > F.col("block.component")) & (4 * F.col("longest") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("shortest")))
+           .groupBy("node", "block").agg(F.count("*").alias("c")))
     rest = (F.when(F.col("last") < F.col("first_end"), _tail("n")).when(F.col("last") > F.col("last_end"), _tail("longest"))
             .otherwise(F.greatest(_tail("n"), _tail("longest"))))
     asked = (met.join(nodes.select("node", "n", "last"), "node").join(bounds, "block")
-             .where((4 * F.col("longest") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("shortest")) & (F.col("c") >= _least_shared("n", "shortest", rest))))
+             .where(F.col("c") >= _least_shared("n", "shortest", rest)))
     asked = stored(asked.select("node", "block"), "shingle-asked")
     used = asked.select("node").union(blocks.join(asked.select("block").distinct(), "block", "left_semi").select("node")).distinct()
     across = block_links(asked, blocks, sets_of(has_id, used))

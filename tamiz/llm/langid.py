@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from tamiz.llm import words as W
 from tamiz.llm.store import crc32_of_id, stored
 
-BUCKETS = 4096
+BITS = 14
+BUCKETS = 1 << BITS
+#: Texts whose vectors a task holds at once.
+ROWS = 512
 UNKNOWN = "und"
 
 _CLEAN = np.arange(256, dtype=np.uint32)
@@ -63,12 +66,26 @@ def counts(column: pa.Array) -> np.ndarray:
         key = np.zeros(len(b) - size + 1, np.uint32)
         for j in range(size):
             key = key * np.uint32(0x01000193) + b[j:len(b) - size + 1 + j] + np.uint32(1)
-        key = (key * np.uint32(0x9E3779B1)) >> np.uint32(20)
+        key = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         fits = place[:len(key)] + size <= ends[:len(key)]
         out += np.bincount(text_of[:len(key)][fits] * BUCKETS + key[fits], minlength=n * BUCKETS).reshape(n, BUCKETS)
     return out
 
 
+def packed(row: np.ndarray) -> bytes:
+    """The buckets that a text has, and their counts."""
+    used = np.flatnonzero(row)
+    return np.stack([used, np.minimum(row[used], 65535)]).astype("<u2").tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), BUCKETS), np.float32)
+    for k, raw in enumerate(rows):
+        used, times = np.frombuffer(raw, "<u2").reshape(2, -1)
+        out[k, used] = times
+    return out
+
+
 def weighted(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     rows, cols = np.nonzero(found)
     out = np.zeros_like(found, dtype=np.float32)
@@ -110,14 +127,14 @@ def fit(training: DataFrame, clusters: int = 4, sample_rows: int = 3000, id_colu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(BUCKETS, np.int64)
-        for piece in W.slices(batches, "text"):
+        for piece in W.slices(batches, "text", rows=ROWS):
             found = counts(piece.column("text"))
             df += (found > 0).sum(axis=0)
             take = np.flatnonzero(piece.column("drawn").to_numpy(zero_copy_only=False))
             if len(take):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([piece.column("lang")[int(k)].as_py() for k in take], pa.string()), pa.nulls(len(take), pa.int32()), pa.nulls(len(take), pa.int64()),
-                     pa.array([np.minimum(found[k], 65535).astype(np.uint16).tobytes() for k in take], pa.binary())], names=["lang", "bucket", "df", "vector"])
+                     pa.array([packed(found[k]) for k in take], pa.binary())], names=["lang", "bucket", "df", "vector"])
         full = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.array(full, pa.int32()), pa.array(df[full], pa.int64()), pa.nulls(len(full), pa.binary())],
                                          names=["lang", "bucket", "df", "vector"])
@@ -132,7 +149,7 @@ def fit(training: DataFrame, clusters: int = 4, sample_rows: int = 3000, id_colu
     for n, lang in enumerate(langs):
         mine = sorted(bytes(r["vector"]) for r in sample if r["lang"] == lang)
         if mine:
-            found = cluster(weighted(np.frombuffer(b"".join(mine), np.uint16).reshape(-1, BUCKETS).astype(np.float32), idf), clusters)
+            found = cluster(weighted(unpacked(mine), idf), clusters)
             centroids.append(found)
             owner += [n] * len(found)
     if not owner:
@@ -154,7 +171,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[2:])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in W.slices(batches, "text"):
+        for piece in W.slices(batches, "text", rows=ROWS):
             text = piece.column(1).cast(pa.large_string())
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             langs, scores = np.full(len(text), -1), np.zeros(len(text))
@@ -171,7 +188,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
             .withColumnRenamed("id", id_column))
 
 
-def calibrate(predicted: DataFrame, training, tail: float = 0.002, slack: float = 0.5) -> dict[tuple[str, int], float]:
+def calibrate(predicted: DataFrame, training, tail: float = 0.002, slack: float = 0.9) -> dict[tuple[str, int], float]:
     """Cut-off cosine for each language and size class, from the cosines of all rows that ``training`` (a condition) marks."""
     bins = (predicted.where(training).where(F.col("lang_pred") != UNKNOWN)
             .groupBy("lang_pred", "size_class", F.floor(F.col("score") * 500).cast("int").alias("bin")).count().collect())
@@ -198,7 +215,7 @@ def identified(docs: DataFrame, training=None, id_column: str = "doc_id", text_c
     place = docs.columns.index(text_column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in W.slices(batches, text_column):
+        for piece in W.slices(batches, text_column, rows=ROWS):
             text = piece.column(place).cast(pa.large_string())
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             stays = np.zeros(len(text), bool)

@@ -3,13 +3,17 @@
 Documents become token pieces of at most ``capacity`` ids; packing needs only their lengths, and the histogram of lengths has at
 most ``capacity`` entries however large the corpus, so the packing is planned on that histogram:
 
-1. lengths over ``capacity / 3`` are large. Sorted, they form groups of equal cardinality, and each length is rounded up to the
+1. lengths over ``capacity / 6`` are large. Sorted, they form groups of equal cardinality, and each length is rounded up to the
    longest of its group;
 2. over those few sizes, configurations of a sequence are optimised by column generation (linear programme of whole
    configurations, priced by a knapsack), and whole multiples of each are used;
-3. actual documents take the places of their group, longest first, which leaves gaps;
+3. actual documents take every place: the longest that waits and fits the rounded size, and in the last place the longest that
+   fits what is left of the sequence;
 4. whatever has no place yet, and all small documents, are placed by best fit, longest first, in bulk by equal gaps.
 
+Rounding up can cost sequences where nothing small fills the gaps, so plain best fit of the same histogram is planned as well, and
+taken where it saves more than one sequence in 2,000.
+
 The plan says, for ranks of pieces among those of equal length, which sequence and offset they get. It has a few rows for each
 length and is broadcast; pieces are ranked within salted parts of their length, so a length that a third of all documents share
 is spread over many tasks.
@@ -35,6 +39,10 @@ from tamiz.llm.tokens import stretches
 CAPACITY = 2048
 END_ID = 0
 GROUPS = 160
+#: Lengths over this part of the capacity are large.
+LARGE = 6
+#: Part of the sequences that configurations may cost over the fewest found.
+NEAR = 0.0005
 
 
 def cut_pieces(n_ids: int, capacity: int) -> list[tuple[int, int]]:
@@ -166,52 +174,115 @@ class Bins:
         return [c for found in self.by_gap for c in found]
 
 
+class Waiting:
+    """Documents not placed yet, by length; finds the longest that fits."""
+
+    def __init__(self, lengths: dict[int, int], capacity: int):
+        self.left = [lengths.get(n, 0) for n in range(capacity + 1)]
+        self.down = [n if self.left[n] else n - 1 for n in range(capacity + 1)]  # towards the next length that is there
+
+    def longest(self, most: int) -> int:
+        """The longest length up to ``most`` that is there, 0 for none."""
+        path, n = [], max(0, most)
+        while n > 0 and self.down[n] != n:
+            path.append(n)
+            n = self.down[n]
+        for x in path:
+            self.down[x] = n
+        return max(0, n)
+
+    def take(self, n: int, most: int) -> int:
+        took = min(self.left[n], most)
+        self.left[n] -= took
+        if not self.left[n]:
+            self.down[n] = n - 1
+        return took
+
+
+def fill(waiting: Waiting, places: list[int], copies: int, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """``(count, lengths)``: actual documents for ``copies`` sequences of a configuration. Each place takes the longest document
+    that waits and fits it; the last place has all that is left of the sequence."""
+    classes: list[tuple[int, tuple[int, ...]]] = [(copies, ())]
+    for k, size in enumerate(places):
+        after = []
+        for count, held in classes:
+            room = capacity - sum(held)
+            most = room if k == len(places) - 1 else min(size, room)
+            while count and (n := waiting.longest(most)):
+                took = waiting.take(n, count)
+                after.append((took, (*held, n)))
+                count -= took
+            if count:
+                after.append((count, held))
+        classes = after
+    return [(count, held) for count, held in classes if held]
+
+
+def configured(lengths: dict[int, int], capacity: int, chosen: list[tuple[list[int], int]], worst: int) -> tuple[Bins, int]:
+    """Sequences by configurations ``(sizes, copies)`` of large documents, the rest by best fit; and how many large documents a
+    configuration has put together with others. A filled configuration stands if its gap is none, or over ``worst``, so that small
+    documents can fill it; others are given up to best fit."""
+    bins, together = Bins(capacity), 0
+    waiting = Waiting({n: c for n, c in lengths.items() if n > capacity // LARGE}, capacity)
+    rest = {n: c for n, c in lengths.items() if n <= capacity // LARGE}
+    for places, copies in chosen:
+        for count, held in fill(waiting, places, copies, capacity):
+            if 0 < capacity - sum(held) <= worst or len(held) == 1:
+                for n in held:
+                    rest[n] = rest.get(n, 0) + count
+            else:
+                bins.add(count, tuple((n, held.count(n)) for n in dict.fromkeys(held)))
+                together += count * len(held)
+    for n, c in enumerate(waiting.left):
+        if c:
+            rest[n] = rest.get(n, 0) + c
+    for n in sorted(rest, reverse=True):
+        bins.place(n, rest[n])
+    return bins, together
+
+
+def templates(lengths: dict[int, int], capacity: int, n_groups: int) -> list[tuple[list[int], int]]:
+    """Configurations of the large documents' rounded lengths, the fullest first: sizes, longest first, and copies."""
+    groups = groups_of({n: c for n, c in lengths.items() if n > capacity // LARGE}, n_groups)
+    sizes, demand = [g[0][0] for g in groups], [sum(c for _, c in g) for g in groups]
+    found = configurations(sizes, demand, capacity) if groups else []
+    return sorted((([s for s, a in zip(sizes, config) for _ in range(a)], copies) for config, copies in found), key=lambda c: (-sum(c[0]), c))
+
+
+def best_fit(lengths: dict[int, int], capacity: int) -> Bins:
+    bins = Bins(capacity)
+    for n in sorted(lengths, reverse=True):
+        bins.place(n, lengths[n])
+    return bins
+
+
+def best_plan(lengths: dict[int, int], capacity: int, n_groups: int, near: float = NEAR) -> tuple[Bins, int, int]:
+    """The sequences, how many large documents a configuration has put together with others, and how many sequences plain best fit
+    of all documents takes.
+
+    Tried are all configurations or three in four copies of each, taken as they come or only without a gap that small documents can
+    hardly fill (up to the middle of their lengths), and plain best fit. Of those that need at most ``near`` times more sequences than the
+    fewest, the one that puts most large documents together by configurations is taken."""
+    def size(bins: Bins) -> int:
+        return sum(c for c, _ in bins.classes())
+
+    plain = best_fit(lengths, capacity)
+    small = sorted((n, c) for n, c in lengths.items() if n <= capacity // LARGE)
+    half = np.cumsum([c for _, c in small])
+    middle = small[int(np.searchsorted(half, half[-1] / 2))][0] if small else 0
+    chosen = templates(lengths, capacity, n_groups)
+    tried = [(plain, 0)] + [configured(lengths, capacity, [(places, copies * share // 4) for places, copies in chosen if copies * share // 4], worst)
+                            for share in (4, 3) for worst in dict.fromkeys((0, middle))]
+    fewest = min(size(bins) for bins, _ in tried)
+    bins, together = max((t for t in tried if size(t[0]) <= (1 + near) * fewest), key=lambda t: (t[1], -size(t[0])))
+    return bins, together, size(plain)
+
+
 def plan(lengths: dict[int, int], capacity: int = CAPACITY, n_groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
     """Rows ``(length, rank_from, rank_to, sequence_from, copies, offset)``: the piece of rank ``r`` among those of its length,
     ``rank_from <= r < rank_to``, is number ``i = r - rank_from``: sequence ``sequence_from + i div copies``, at
     ``offset + (i mod copies) * length``."""
-    bins = Bins(capacity)
-    large = {n: c for n, c in lengths.items() if n > capacity // 3}
-    rest = {n: c for n, c in lengths.items() if n <= capacity // 3}
-    groups = groups_of(large, n_groups)
-    if groups:
-        sizes, demand = [g[0][0] for g in groups], [sum(c for _, c in g) for g in groups]
-        waiting = [[list(r) for r in reversed(g)] for g in groups]  # the longest last, to be popped
-
-        def draw(g: int, most: int) -> tuple[int, int]:
-            run = waiting[g][-1]
-            took = min(run[1], most)
-            run[1] -= took
-            if not run[1]:
-                waiting[g].pop()
-            return run[0], took
-
-        chosen = sorted(configurations(sizes, demand, capacity), key=lambda c: (-sum(a * s for a, s in zip(c[0], sizes)), c))
-        for config, copies in chosen:
-            copies = min([copies] + [sum(c for _, c in waiting[g]) // a for g, a in enumerate(config) if a])
-            columns, places = [], [g for g, a in enumerate(config) for _ in range(a)]
-            # The place of the smallest size stays open: best fit finds a longer document for it than the one rounded up to it.
-            for g in places[:-1] or places:
-                for _ in range(1):
-                    runs, left = [], copies
-                    while left:
-                        n, took = draw(g, left)
-                        runs.append((n, took))
-                        left -= took
-                    columns.append(runs)
-            while copies:
-                same = min(column[-1][1] for column in columns)
-                bins.add(same, tuple((column[-1][0], 1) for column in columns))
-                for column in columns:
-                    n, c = column.pop()
-                    if c > same:
-                        column.append((n, c - same))
-                copies -= same
-        for g in waiting:
-            for n, c in g:
-                rest[n] = rest.get(n, 0) + c
-    for n in sorted(rest, reverse=True):
-        bins.place(n, rest[n])
+    bins = best_plan(lengths, capacity, n_groups)[0]
     rows, ranks, sequence = [], dict.fromkeys(lengths, 0), 0
     for count, runs in bins.classes():
         at = 0

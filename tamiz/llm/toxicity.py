@@ -5,8 +5,8 @@ bytes, so unseen inflections share weights with seen ones. Filters of widths 1,
 rectified and max-pooled, and a logistic layer reads the pooled values. One embedding channel starts as the smoothed log-odds of
 its bucket in the training sample, the others at random; all are trained (Adagrad; only pooled positions carry gradients).
 
-Training uses a bounded sample of labelled rows: about ``sample_rows`` by a hash of the id, half for each label, and at most
-``sample_bytes`` of text, the shortest of each label where that acts. The language guess learns from ``guess_rows`` texts of each
+Training uses a bounded sample of labelled rows: about ``sample_rows`` by a hash of the id among those that have a text, half for
+each label, and at most ``sample_bytes`` of text, the shortest of each label where that acts and its shortest in any case. The language guess learns from ``guess_rows`` texts of each
 language of the sample. Thresholds are calibrated by language over *all* labelled training rows: the language is guessed from
 the text alone (nearest centroids of the sample), and the score is the logistic of the distance to that language's threshold, so
 0.5 is the cut for every language. Languages with under 20 rows of either label use the threshold of all languages together.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tamiz.llm import langid
 from tamiz.llm import words as W
+from tamiz.llm.sampling import labelled_texts
 from tamiz.llm.store import crc32_of_id, stored
-from tamiz.session import local_rows
 
 BUCKETS = 1 << 16
 DIM = 12
@@ -157,45 +157,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 32
     return net
 
 
-def shortest(sizes: list, sample_bytes: int) -> list:
-    """Ids of ``(id, toxic, bytes, draw)`` within ``sample_bytes``, the shortest texts first. A label has half of the bytes, and what
-    the other leaves."""
-    total = {y: sum(r["bytes"] for r in sizes if r["toxic"] == y) for y in (0, 1)}
-    out = []
-    for y in (0, 1):
-        room = max(sample_bytes // 2, sample_bytes - total[1 - y])
-        of_label = sorted((r for r in sizes if r["toxic"] == y), key=lambda r: (r["bytes"], r["draw"]))
-        if of_label and of_label[0]["bytes"] > room:
-            raise ValueError(f"every sampled text of label {y} is over {room} bytes: raise sample_bytes ({sample_bytes})")
-        for r in of_label:
-            room -= r["bytes"]
-            if room < 0:
-                break
-            out.append(r["id"])
-    return out
-
-
-def sample(docs: DataFrame, labelled: DataFrame, sample_rows: int, sample_bytes: int) -> list:
-    """About ``sample_rows`` labelled texts, half for each label, within ``sample_bytes``: ``(text, toxic, lang)``. Texts of one id
-    stay or go together. A label that has texts but none in the sample is an error.
-
-    ``labelled`` is joined to ``docs`` only after it has been cut to the sample, so the broadcast side is that small. Sizes are
-    summed first and texts fetched after, so only texts of the sample are moved."""
-    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    hashed = F.xxhash64("id", F.lit("toxicity"))
-    draw = hashed / F.lit(2.0 ** 64) + 0.5
-    share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / 2 / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample_rows / 2 / max(1, sizes.get(0, 0))))
-    few = labelled.where(draw < share).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.where("text IS NOT NULL")
-    found = (texts.select("id", F.octet_length("text").alias("bytes")).join(F.broadcast(few), "id")
-             .groupBy(few["id"].alias("id"), "toxic").agg(F.sum("bytes").alias("bytes")).withColumn("draw", hashed).collect())
-    for y in sorted(sizes.keys() - {r["toxic"] for r in found}):
-        if not texts.join(labelled.where(F.col("toxic") == y), "id", "left_semi").isEmpty():
-            raise ValueError(f"label {y} has texts, but none is in the sample: raise sample_rows ({sample_rows})")
-    chosen = local_rows(docs.sparkSession, [(i,) for i in shortest(found, sample_bytes)], f"id {few.schema['id'].dataType.simpleString()}")
-    return texts.join(F.broadcast(few.join(F.broadcast(chosen), "id", "left_semi")), "id").select("text", "toxic", "lang").collect()
-
-
 def guesser(rows: list, most: int | None = 400) -> langid.Model:
     """Centroids of the languages of the sample, for a guess from the text alone: from the first ``most`` texts of each language,
     None for all."""
@@ -219,7 +180,7 @@ def logits(docs: DataFrame, net: Net, model: langid.Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, model = shared.value
-        for piece in W.slices(batches, "text", W.SLICE_BYTES // 2):
+        for piece in W.slices(batches, "text", W.SLICE_BYTES // 2, langid.ROWS):
             column = piece.column(1)
             buckets, text_of = buckets_of(column)
             guess = [""] * len(column)
@@ -267,12 +228,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, training=None, id_column: str =
     labelled = (labels.where(F.lit(True) if training is None else training).select(labels[id_column].alias("id"), F.col(label_column).cast("int").alias("toxic"))
                 .where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic")))
     src = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"), docs[lang_column].alias("lang"))
-    rows = sample(src, labelled, sample_rows, sample_bytes)
-    y = np.array([r["toxic"] for r in rows], dtype=np.int64)
+    rows = labelled_texts(src, labelled.withColumnRenamed("toxic", "label"), "toxicity", sample_rows, sample_bytes)
+    y = np.array([r["label"] for r in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return src.select(F.col("id").alias(id_column), F.lit(float(y[0]) if len(y) else 0.0).alias("score"))
-    order = sorted(range(len(rows)), key=lambda k: (rows[k]["text"], rows[k]["toxic"]))
-    rows, y = [rows[k] for k in order], y[order]
     scored = stored(logits(src, train([r["text"] for r in rows], y), guesser(rows)), "toxicity")
     cuts = calibrate(scored, labelled)
     overall = cuts.pop("", 0.0)

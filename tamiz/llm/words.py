@@ -37,8 +37,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each piece holds about ``most`` bytes of the text column, so memory does not follow text length."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each piece holds about ``most`` bytes of the text column and at most ``rows`` rows, so memory follows
+    neither text length nor the number of short texts."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -46,7 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
+            to = min(max(to, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
 

@@ -53,7 +53,7 @@ def test_counts_equal_brute_force():
                 key = 0
                 for b in raw[k:k + size]:
                     key = (key * 0x01000193 + b + 1) % 2 ** 32
-                want[(key * 0x9E3779B1) % 2 ** 32 >> 20] += 1
+                want[(key * 0x9E3779B1) % 2 ** 32 >> (32 - L.BITS)] += 1
         assert (row == want).all()
 
 
@@ -64,3 +64,28 @@ def test_edges(edge_docs, edge_rows, no_docs):
     assert L.identify(no_docs).count() == 0
     assert {r["lang_pred"] for r in L.identify(edge_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert L.identified(edge_docs).columns == edge_docs.columns and L.identified(no_docs).count() == 0
+
+
+def test_packed_vectors_come_back():
+    rows = L.counts(pa.array(["some words here", "", "x" * 100]))
+    assert (L.unpacked([L.packed(r) for r in rows]) == rows).all()
+
+
+def test_rates_of_rejection_on_documents(spark):
+    """Few clean rows go; texts of random letters and of a language that was not learned do."""
+    from pathlib import Path
+    folder = "/root/testdata/sf0.1"
+    if not Path(folder).exists():
+        pytest.skip("no tables")
+    rng = random.Random(2)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 3000")
+    base = [r["text"] or "" for r in docs.where("lang <> 'de'").orderBy("doc_id").limit(150).collect()]
+    noise = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in t.split()) for t in base for letters in ("bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz")]
+    odd = spark.createDataFrame([(10 ** 6 + k, t, None) for k, t in enumerate(noise)], "doc_id long, text string, lang string").where("length(text) > 200")
+    learned = docs.where("lang <> 'de'")
+    kept = L.identified(learned.union(odd).union(docs.where("lang = 'de'").withColumn("lang", F.lit(None).cast("string")))).join(
+        docs.select("doc_id", F.col("lang").alias("is")), "doc_id", "left").groupBy("is").count().collect()
+    kept = {r["is"]: r["count"] for r in kept}
+    assert kept.get(None, 0) <= 0.1 * odd.count()
+    assert kept.get("de", 0) <= 0.25 * docs.where("lang = 'de'").count()
+    assert sum(kept[x] for x in ("en", "fr", "es")) >= 0.995 * learned.where("text RLIKE '\\\\p{L}'").count()

@@ -27,22 +27,39 @@ def check(rows, lengths, capacity):
     return len(filled)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_plan_is_complete_and_near_the_bound(seed):
+def drawn(seed, n=3000):
     rng = random.Random(seed)
     draw = [lambda: rng.randint(1, 2048), lambda: min(2048, int(rng.expovariate(1 / 600)) + 1), lambda: rng.choice([700, 1000, 1024, 1025]), lambda: rng.randint(1, 60),
-            lambda: rng.randint(700, 1300), lambda: 2048][seed]
+            lambda: rng.randint(700, 1300), lambda: 2048, lambda: rng.randint(342, 1000)][seed]
     lengths = {}
-    for _ in range(3000):
-        n = draw()
-        lengths[n] = lengths.get(n, 0) + 1
+    for _ in range(n):
+        k = draw()
+        lengths[k] = lengths.get(k, 0) + 1
+    return lengths
+
+
+@pytest.mark.parametrize("seed", range(7))
+def test_plan_is_complete_and_near_the_bound(seed):
+    lengths = drawn(seed)
     least = -(-sum(n * c for n, c in lengths.items()) // 2048)
-    bins = P.Bins(2048)
-    for n in sorted(lengths, reverse=True):
-        bins.place(n, lengths[n])
-    plain = sum(c for c, _ in bins.classes())
+    plain = sum(c for c, _ in P.best_fit(lengths, 2048).classes())
     used = check(P.plan(lengths), lengths, 2048)
-    assert least <= used <= 1.01 * max(least, plain) + 1
+    assert least <= used <= plain * (1 + P.NEAR)
+    if seed == 6:  # three to a sequence: pairing by best fit loses a twentieth
+        assert used < 0.97 * plain
+
+
+@pytest.mark.parametrize("seed", [1, 2, 4, 6])
+def test_configurations_put_most_large_documents_together(seed):
+    lengths = drawn(seed, 20000)
+    _, together, plain = P.best_plan(lengths, 2048, P.GROUPS)
+    assert together >= 0.5 * sum(c for n, c in lengths.items() if n > 2048 // P.LARGE)
+
+
+def test_places_take_the_longest_that_waits():
+    waiting = P.Waiting({900: 2, 1000: 1, 1100: 1, 400: 1}, 2048)
+    assert P.fill(waiting, [1100, 900], 2, 2048) == [(1, (1100, 900)), (1, (1000, 900))]
+    assert waiting.longest(2048) == 400 and waiting.longest(399) == 0 and waiting.longest(-5) == 0
 
 
 def test_few_groups_still_place_everything():

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamiz.llm import toxicity as X
+from tamiz.llm.sampling import labelled_texts
 
 INSULTS = {"xx": ["grumpf", "blarg"], "yy": ["stinkei", "stinkeit", "stinkung"]}
 
@@ -69,22 +70,17 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
 
 
 def test_a_long_text_does_not_end_the_sample(spark):
-    """The text first in hash order is over the byte bound; all others are in the sample, of both labels."""
-    first = spark.range(40).orderBy(F.xxhash64("id"), "id").first()["id"]
-    docs = spark.createDataFrame([(k, "long " * 20_000 if k == first else f"text {k}", "xx") for k in range(40)], "id long, text string, lang string")
-    labelled = spark.createDataFrame([(k, k % 2) for k in range(40)], "id long, toxic int")
-    got = X.sample(docs, labelled, 4000, 50_000)
-    assert sorted(r["text"] for r in got) == sorted(f"text {k}" for k in range(40) if k != first)
-    # One label's short texts leave their room to the other.
-    assert len(X.sample(docs, labelled, 4000, 101_000)) == 40
-
-
-def test_a_label_without_a_row_in_the_sample_is_an_error(spark):
-    docs = spark.createDataFrame([(k, "long " * 20_000 if k == 3 else f"text {k}", "xx") for k in range(4)], "id long, text string, lang string")
-    labelled = spark.createDataFrame([(k, int(k == 3)) for k in range(4)], "id long, toxic int")
-    with pytest.raises(ValueError, match="label 1 .*sample_bytes"):
-        X.sample(docs, labelled, 4000, 50_000)
-    # Labels of documents that are not there take up the sample.
-    many = labelled.union(spark.range(1000, 41000).select("id", F.lit(1)))
-    with pytest.raises(ValueError, match="label 1 .*sample_rows"):
-        X.sample(docs, many, 6, 1 << 20)
+    """A text over the byte bound stays out, all others are in the sample, of both labels."""
+    docs = spark.createDataFrame([(k, "x " * 50_000 if k == 7 else f"text {k} ", "en") for k in range(40)], "id long, text string, lang string")
+    labelled = spark.createDataFrame([(k, k % 2) for k in range(40)], "id long, label int")
+    got = labelled_texts(docs, labelled, "toxicity", 4000, 50_000)
+    assert len(got) == 39 and sum(r["label"] for r in got) == 19 and all(len(r["text"]) < 100 for r in got)
+    assert len(labelled_texts(docs, labelled, "toxicity", 4000, 101_000)) == 40
+
+
+def test_good_data_never_ends_with_an_error(spark):
+    """Labels of documents that are not there take no place in the sample, and a label of long texts only keeps its shortest."""
+    docs = spark.createDataFrame([(k, ("bad word " if k % 2 else "fine thing ") * (20_000 if k % 2 else 3), "en") for k in range(6)], "doc_id long, text string, lang string")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    found = {r["doc_id"]: r["score"] for r in X.toxicity(docs, labels, sample_rows=4, sample_bytes=1000).collect()}
+    assert len(found) == 6 and all(0 <= s <= 1 for s in found.values())
