@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions import fixed_values as V
@@ -10,6 +12,7 @@ from tamiz.functions.personal import as_text
 from tamiz.functions import sqltext as S
 from tamiz.functions.types import normalise_type, same_type
 from tamiz.operators.ordered import first_rows
+from tamiz.session import local_rows
 
 _KEY = ["table", "column"]
 
@@ -393,15 +396,24 @@ def truncation_risk(df: DataFrame, declared: dict[str, tuple]) -> DataFrame:
     return one.select(F.inline(F.array(*cells)))
 
 
-def table_inventory(tables: dict[str, DataFrame | None]) -> list[tuple[str, str]]:
-    """Tables with data, empty or unreadable, by reading one row of each."""
-    out = []
-    for name, df in tables.items():
-        try:
-            out.append((name, "unreadable" if df is None else "empty" if df.isEmpty() else "data"))
-        except Exception:
-            out.append((name, "unreadable"))
-    return out
+def table_inventory(tables: dict[str, DataFrame | None], kinds: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """``(table, type, objects, status)``: rows of every table in one union of aggregates; tables without a reader are unreadable.
+    ``kinds`` gives a table's column of object types and its counts by type instead."""
+    kinds = kinds or {}
+    there = {n: df for n, df in tables.items() if df is not None}
+    parts = []
+    for name, df in there.items():
+        if name in kinds:
+            kind = F.coalesce(F.col(kinds[name][0]).cast("string"), F.lit(kinds[name][1]))
+            parts.append(df.groupBy(kind.alias("type")).agg(F.count("*").alias("objects")).select(F.lit(name).alias("table"), "type", "objects", F.lit("data").alias("status")))
+        else:
+            rows = F.count("*")
+            parts.append(df.agg(rows.alias("objects")).select(F.lit(name).alias("table"), F.lit("row").alias("type"), "objects",
+                                                              F.when(F.col("objects") > 0, "data").otherwise("empty").alias("status")))
+    gone = [(n, None, None, "unreadable") for n, df in tables.items() if df is None]
+    spark = next(iter(there.values())).sparkSession if there else SparkSession.active()
+    parts.append(local_rows(spark, gone, "table string, type string, objects long, status string"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def structure_vs_table(spec: DataFrame, table: DataFrame) -> DataFrame:

@@ -127,20 +127,51 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen.where("level > 0")
 
 
+def _bits(rows: DataFrame, counted: list[str]) -> DataFrame:
+    """``(start number, name...)``: for each start of a word the sum of its bit over rows, of every column of ``counted``."""
+    one = lambda c, k: F.sum(F.shiftrightunsigned(F.col(c), k).bitwiseAND(F.lit(1).cast("long")))
+    sums = rows.groupBy("word").agg(*[F.array(*[one(c, k) for k in range(64)]).alias(c) for c in counted])
+    return sums.select("word", F.posexplode(F.arrays_zip(*counted)).alias("bit", "of")).select(
+        (F.shiftleft("word", 6) + F.col("bit")).alias("number"), *[F.coalesce(F.col(f"of.{c}"), F.lit(0).cast("long")).alias(c) for c in counted])
+
+
+def reach_words(edges: DataFrame, starts: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Breadth-first reach of all starts at once, 64 to a row: the numbered starts ``(number, node)``, rows ``(node, word, bits,
+    level)`` of the starts that first reach a node at a level, and those that would reach it beyond ``depth``.
+
+    The bits of a word are carried along the edges and or-ed; what a node has already been reached by is masked off, so no pair of
+    start and node is ever a row. Every round is stored."""
+    edges = durable(edges.select("source", "target").distinct())
+    numbered = durable(starts.select("node").distinct().withColumn("number", F.monotonically_increasing_id()))
+    word, bit = F.shiftright("number", 6), F.expr("shiftleft(1L, CAST(number & 63 AS INT))")
+    own = numbered.select("node", word.alias("word"), bit.alias("bits")).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    seen = front = durable(own)
+    found = front.withColumn("level", F.lit(0))
+    for level in range(1, depth + 2):
+        step = front.join(edges, front["node"] == edges["target"]).groupBy(edges["source"].alias("node"), "word").agg(F.bit_or("bits").alias("new"))
+        new = F.col("new").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long"))))
+        front = durable(step.join(seen, ["node", "word"], "left").select("node", "word", new.alias("bits")).where("bits <> 0"))
+        if level > depth or front.isEmpty():
+            break
+        found = found.unionByName(front.withColumn("level", F.lit(level)))
+        seen = durable(seen.unionByName(front).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    return numbered, found, front
+
+
 def impact(edges: DataFrame, starts: DataFrame, layers: DataFrame, depth: int) -> DataFrame:
     """Direct and indirect references per start, and the level by how much they touch. A start that nothing refers to has zeros;
     ``cut`` tells that references go on beyond ``depth``. A node of several layers counts once as a reference."""
-    found = reach(edges, starts, depth)
-    spread = found.join(layers.distinct(), "node").groupBy("start").agg(F.count_distinct("layer").alias("layers"))
-    edge = found.where(F.col("level") == depth).select("start", F.col("node").alias("target"))
-    beyond = (edge.join(edges, "target").select("start", F.col("source").alias("node"))
-              .join(found.select("start", "node"), ["start", "node"], "left_anti").where("start <> node").select("start").distinct().withColumn("cut", F.lit(True)))
-    counted = found.groupBy("start").agg(
-        F.count_if(F.col("level") == 1).alias("direct"), F.count_if(F.col("level") > 1).alias("indirect"),
-        F.count("*").alias("total"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    agg = (starts.select(F.col("node").alias("start")).distinct().join(counted, "start", "left").join(spread, "start", "left").join(beyond, "start", "left")
-           .select("start", zero("direct"), zero("indirect"), zero("total"), zero("layers"), F.coalesce("cut", F.lit(False)).alias("cut")))
+    numbered, rows, beyond = reach_words(edges, starts, depth)
+    found = rows.where("level > 0")
+    none = F.lit(0).cast("long")
+    counted = _bits(found.select("word", F.when(F.col("level") == 1, F.col("bits")).otherwise(none).alias("direct"),
+                                 F.when(F.col("level") > 1, F.col("bits")).otherwise(none).alias("indirect")), ["direct", "indirect"])
+    touched = found.join(layers.select("node", "layer").where("layer IS NOT NULL").distinct(), "node").groupBy("word", "layer").agg(F.bit_or("bits").alias("layers"))
+    further = beyond.groupBy("word").agg(F.bit_or("bits").alias("further"))
+    zero = lambda c: F.coalesce(F.col(c), none).alias(c)
+    agg = (numbered.join(counted, "number", "left").join(_bits(touched, ["layers"]), "number", "left").join(_bits(further, ["further"]), "number", "left")
+           .select(F.col("node").alias("start"), zero("direct"), zero("indirect"), (zero("direct") + zero("indirect")).alias("total"), zero("layers"),
+                   (F.coalesce("further", none) > 0).alias("cut")))
     return agg.withColumn("impact", F.when(F.col("total") <= 1, "low").when(F.col("layers") <= 2, "medium")
                           .otherwise("high"))
 

@@ -136,12 +136,16 @@ def scan_cap(lines: DataFrame, max_lines: int) -> DataFrame:
     per-file counts give each file its allowance. Adds ``scan_truncated``."""
     files = (lines.groupBy("file", "mtime").agg(F.max("line_no").alias("n"))
              .withColumn("age", -F.unix_micros("mtime")))
-    # Files with one time are taken by name; the position spreads over time slices.
+    # Files with one time are taken by a digest of their names, whose first digits part them into cells that are ranked apart.
     place = running_sum(
         files.groupBy("age").agg(F.sum("n").alias("n")), [], "age", F.col("n"), "upto", 3600 * 1000000)
-    slices = place.select("age", (F.col("upto") - F.col("n")).alias("start"))
-    same = Window.partitionBy("age").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    budget = (files.join(slices, "age")
+    named = files.withColumn("digest", F.md5(F.col("file").cast("binary"))).withColumn("cell", F.substring("digest", 1, 3))
+    earlier = Window.partitionBy("age").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = named.groupBy("age", "cell").agg(F.sum("n").alias("n")).select("age", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("cell_start"))
+    slices = cells.join(place.select("age", (F.col("upto") - F.col("n")).alias("start")), "age").select("age", "cell", (F.col("start") + F.col("cell_start")).alias("start"))
+    files = named
+    same = Window.partitionBy("age", "cell").orderBy("digest", "file").rowsBetween(Window.unboundedPreceding, -1)
+    budget = (files.join(slices, ["age", "cell"])
               .withColumn("used", F.col("start") + F.coalesce(F.sum("n").over(same), F.lit(0)))
               .select("file", F.greatest(F.lit(0), F.lit(max_lines) - F.col("used")).alias("allowed"),
                       (F.col("used") + F.col("n") > max_lines).alias("scan_truncated")))

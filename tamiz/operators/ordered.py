@@ -1,8 +1,9 @@
 """Ordered operations that stay parallel inside one large group.
 
 A plain window per file puts a whole file on one task. Here a group is cut into chunks of
-consecutive positions; each chunk is summarised, the short list of summaries is scanned, and every
-chunk starts from the state carried into it.
+consecutive positions; each chunk is summarised, the summaries are scanned, and every
+chunk starts from the state carried into it. The scan of summaries is cut into spans of `FAN`
+chunks in the same way, so no task sees all summaries of a group.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 65536
+#: Chunks whose summaries one task scans.
+FAN = 256
 
 
 def _cell(order: str, chunk: int) -> Column:
@@ -19,6 +22,30 @@ def _cell(order: str, chunk: int) -> Column:
     return at - F.pmod(at, F.lit(chunk).cast("bigint"))
 
 
+def _carried(summary: DataFrame, group: list[str], hows: dict[str, str], chunk: int, levels: int = 1) -> DataFrame:
+    """State before each chunk of ``summary(*group, __chunk, __sum_<name>)``: ``__carry_<name>``. How a state is made: the
+    ``last`` value that is not null, the ``min`` or the ``sum``."""
+    before = lambda cells: Window.partitionBy(*cells).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+    def scanned(name: str, how: str, cells: list[str]) -> Column:
+        value = F.col(f"__sum_{name}")
+        return {"last": F.last(value, ignorenulls=True), "min": F.min(value), "sum": F.sum(value)}[how].over(before(cells))
+
+    if not levels:
+        return summary.select(*group, "__chunk", *[scanned(n, how, group).alias(f"__carry_{n}") for n, how in hows.items()])
+    wide = summary.withColumn("__span", _cell("__chunk", chunk * FAN))
+    whole = {"last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.col("__chunk"))), "min": F.min, "sum": F.sum}
+    spans = wide.groupBy(*group, "__span").agg(*[whole[how](F.col(f"__sum_{n}")).alias(f"__sum_{n}") for n, how in hows.items()]).withColumnRenamed("__span", "__chunk")
+    into = _carried(spans, group, hows, chunk * FAN, levels - 1).select(*group, F.col("__chunk").alias("__span"), *[F.col(f"__carry_{n}").alias(f"__into_{n}") for n in hows])
+    inside = wide.select(*group, "__span", "__chunk", *[scanned(n, how, [*group, "__span"]).alias(f"__own_{n}") for n, how in hows.items()])
+
+    def joined(name: str, how: str) -> Column:
+        own, into = F.col(f"__own_{name}"), F.col(f"__into_{name}")
+        both = {"last": F.coalesce(own, into), "min": F.least(own, into), "sum": F.coalesce(own + into, own, into)}[how]
+        return both.alias(f"__carry_{name}")
+    return inside.join(into, [*group, "__span"], "left").select(*group, "__chunk", *[joined(n, how) for n, how in hows.items()])
+
+
 def running(df: DataFrame, group: list[str], order: str, specs: dict[str, tuple[Column, str]],
             chunk: int = CHUNK, exclusive: bool = False) -> DataFrame:
     """Add one column per spec: the last non-null value up to each row ('last') or the least one
@@ -32,10 +59,7 @@ def running(df: DataFrame, group: list[str], order: str, specs: dict[str, tuple[
         (F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col(order))) if how == "last"
          else F.min(f"__{n}")).alias(f"__sum_{n}")
         for n, (_, how) in specs.items()])
-    before = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(*cells, *[
-        (F.last(f"__sum_{n}", ignorenulls=True) if how == "last" else F.min(f"__sum_{n}")).over(before)
-        .alias(f"__carry_{n}") for n, (_, how) in specs.items()])
+    carried = _carried(summary, group, {n: how for n, (_, how) in specs.items()}, chunk)
     inside = Window.partitionBy(*cells).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     joined = marked.join(carried, cells, "left")
     out = joined.select(*df.columns, *[
@@ -50,12 +74,11 @@ def running_sum(df: DataFrame, group: list[str], order: str, value: Column, name
     """Inclusive running total of ``value`` in the order of a whole-number column."""
     marked = df.withColumn("__chunk", _cell(order, chunk)).withColumn("__v", value)
     cells = [*group, "__chunk"]
-    before = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marked.groupBy(*cells).agg(F.sum("__v").alias("__s")).select(
-        *cells, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__carry"))
+    summary = marked.groupBy(*cells).agg(F.sum("__v").alias("__sum_v"))
+    carried = _carried(summary, group, {"v": "sum"}, chunk)
     inside = Window.partitionBy(*cells).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (marked.join(carried, cells)
-            .select(*df.columns, (F.sum("__v").over(inside) + F.col("__carry")).alias(name)))
+            .select(*df.columns, (F.sum("__v").over(inside) + F.coalesce(F.col("__carry_v"), F.lit(0))).alias(name)))
 
 
 def rank_whole(df: DataFrame, group: list[str], order: str, name: str, chunk: int = CHUNK) -> DataFrame:

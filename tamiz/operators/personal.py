@@ -197,8 +197,9 @@ def mask(df: DataFrame, tables: list[str], catalog: DataFrame, policy: Policy, k
                          else F.col(p).alias(name_of[p]) for p in places]), report
 
 
-def sample_columns(df: DataFrame, name: str, n: int = 50) -> DataFrame:
-    """First n rows of a table as ``(table, column, value)``."""
+def sample_columns(df: DataFrame, name: str, n: int = 50, order: list[str] | None = None) -> DataFrame:
+    """First n rows of a table as ``(table, column, value)``: in the stated order, else any n rows."""
+    df = df.orderBy(*order) if order else df
     types = dict(df.dtypes)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), P.as_text(F.col(c), types[c]).alias("value"))
                       for c in df.columns])

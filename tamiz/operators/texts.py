@@ -6,21 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions import fixed_values as V
-from tamiz.operators.ordered import CHUNK, rank_whole
+from tamiz.operators.ordered import CHUNK, rank_whole, running, running_sum
 from tamiz.session import durable
 
 
-def _free_ids(existing: DataFrame, low: int, high: int | None, wanted: int, chunk: int) -> DataFrame:
-    """The lowest ``wanted`` free ids from ``low`` on, ranked. As many candidates as ids in use plus
-    ids wanted always hold enough free ones."""
+#: Positions that one bucket of the interval lookup holds; width of a gap without an end.
+BUCKET, ENDLESS = 4096, 1 << 40
+
+
+def free_gaps(existing: DataFrame, low: int, high: int | None, chunk: int = CHUNK) -> DataFrame:
+    """Runs of free ids from ``low`` to ``high``: ``(first, width, start)``, ``start`` being the free ids before them. As long as the
+    ids in use, however wide the range."""
     used = existing.where(F.col("id") >= low)
     if high is not None:
         used = used.where(F.col("id") <= high)
-    end = low + used.select("id").distinct().count() + wanted
-    if high is not None:
-        end = min(end, high + 1)
-    free = existing.sparkSession.range(low, end).join(used.select("id"), "id", "left_anti")
-    return rank_whole(free, [], "id", "pos", chunk)
+    used = durable(used.select("id").distinct())
+    after = running(used, [], "id", {"prev": (F.col("id"), "last")}, chunk, exclusive=True)
+    first = F.coalesce(F.col("prev") + 1, F.lit(low))
+    inner = after.select(first.alias("first"), (F.col("id") - first).alias("width"))
+    behind = F.coalesce(F.max("id") + 1, F.lit(low))
+    last = used.agg(behind.alias("first")).select("first", (F.lit(high + 1) - F.col("first") if high is not None else F.lit(ENDLESS)).alias("width"))
+    gaps = durable(inner.unionByName(last).where("width > 0"))
+    return running_sum(gaps, [], "first", F.col("width"), "upto", chunk).select("first", "width", (F.col("upto") - F.col("width")).alias("start"))
+
+
+def _given(requests: DataFrame, existing: DataFrame, low: int, high: int | None, wanted: int, chunk: int) -> DataFrame:
+    """``requests(request, kind, pos)`` with the free id at each position; those beyond the last free id are left out."""
+    gaps = free_gaps(existing, low, high, chunk).where(F.col("start") < wanted)
+    end = F.least(F.col("start") + F.col("width"), F.lit(wanted))
+    spread = gaps.select("first", "start", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((end - 1) / BUCKET))).alias("bucket"))
+    asked = requests.withColumn("bucket", F.floor((F.col("pos") - 1) / BUCKET))
+    return (asked.join(spread, "bucket").where((F.col("pos") > F.col("start")) & (F.col("pos") <= F.col("end")))
+            .select("request", "kind", (F.col("first") + F.col("pos") - 1 - F.col("start")).alias("id")))
 
 
 def allocate_ids(existing: DataFrame, requests: DataFrame, ranges=None, chunk: int = CHUNK) -> DataFrame:
@@ -39,8 +56,7 @@ def allocate_ids(existing: DataFrame, requests: DataFrame, ranges=None, chunk: i
     for kind, (low, high) in ranges.items():
         if kind not in counts:
             continue
-        free = _free_ids(existing, low, high, counts[kind], chunk)
-        part = ordered.where(F.col("kind") == kind).join(free, "pos").select("request", "kind", "id")
+        part = _given(ordered.where(F.col("kind") == kind), existing, low, high, counts[kind], chunk)
         given = part if given is None else given.unionByName(part)
     if given is None:
         return requests.select("request", "kind").withColumn("id", F.lit(None).cast("bigint")).withColumn(
@@ -51,9 +67,8 @@ def allocate_ids(existing: DataFrame, requests: DataFrame, ranges=None, chunk: i
     out = given.withColumn("overflow", F.lit(False))
     if missing:
         taken = existing.unionByName(given.select("id"))
-        free = _free_ids(taken, ranges[open_kind][0], None, missing, chunk)
-        extra = rank_whole(left, [], "request", "pos", chunk).join(free, "pos")
-        out = out.unionByName(extra.select("request", "kind", "id", F.lit(True).alias("overflow")))
+        extra = _given(rank_whole(left, [], "request", "pos", chunk), taken, ranges[open_kind][0], None, missing, chunk)
+        out = out.unionByName(extra.withColumn("overflow", F.lit(True)))
     return out
 
 

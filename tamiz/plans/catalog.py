@@ -258,8 +258,9 @@ def structure_vs_table(spark, folder):
 
 
 def table_inventory(spark, folder):
-    rows = O.table_inventory({n: table(spark, folder, n) for n in TABLES})
-    return local_rows(spark, rows, "table string, status string")
+    """Rows of every table, orders and events by their types, and a table that is not there."""
+    return O.table_inventory({n: table(spark, folder, n) for n in TABLES} | {"missing": None},
+                             {"orders": ("o_orderstatus", "none"), "events": ("event_type", "none")})
 
 
 QUERIES = {
@@ -404,5 +405,7 @@ UNION ALL SELECT t, c, 'WIDEN_COLUMN', p_size::VARCHAR FROM p WHERE p_size = 22
 UNION ALL SELECT t, c, 'CHANGE_NULLABLE', 'true' FROM p WHERE p_size = 6
 UNION ALL SELECT t, NULL, CASE WHEN tpk IS NULL THEN 'ADD_PRIMARY_KEY' ELSE 'REVIEW_PRIMARY_KEY' END, pk FROM k WHERE pk IS DISTINCT FROM tpk""",
     "q_table_inventory": " UNION ALL ".join(
-        f"SELECT '{n}' AS \"table\", CASE WHEN (SELECT count(*) FROM {n}) > 0 THEN 'data' ELSE 'empty' END AS status" for n in TABLES),
+        f"SELECT '{n}' AS \"table\", 'row' AS type, count(*) AS objects, CASE WHEN count(*) > 0 THEN 'data' ELSE 'empty' END AS status FROM {n}" for n in TABLES if n not in ("orders", "events"))
+        + " UNION ALL SELECT 'orders', coalesce(o_orderstatus, 'none'), count(*), 'data' FROM orders GROUP BY 2"
+        + " UNION ALL SELECT 'events', coalesce(event_type, 'none'), count(*), 'data' FROM events GROUP BY 2 UNION ALL SELECT 'missing', NULL, NULL, 'unreadable'",
 }

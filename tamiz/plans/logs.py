@@ -107,7 +107,15 @@ def line_cap(spark, folder):
     return kept.groupBy("file").agg(F.count("*").alias("lines"), F.bool_or("scan_truncated").alias("scan_truncated"))
 
 
+def line_cap_tied(spark, folder):
+    """All files of one time: taken by the digests of their names until the cap."""
+    lines = document_lines(spark, folder)
+    kept = O.scan_cap(lines.withColumn("mtime", F.timestamp_seconds(F.lit(60))), lines.count() // 2)
+    return kept.groupBy("file").agg(F.count("*").alias("lines"), F.bool_or("scan_truncated").alias("scan_truncated"))
+
+
 QUERIES = {
+    "q_line_cap_tied": line_cap_tied,
     "q_log_events": log_events,
     "q_log_signatures": log_signatures,
     "q_log_files": log_files,
@@ -191,6 +199,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY file, line_no) AS
   WHEN starts_with(exception, 'COD') THEN 2 ELSE 1 END AS priority FROM agg""",
     "q_log_recount": _BASE + """ SELECT l.file, l.n AS lines, coalesce(e.n, 0) AS events, l.n >= 100 AND l.n > coalesce(e.n, 0) * 4 AS doubtful
 FROM (SELECT file, max(line_no) AS n FROM lines GROUP BY file) l LEFT JOIN (SELECT file, count(*) AS n FROM ev GROUP BY file) e USING (file)""",
+    "q_line_cap_tied": f"""WITH {LINES_SQL}, f AS (SELECT file, count(*) AS n FROM lines GROUP BY file),
+u AS (SELECT *, coalesce(sum(n) OVER (ORDER BY md5(file), file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, (SELECT count(*) // 2 FROM lines) AS cap FROM f)
+SELECT file, least(n, cap - used)::BIGINT AS lines, used + n > cap AS scan_truncated FROM u WHERE used < cap""",
     "q_line_cap": f"""WITH {LINES_SQL}, f AS (SELECT file, count(*) AS n, substr(file, 4)::BIGINT AS id FROM lines GROUP BY file),
 u AS (SELECT *, coalesce(sum(n) OVER (ORDER BY id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
   (SELECT count(*) // 2 FROM lines) AS cap FROM f)

@@ -179,7 +179,7 @@ def inventory_suspects(spark, folder):
 
 
 def sample_columns(spark, folder):
-    return O.sample_columns(table(spark, folder, "nation"), "nation", 50)
+    return O.sample_columns(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice"), "orders", 500, ["o_totalprice", "o_orderkey"])
 
 
 def failed_tests(spark, folder):
@@ -224,8 +224,9 @@ SELECT 'CONTACTS' AS "table", 'EXTRA' AS "column", CASE WHEN 2 * phones >= n THE
   CASE WHEN 2 * phones >= n THEN 'telefono' END AS form, CASE WHEN 2 * phones >= n THEN phones END AS hits, CASE WHEN 2 * phones >= n THEN n END AS sampled, 2 * phones >= n AS suspect FROM p
 UNION ALL SELECT 'CONTACTS', 'CODE', 'clear', 'flag', NULL, NULL, NULL, false UNION ALL SELECT 'CONTACTS', 'C_ACCTBAL', 'clear', 'type', NULL, NULL, NULL, false
 UNION ALL SELECT 'CONTACTS', 'TELEFONO_MOVIL', 'mask', 'name', NULL, NULL, NULL, false UNION ALL SELECT 'CONTACTS', 'REMARKS', 'mask', 'text', NULL, NULL, NULL, false""",
-    "q_sample_columns": """SELECT 'nation' AS "table", 'n_nationkey' AS "column", n_nationkey::VARCHAR AS value FROM nation UNION ALL SELECT 'nation', 'n_name', n_name FROM nation
-UNION ALL SELECT 'nation', 'n_regionkey', n_regionkey::VARCHAR FROM nation""",
+    "q_sample_columns": """WITH o AS (SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 500)
+SELECT 'orders' AS "table", 'o_orderkey' AS "column", o_orderkey::VARCHAR AS value FROM o UNION ALL SELECT 'orders', 'o_orderstatus', o_orderstatus FROM o
+UNION ALL SELECT 'orders', 'o_custkey', o_custkey::VARCHAR FROM o UNION ALL SELECT 'orders', 'o_totalprice', regexp_replace(o_totalprice::DECIMAL(18,2)::VARCHAR, '\\.?0+$', '') FROM o""",
     "q_failed_tests": """SELECT o_custkey::VARCHAR AS file, count(*) AS failed, 'a < b' AS message, 'at x' AS stack FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 5 <> 0 GROUP BY 1""",
     "q_table_schema": """WITH w AS (SELECT DISTINCT upper(CASE WHEN p_size > 5 THEN p_brand || 'x' ELSE p_brand END) AS t FROM part WHERE p_size <= 10),
 c AS (SELECT upper(p_brand) AS t, count(*) AS n FROM part GROUP BY 1) SELECT w.t AS "table", coalesce(n, 0) AS columns FROM w LEFT JOIN c ON c.t = w.t""",

@@ -134,4 +134,7 @@ def test_lookups(spark):
     kept, status = O.refresh_subset(cols, cols.withColumn("type", F.lit("CLOB")), rows(spark, [("b",), ("q",)], "table string"))
     assert {(r["table"], r["type"]) for r in kept.collect()} == {("A", "DATE"), ("B", "CLOB")}
     assert {r["table"]: r["status"] for r in status.collect()} == {"B": "updated", "Q": "not_in_db"}
-    assert O.table_inventory({"a": cols, "b": cols.limit(0), "c": None}) == [("a", "data"), ("b", "empty"), ("c", "unreadable")]
+    found = O.table_inventory({"a": cols, "b": cols.limit(0), "c": None, "d": cols}, {"d": ("type", "none")})
+    assert {(r["table"], r["status"]) for r in found.collect()} == {("a", "data"), ("b", "empty"), ("c", "unreadable"), ("d", "data")}
+    assert found.where("table = 'd'").agg({"objects": "sum"}).first()[0] == found.where("table = 'a'").first()["objects"] == cols.count()
+    assert {r["status"] for r in O.table_inventory({"c": None}).collect()} == {"unreadable"}

@@ -143,3 +143,36 @@ def test_run_statistics(spark):
     assert len(days) == 7 and [d["total"] for d in days] == [0, 0, 0, 0, 1, 0, 1]
     assert T.run_summary(hist.limit(0)).first()["period_from"] == ""
     assert [r["id"] for r in T.history_list(hist, 2).collect()] == ["1", "2"]
+
+
+def test_impact_by_words_equals_breadth_first_search(spark):
+    import random
+    from tamiz.session import durable
+    rng = random.Random(3)
+    nodes = [f"n{k}" for k in range(150)]
+    edges = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(260)} | {("n1", "n1"), ("n2", "n3"), ("n3", "n2")}
+    layer = {n: f"l{k % 4}" for k, n in enumerate(nodes) if k % 5}
+    starts = nodes[:140] + ["alone"]
+    into = {}
+    for a, b in edges:
+        into.setdefault(b, set()).add(a)
+    want = {}
+    for s in starts:
+        level, front, seen = {}, {s}, {s}
+        for depth in range(1, 5):
+            front = {a for b in front for a in into.get(b, ())} - seen
+            seen |= front
+            if depth == 4:
+                cut = bool(front)
+            else:
+                level.update(dict.fromkeys(front, depth))
+        direct = sum(v == 1 for v in level.values())
+        want[s] = (direct, len(level) - direct, len(level), len({layer[n] for n in level if n in layer}), cut)
+    e = spark.createDataFrame(sorted(edges), "source string, target string")
+    l = spark.createDataFrame(sorted(layer.items()), "node string, layer string")
+    st = spark.createDataFrame([(s,) for s in starts], "node string").repartition(5)
+    got = {r["start"]: (r["direct"], r["indirect"], r["total"], r["layers"], r["cut"]) for r in H.impact(e, st, l, 3).collect()}
+    assert got == want
+    # Fewer rows are stored than there are pairs of start and node.
+    _, rows, _ = H.reach_words(e, st, 3)
+    assert durable(rows).count() < sum(v[2] + 1 for v in want.values())

@@ -138,3 +138,15 @@ def test_phrases_of_all_customers_are_looked_for(spark, tmp_path):
                 want[at] = want.get(at, 0) + 1
     got = {(r["file"], r["line_no"], r["phrase"]): r["rows"] for r in QUERIES["q_phrase_repeats_whole"](spark, str(tmp_path)).collect()}
     assert got == want and {"about customer7 and", "about customer12 and", "customer1110"} <= {p for _, _, p in want}
+
+
+def test_summaries_of_one_group_are_scanned_in_spans(spark):
+    """One group of 5,000 chunks: no task of the scan reads 500 summaries."""
+    from tamiz.operators import ordered
+    df = spark.range(50_000).selectExpr("'one' AS file", "id AS line_no", "CASE WHEN id % 70 = 0 THEN id END AS h")
+    out = running(df, ["file"], "line_no", {"head": (F.col("h"), "last"), "least": (F.col("h") + 1, "min")}, chunk=10)
+    assert out.where("head <> line_no - line_no % 70 OR least <> 1").count() == 0
+    assert rank_whole(df, ["file"], "line_no", "pos", chunk=10).where("pos <> line_no + 1").count() == 0
+    cells = df.select(ordered._cell("line_no", 10).alias("chunk")).distinct()
+    spans = cells.withColumnRenamed("chunk", "c").select(ordered._cell("c", 10 * ordered.FAN).alias("span"))
+    assert cells.count() == 5000 and spans.groupBy("span").count().agg(F.max("count")).first()[0] < 500 and spans.distinct().count() < 500
