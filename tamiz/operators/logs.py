@@ -119,16 +119,29 @@ def top_signatures(agg: DataFrame, k: int = 30) -> DataFrame:
     return agg.orderBy(F.desc("count"), "hash").limit(k)
 
 
-def scan_summary(described: DataFrame, agg_k: int = 30) -> DataFrame:
-    """One row: totals, formats met and whether the report is cut. No events give zeros."""
+def scan_figures(lines: DataFrame) -> DataFrame:
+    """One row: files and lines that were scanned, and whether a cap (`scan_cap`) has cut any. Without text, so only the columns that
+    tell are read."""
+    cut = F.col("scan_truncated") if "scan_truncated" in lines.columns else F.lit(False)
+    per = lines.groupBy("file").agg(F.count("*").alias("n"), F.bool_or(cut).alias("cut"))
+    return per.agg(F.count("*").alias("files_scanned"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines_scanned"), F.coalesce(F.bool_or("cut"), F.lit(False)).alias("scan_truncated"))
+
+
+def scan_summary(described: DataFrame, agg_k: int = 30, lines: DataFrame | None = None) -> DataFrame:
+    """One row: totals, formats met and whether the report is cut. No events give zeros. With the scanned ``lines`` also
+    files, lines and the cut of the scan."""
     per = described.groupBy("hash", "kind").agg(F.count("*").alias("n"))
     total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
                     F.count_distinct("hash").alias("distinct_signatures"),
                     F.array_sort(F.collect_set("kind")).alias("kinds"))
     formats = (F.when(F.size("kinds") == 0, V.UNKNOWN_FORMAT).when(F.size("kinds") == 1, F.get("kinds", F.lit(0)))
                .otherwise(F.concat(F.lit("mixto ("), F.array_join("kinds", ", "), F.lit(")"))))
-    return total.select("total_events", "distinct_signatures", formats.alias("format_detected"),
-                        (F.col("distinct_signatures") > agg_k).alias("truncated"))
+    out = total.select("total_events", "distinct_signatures", formats.alias("format_detected"),
+                       (F.col("distinct_signatures") > agg_k).alias("truncated"))
+    if lines is None:
+        return out
+    figures = scan_figures(lines)
+    return out.select("*", *[figures.select(c).scalar().alias(c) for c in figures.columns])
 
 
 def scan_cap(lines: DataFrame, max_lines: int) -> DataFrame:

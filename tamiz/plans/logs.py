@@ -68,7 +68,11 @@ def log_top(spark, folder):
 
 
 def log_summary(spark, folder):
-    return O.scan_summary(_described(spark, folder))
+    """The scan is capped at nine tenths of the lines, newest file first."""
+    lines = log_lines(spark, folder)
+    cap = lines.count() * 9 // 10
+    kept = durable(O.scan_cap(lines.withColumn("mtime", F.to_timestamp(F.substring("file", 5, 10))), cap))
+    return O.scan_summary(O.describe_events(O.assemble_events(kept)), lines=kept)
 
 
 def log_levels_since(spark, folder):
@@ -180,6 +184,13 @@ agg AS (SELECT hash, min_by(exception, (file, line_no)) AS exception, min_by(ori
 _BASE = "WITH " + _head_sql("'ERROR', 'FATAL'", None)
 _FULL = _BASE + "," + _DESCRIBED
 
+#: The log without the last tenth of its lines, newest file first.
+_CAPPED = _FULL.replace("lines AS (SELECT file, row_number()", "every AS (SELECT file, row_number()", 1).replace("marks AS (", """used AS (
+  SELECT file, n, coalesce(sum(n) OVER (ORDER BY file DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, (SELECT count(*) * 9 // 10 FROM every) AS cap
+  FROM (SELECT file, count(*) AS n FROM every GROUP BY file)),
+lines AS (SELECT e.file, e.line_no, e.text FROM every e JOIN used u ON e.file = u.file WHERE e.line_no <= u.cap - u.used),
+marks AS (""", 1)
+
 ORACLE = {
     "q_log_events": _BASE + " SELECT file, line_no, kind, stamp, n_lines::INTEGER AS n_lines, md5(body) AS digest FROM ev",
     "q_log_signatures": _FULL + " SELECT * FROM agg",
@@ -188,8 +199,9 @@ ORACLE = {
 FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY file, line_no) AS sample,
   trim(regexp_replace(replace(body, chr(10), ' | '), '''[^'']{0,400}''', '''<val>''', 'g')) AS t FROM sig) WHERE sample <= 2""",
     "q_log_top": _FULL + " SELECT hash, count, exception FROM agg ORDER BY count DESC, hash LIMIT 30",
-    "q_log_summary": _FULL + """ SELECT count(*) AS total_events, count(DISTINCT hash) AS distinct_signatures,
-  'mixto (' || string_agg(DISTINCT kind, ', ' ORDER BY kind) || ')' AS format_detected, count(DISTINCT hash) > 30 AS truncated FROM sig""",
+    "q_log_summary": _CAPPED + """ SELECT count(*) AS total_events, count(DISTINCT hash) AS distinct_signatures,
+  'mixto (' || string_agg(DISTINCT kind, ', ' ORDER BY kind) || ')' AS format_detected, count(DISTINCT hash) > 30 AS truncated,
+  (SELECT count(DISTINCT file) FROM lines) AS files_scanned, (SELECT count(*) FROM lines) AS lines_scanned, (SELECT bool_or(used + n > cap) FROM used WHERE used < cap) AS scan_truncated FROM sig""",
     "q_log_levels_since": "WITH " + _head_sql("'ERROR', 'FATAL', 'WARN', 'WARNING', 'INFO'", "2024-01-15 00:00:00")
                           + " SELECT file, kind, count(*) AS events, sum(n_lines)::BIGINT AS lines FROM ev GROUP BY ALL",
     "q_log_new": _FULL + " SELECT hash, count, NOT starts_with(exception, 'COD') AS is_new FROM agg",

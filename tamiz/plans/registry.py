@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["personal", "logs", "history", "validate", "catalog", "objects", "readers"]
+AREAS = ["personal", "logs", "history", "validate", "catalog", "objects", "readers", "streams"]
 
 
 def _merged(attribute: str) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,30 @@ def read_result_text(spark: SparkSession, path: str, sep: str = "|", quoted: boo
     return df.where(~dashes)
 
 
+def parse_result_text(lines: DataFrame, sep: str = "|", quoted: bool = False) -> DataFrame:
+    """Client output as cells: ``(file, row, column, value)`` of ``(file, line_no, text)``. Every file has a header of its own, its
+    first line that is not blank; it meets the file's other lines by the file's name, once a file. Cells are trimmed; blank lines and, in
+    the unquoted form, lines of dashes only are left out. A line may have fewer cells than the header (null) or more (dropped)."""
+    full = lines.where(F.col("text").isNotNull() & (F.trim("text") != ""))
+    if quoted:
+        # A cell starts the line or follows a separator; quotes inside quotes are doubled.
+        cell = '"(?:[^"]|"")*"'
+        one = rf'(?:{cell}|[^{re.escape(sep)}]*)'
+        raw = F.regexp_extract_all(F.concat(F.lit(sep), F.col("text")), F.lit(rf"{re.escape(sep)}\s*{one}"), F.lit(0))
+        bare = lambda c: F.trim(F.substr(c, F.lit(2), F.length(c)))
+        cells = F.transform(raw, lambda c: F.when(bare(c).startswith('"') & bare(c).endswith('"') & (F.length(bare(c)) > 1), F.replace(
+            F.substr(bare(c), F.lit(2), F.length(bare(c)) - 2), F.lit('""'), F.lit('"'))).otherwise(bare(c)))
+    else:
+        cells = F.transform(F.split("text", re.escape(sep)), lambda c: F.trim(c))
+    split = full.select("file", "line_no", cells.alias("cells"))
+    header = split.groupBy("file").agg(F.min("line_no").alias("head_line"), F.min_by("cells", "line_no").alias("names"))
+    body = split.join(header, "file").where(F.col("line_no") > F.col("head_line"))
+    if not quoted:
+        body = body.where(~F.forall("cells", lambda c: c.rlike("^-+$")))
+    paired = F.transform("names", lambda n, i: F.struct(n.alias("column"), F.get("cells", i).alias("value")))
+    return body.select("file", F.col("line_no").alias("row"), F.inline(paired))
+
+
 def parse_commit_log(lines: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Commits ``(file, revision, author, ts, message)`` and their files ``(file, revision, action,
     path, seq)``. Header fields are parted by U+001F; a rename keeps its last path."""
