@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm import words as W
-from tamiz.llm.store import crc32_of_id, stored
+from tamiz.llm.store import bounded_batches, crc32_of_id, stored
 
 BITS = 14
 BUCKETS = 1 << BITS
 #: Texts whose vectors a task holds at once.
-ROWS = 512
+ROWS = 64
 UNKNOWN = "und"
 
 _CLEAN = np.arange(256, dtype=np.uint32)
@@ -183,6 +183,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
             yield pa.RecordBatch.from_arrays([piece.column(0), *[piece.column(k) for k in range(2, 2 + len(keep))], pa.array(names, pa.string()),
                                               pa.array(np.where(letters, scores, 0.0), pa.float64()), pa.array(size_class, pa.int32())],
                                              names=["id", *keep, "lang_pred", "score", "size_class"])
+        W.release()
 
     return (src.mapInArrow(work, f"id {src.schema['id'].dataType.simpleString()}{extra}, lang_pred string, score double, size_class int")
             .withColumnRenamed("id", id_column))
@@ -208,6 +209,7 @@ def calibrate(predicted: DataFrame, training, tail: float = 0.002, slack: float
 
 def identified(docs: DataFrame, training=None, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns. Rows are judged in place: nothing is joined by id."""
+    bounded_batches(docs.sparkSession)
     training = F.lit(True) if training is None else training
     model = fit(docs.where(training), id_column=id_column, text_column=text_column, lang_column=lang_column)
     marked = docs.where(F.coalesce(training & docs[lang_column].isNotNull(), F.lit(False)))
@@ -225,6 +227,7 @@ def identified(docs: DataFrame, training=None, id_column: str = "doc_id", text_c
                 sizes = np.log2(1 + (found > 0).sum(axis=1)).astype(int).tolist()
                 stays = letters & np.array([s >= cutoffs.get((model.langs[k], z), 0.0) for k, s, z in zip(langs, scores, sizes)], bool)
             yield piece.filter(pa.array(stays))
+        W.release()
 
     return docs.mapInArrow(work, docs.schema)
 

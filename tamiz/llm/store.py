@@ -34,3 +34,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def crc32_of_id(column: str = "doc_id"):
     """CRC-32 of the id written as text; 0 bytes for a null id."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batches to ``rows`` texts where they are larger: a batch lies in the JVM and in the worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)

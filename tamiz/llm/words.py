@@ -6,6 +6,7 @@ batch is handled by a few numpy passes and no Python string is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             at = to
 
 
+def release() -> None:
+    """Give memory that a finished piece of work has freed back to the system, as a worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (bytes) and text number of each word, in order. ``blank`` tells the bytes that part words."""
     full = ~blank[data]
