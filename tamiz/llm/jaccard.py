@@ -30,19 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm import words as W
 from tamiz.llm.components import components
-from tamiz.llm.store import stored
+from tamiz.llm.store import bounded_batches, stored
 
 SHINGLE = 5
 COMMON = 4
 MOST_COMMON = 2_000_000
 #: Packed entries a task gathers before it sends them on, and entries of one range at its receiver.
 FLUSH = 1 << 18
-RANGE_ENTRIES = 750_000
+RANGE_ENTRIES = 250_000
 BLOCK_NODES = 64
 MEMBERS = 256
 #: Ids that may be broadcast to pick texts out of a scan; more are joined by a shuffle.
@@ -138,8 +138,10 @@ def survey(src: DataFrame, n_ranges: int, common: int) -> DataFrame:
                 yield emit(prints, docs)
                 prints, docs, held = [], [], 0
         yield emit(prints, docs)
+        W.release()
 
     def gather(table: pa.Table) -> pa.Table:
+        W.release()
         prints = np.concatenate([unpack_sorted(x.as_py(), np.uint32) for x in table.column("prints")])
         counts = np.concatenate([unpack(x.as_py(), np.uint16) for x in table.column("counts")]).astype(np.int64)
         order = np.argsort(prints, kind="stable")
@@ -220,8 +222,10 @@ def heads(src: DataFrame, prints: np.ndarray, classes: np.ndarray, n_ranges: int
                 tokens, docs, known, held = [], [], [], 0
         if tokens:
             yield emit(tokens, docs, known)
+        W.release()
 
     def gather(table: pa.Table) -> pa.Table:
+        W.release()
         known = table.column("known").to_numpy()
         t = [unpack_sorted(x.as_py(), np.uint64) for x in table.column("tokens")]
         d = [unpack(x.as_py(), np.int64) for x in table.column("docs")]
@@ -249,6 +253,7 @@ def sets_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
         for piece in W.slices(batches, "text"):
             grams, bounds = shingle_sets(piece.column(1))
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([pack_sorted(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["node", "set"])
+        W.release()
 
     return picked.mapInArrow(work, "node long, set binary")
 
@@ -326,9 +331,10 @@ def _least_shared(n: str, m: str, tail: Column) -> Column:
 
 def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` of every document; the component is the smallest id that links reach."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
     has_id = src.where("id IS NOT NULL")
-    seen = stored(survey(has_id, max(8, 2 * has_id.rdd.getNumPartitions()), COMMON), "shingle-survey")
+    seen = stored(survey(has_id, max(8, 4 * has_id.rdd.getNumPartitions()), COMMON), "shingle-survey")
     info = seen.where("doc IS NOT NULL").select("doc", "n", "key1", "key2").distinct()
     entries = info.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     node_of = stored(info.join(info.groupBy("n", "key1", "key2").agg(F.min("doc").alias("node")), ["n", "key1", "key2"]).select("doc", "node", "n"), "shingle-nodes")
@@ -348,20 +354,22 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     grouped = shared.join(groups, "node", "left").select("token", "node", "n", "last", F.coalesce("component", "node").alias("component"))
     apart = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = stored(grouped.join(apart, "token"), "shingle-open")
-    # Nodes of a group are cut into blocks by length (linked sets are at most one class of 4/3 apart), then by hash: no group is sorted.
-    nodes = open_.select("node", "n", "last", "component", F.floor(F.log("n") / math.log(4 / 3)).alias("size")).distinct()
-    parts = nodes.groupBy("component", "size").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
-    blocks = stored(nodes.join(parts, ["component", "size"]).select(
-        "node", "n", "last", "component", F.struct("component", "size", F.pmod(F.xxhash64("node"), F.col("parts")).alias("k")).alias("block")), "shingle-blocks")
+    # Nodes of a group are cut into blocks in the order of their lengths, which only the counts of each length are sorted for; a length
+    # with more nodes than a block holds is split by hash.
+    nodes = open_.select("node", "n", "last", "component").distinct()
+    shorter = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = nodes.groupBy("component", "n").agg(F.count("*").alias("nodes")).select(
+        "component", "n", F.floor(F.coalesce(F.sum("nodes").over(shorter), F.lit(0)) / BLOCK_NODES).alias("k"), F.ceil(F.col("nodes") / BLOCK_NODES).alias("parts"))
+    part = F.when(F.col("parts") > 1, F.struct("n", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")))
+    blocks = stored(nodes.join(lengths, ["component", "n"]).select("node", "n", "last", "component", F.struct("component", "k", part.alias("split")).alias("block")), "shingle-blocks")
     bounds = blocks.groupBy("block").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"), F.min("last").alias("first_end"), F.max("last").alias("last_end"))
-    matrix = open_.join(blocks.select("node", "block"), "node").select("token", "block").distinct().join(bounds.select("block", "shortest", "longest"), "block")
-    met = (open_.select("token", "node", "n", F.col("component").alias("own")).join(matrix, "token")
-           .where((F.col("own") > F.col("block.component")) & (4 * F.col("longest") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("shortest")))
+    matrix = open_.join(blocks.select("node", "block"), "node").select("token", "block").distinct()
+    met = (open_.select("token", "node", F.col("component").alias("own")).join(matrix, "token").where(F.col("own") > F.col("block.component"))
            .groupBy("node", "block").agg(F.count("*").alias("c")))
     rest = (F.when(F.col("last") < F.col("first_end"), _tail("n")).when(F.col("last") > F.col("last_end"), _tail("longest"))
             .otherwise(F.greatest(_tail("n"), _tail("longest"))))
     asked = (met.join(nodes.select("node", "n", "last"), "node").join(bounds, "block")
-             .where(F.col("c") >= _least_shared("n", "shortest", rest)))
+             .where((4 * F.col("longest") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("shortest")) & (F.col("c") >= _least_shared("n", "shortest", rest))))
     asked = stored(asked.select("node", "block"), "shingle-asked")
     used = asked.select("node").union(blocks.join(asked.select("block").distinct(), "block", "left_semi").select("node")).distinct()
     across = block_links(asked, blocks, sets_of(has_id, used))
