@@ -11,8 +11,9 @@ from tamiz.functions.personal import bind
 _LITERAL = r"'[^']*+(?:''[^']*+)*+(?:'|\z)"
 _COMMENT = r"--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
 _MARK = "\u0001"
-_NAME = V.SQL_NAME
-_LIST = rf"(?i)\b(?:FROM|JOIN)\s+({_NAME}(?:\s*(?:(?:AS\s+)?[A-Za-z_][\w$#]*)?\s*,\s*{_NAME})*)"
+NAME = V.SQL_NAME
+WORD = r"[A-Za-z_][\w$#]*"
+_LIST = rf"(?i)\b(?:FROM|JOIN)\s+({NAME}(?:\s*(?:(?:AS\s+)?[A-Za-z_][\w$#]*)?\s*,\s*{NAME})*)"
 _FILTERED = "(?i)" + V.SQL_FILTERED
 
 ONLY_SELECT = "only SELECT or WITH ... SELECT is allowed"
@@ -66,12 +67,13 @@ def readonly_reason(col: Column) -> Column:
         .when(either(bare(text), _PATH_RELATION), F.lit(READS_PATH))))
 
 
-def _base_name(raw: Column) -> Column:
+def base_name(raw: Column) -> Column:
+    """A table name without its schema, upper case."""
     return F.upper(F.regexp_replace(F.regexp_replace(raw, r"\s+", ""), r"^.*\.", ""))
 
 
 def _list_names(item: Column) -> Column:
-    names = F.transform(F.split(item, ","), lambda e: _base_name(F.regexp_extract(e, f"({_NAME})", 1)))
+    names = F.transform(F.split(item, ","), lambda e: base_name(F.regexp_extract(e, f"({NAME})", 1)))
     # The first name always counts; the list ends at the first later word that is not a name.
     flags = lambda ns: F.transform(ns, lambda n, i: (i > 0) & n.isin(V.LIST_STOP_WORDS))
     cut = lambda ns: bind(F.array_position(flags(ns), True), lambda stop: F.when(

@@ -265,9 +265,11 @@ def merge_relations(old: DataFrame, new: DataFrame) -> DataFrame:
     return manual.unionByName(newest.select(*RELATION_KEY, "b.*"))
 
 
-ALIASED = rf"(?i)\b(?:FROM|JOIN)\s+{V.RELATION_TABLE}"
-JOINED = rf"(?i)\bJOIN\s+{V.RELATION_TABLE}\s+ON\s+{V.RELATION_EQUAL}"
-EQUAL = "(?i)" + V.RELATION_EQUAL
+_RELATION = rf"({S.NAME})(?:\s+(?:AS\s+)?({S.WORD}))?"
+_SIDE = rf"({S.WORD})\s*\.\s*({S.WORD})"
+ALIASED = rf"(?i)\b(?:FROM|JOIN)\s+{_RELATION}"
+JOINED = rf"(?i)\bJOIN\s+{_RELATION}\s+ON\s+\(*\s*{_SIDE}\s*=\s*{_SIDE}"
+EQUAL = rf"(?i){_SIDE}\s*=\s*{_SIDE}"
 WHERE_BODY = "(?is)" + V.RELATION_WHERE
 IN_SELECT = "(?i)" + V.RELATION_IN
 
@@ -280,7 +282,7 @@ def infer_relations(statements: DataFrame, sql: str = "sql") -> DataFrame:
     grab = lambda text, rx: F.regexp_extract_all(text, F.lit(rx), F.lit(0))
     part = lambda text, rx, g: F.upper(F.regexp_extract(text, rx, g))
     named = F.transform(grab(col, ALIASED), lambda m: F.named_struct(
-        F.lit("t"), part(m, ALIASED, 1), F.lit("a"), part(m, ALIASED, 2)))
+        F.lit("t"), S.base_name(F.regexp_extract(m, ALIASED, 1)), F.lit("a"), part(m, ALIASED, 2)))
     named = F.filter(named, lambda e: ~e["t"].isin(V.SQL_WORDS))
     pair = lambda a, t: F.named_struct(F.lit("a"), a, F.lit("t"), t)
     pairs = F.flatten(F.transform(named, lambda e: F.array(
@@ -289,7 +291,7 @@ def infer_relations(statements: DataFrame, sql: str = "sql") -> DataFrame:
     row = lambda a1, c1, a2, c2, kind, conf: F.named_struct(
         F.lit("a1"), a1, F.lit("c1"), c1, F.lit("a2"), a2, F.lit("c2"), c2, F.lit("kind"), F.lit(kind), F.lit("conf"), F.lit(conf))
     sides = lambda m, kind, conf: row(*[part(m, EQUAL, g) for g in (1, 2, 3, 4)], kind, conf)
-    joins = F.transform(grab(col, JOINED), lambda m: sides(F.regexp_extract(m, r"(?i)\bON\s+(.*)", 1), "JoinClause", "high"))
+    joins = F.transform(grab(col, JOINED), lambda m: sides(F.regexp_extract(m, r"(?is)\bON\s+(.*)", 1), "JoinClause", "high"))
     wheres = F.transform(grab(body, EQUAL), lambda m: sides(m, "WhereClause", "medium"))
     ins = F.transform(grab(col, IN_SELECT), lambda m: row(
         *[part(m, IN_SELECT, g) for g in (1, 2, 4, 3)], "InSubquery", "low"))
@@ -348,6 +350,10 @@ def search_model(cols: DataFrame, keyword: str, most: int = 100) -> DataFrame:
             .withColumn("truncated", F.lit(total > most)))
 
 
+#: Cells that the statements of one table are spread over.
+ADVICE_CELLS = 256
+
+
 def access_advice(statements: DataFrame, layout: DataFrame, sizes: DataFrame, large: int, wide: int = 10) -> DataFrame:
     """Statements whose filters a table's layout does not support.
 
@@ -355,8 +361,11 @@ def access_advice(statements: DataFrame, layout: DataFrame, sizes: DataFrame, la
     columns in order; ``sizes(table, rows, n_columns)``. Findings by table size.
     """
     sql = F.col("sql")
-    base = statements.select("id", "sql", S.sql_predicates(sql).alias("filtered"), F.explode(S.sql_tables(sql)).alias("table"))
-    known = base.join(sizes, "table").join(layout, "table", "left")
+    cell = F.pmod(F.xxhash64("id"), F.lit(ADVICE_CELLS)).alias("cell")
+    base = statements.select("id", "sql", cell, S.sql_predicates(sql).alias("filtered"), F.explode(S.sql_tables(sql)).alias("table"))
+    # One table may be in most statements: its facts are laid out once for each of its cells, so that a join key is a cell of a table.
+    facts = base.select("table", "cell").distinct().join(sizes, "table").join(layout, "table", "left")
+    known = base.join(facts, ["table", "cell"])
     big = F.col("rows") >= large
     cols = F.coalesce(F.transform("columns", lambda c: F.upper(c)), F.array().cast("array<string>"))
     used = F.array_intersect(F.col("filtered"), cols)

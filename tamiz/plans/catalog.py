@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import types as Y
 from tamiz.operators import catalog as O
+from tamiz.operators import sourcetext as T
 from tamiz.plans.base import TABLES
 from tamiz.plans.personal import statements
 from tamiz.session import local_rows, table
@@ -194,6 +195,37 @@ def infer_relations(spark, folder):
     return O.infer_relations(statements(spark, folder))
 
 
+# Program text of an order, by its priority: a verbatim literal over lines, a builder, an escaped quote, a comment and literals that
+# close and open in one line. A file holds the orders of one customer.
+CODE = [("1-URGENT", """var q = @"SELECT ""o"".X FROM ORDERS o\n  JOIN CUSTOMER c ON c.C_CUSTKEY = o.O_CUSTKEY\n  WHERE o.O_ORDERKEY = <key>"; // "FROM"""),
+        ("2-HIGH", """var sb = new StringBuilder();\nsb.Append("SELECT <key> FROM LINEITEM l").AppendLine(\n  "JOIN PART p ON l.L_PARTKEY = p.P_PARTKEY");"""),
+        ("3-MEDIUM", """Run("UPDATE ORDERS SET X = \\"a\\" WHERE K = <key>"); char c = '"';"""),
+        ("4-NOT SPECIFIED", """// @"SELECT * FROM GHOST\nRun(@"DELETE FROM EVENTS WHERE K = <key>"); Log("none");"""),
+        ("5-LOW", """Run(@"SELECT <key> FROM REGION\n  ", @"SELECT <key> FROM NATION\n");""")]
+
+
+def source_lines(spark, folder):
+    text = F.lit(None).cast("string")
+    for priority, code in CODE:
+        text = F.when(F.col("o_orderpriority") == priority, F.lit(code)).otherwise(text)
+    text = F.replace(text, F.lit("<key>"), F.col("o_orderkey").cast("string"))
+    return table(spark, folder, "orders").where("o_custkey IS NOT NULL").select(
+        F.concat(F.lit("F"), F.col("o_custkey").cast("string"), F.lit(".cs")).alias("file"), F.col("o_orderkey").alias("k"),
+        F.posexplode(F.split(text, "\n")).alias("pos", "text")).select("file", (F.col("k") * 10 + F.col("pos")).alias("line_no"), "text")
+
+
+def source_statements(spark, folder):
+    return T.source_statements(source_lines(spark, folder))
+
+
+def source_relations(spark, folder):
+    return O.infer_relations(T.source_statements(source_lines(spark, folder)))
+
+
+def source_tables(spark, folder):
+    return T.named_tables(T.source_statements(source_lines(spark, folder)))
+
+
 def access_advice(spark, folder):
     layout = local_rows(spark, [("ORDERS", ["O_CUSTKEY", "O_ORDERKEY"]), ("CUSTOMER", ["C_CUSTKEY"])], "table string, columns array<string>")
     sizes = None
@@ -270,6 +302,7 @@ QUERIES = {
     "q_merge_coverage": merge_coverage, "q_merge_schema": merge_schema, "q_refresh_subset": refresh_subset,
     "q_mark_visibility": mark_visibility, "q_merge_indexes": merge_indexes, "q_merge_relations": merge_relations,
     "q_apply_exclusions": apply_exclusions, "q_dangling_keys": dangling_keys, "q_infer_relations": infer_relations,
+    "q_source_statements": source_statements, "q_source_relations": source_relations, "q_source_tables": source_tables,
     "q_access_advice": access_advice, "q_truncation_risk": truncation_risk, "q_pk_order": pk_order,
     "q_assemble_tables": assemble_tables, "q_model_index": model_index, "q_search_model": search_model,
     "q_structure_vs_table": structure_vs_table, "q_table_inventory": table_inventory,
@@ -305,6 +338,15 @@ _OLD = f"""old AS (SELECT {_v(MODEL_TABLE)} AS t, {_v(COLUMN)} AS c, {_v(MODEL_T
 fr AS (SELECT {_v(TABLE)} AS t, {_v(COLUMN)} AS c, {_v(TYPE)} AS ty, p_size > 5 AS nu, CASE WHEN p_size = 50 THEN 1 END AS pk FROM part WHERE p_size <> 31)"""
 
 
+_SOURCE = """o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p FROM orders WHERE o_custkey IS NOT NULL),
+st AS (SELECT c, k, p, line, kind, sql FROM o JOIN (VALUES
+  ('1-URGENT', 0, 'literal', 'SELECT "o".X FROM ORDERS o' || chr(10) || '  JOIN CUSTOMER c ON c.C_CUSTKEY = o.O_CUSTKEY' || chr(10) || '  WHERE o.O_ORDERKEY = <key>'),
+  ('2-HIGH', 1, 'literal', 'SELECT <key> FROM LINEITEM l'), ('2-HIGH', 2, 'literal', 'JOIN PART p ON l.L_PARTKEY = p.P_PARTKEY'),
+  ('2-HIGH', 1, 'builder', 'SELECT <key> FROM LINEITEM l JOIN PART p ON l.L_PARTKEY = p.P_PARTKEY'),
+  ('3-MEDIUM', 0, 'literal', 'UPDATE ORDERS SET X = "a" WHERE K = <key>'), ('4-NOT SPECIFIED', 1, 'literal', 'DELETE FROM EVENTS WHERE K = <key>'),
+  ('5-LOW', 0, 'literal', 'SELECT <key> FROM REGION' || chr(10) || '  '), ('5-LOW', 1, 'literal', 'SELECT <key> FROM NATION' || chr(10))) AS v(p, line, kind, sql) USING (p))"""
+
+
 def _ix(by):
     return (f"SELECT {_v(MODEL_TABLE)} AS t, 'IX' || p_partkey AS n, p_brand || ',' || CASE WHEN p_size = 9 THEN '{by}' ELSE p_type END AS cols, "
             "CASE WHEN p_size = 9 THEN '" + by + "' ELSE p_type END AS c2, p_size > 20 AS u, CASE WHEN p_size > 40 THEN 'manual' ELSE 'db' END AS s FROM part")
@@ -371,6 +413,12 @@ SELECT 't' || l_partkey AS "table", 'T' || l_suppkey AS ref_table, count(*) AS k
 WHERE l_partkey IN (SELECT p_partkey FROM k) AND l_suppkey NOT IN (SELECT p_partkey FROM k) GROUP BY ALL""",
     "q_infer_relations": """SELECT 'ORDERS' AS source_table, 'O_CUSTKEY' AS source_column, 'CUSTOMER' AS target_table, 'C_CUSTKEY' AS target_column,
   'JoinClause' AS inferred_from, 'high' AS confidence, count(*) AS statements FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED' HAVING count(*) > 0""",
+    "q_source_statements": f"""WITH {_SOURCE} SELECT 'F' || c || '.cs' AS file, k * 10 + line AS line_no, kind, replace(sql, '<key>', k::VARCHAR) AS sql FROM st""",
+    "q_source_relations": f"""WITH {_SOURCE} SELECT source_table, source_column, target_table, target_column, 'JoinClause' AS inferred_from, 'high' AS confidence, count(*) AS statements
+FROM st JOIN (VALUES ('1-URGENT', 'literal', 'CUSTOMER', 'C_CUSTKEY', 'ORDERS', 'O_CUSTKEY'), ('2-HIGH', 'builder', 'LINEITEM', 'L_PARTKEY', 'PART', 'P_PARTKEY'))
+  AS r(p, kind, source_table, source_column, target_table, target_column) USING (p, kind) GROUP BY ALL""",
+    "q_source_tables": f"""WITH {_SOURCE} SELECT t AS "table", count(*) AS statements
+FROM (SELECT unnest(list_distinct(regexp_extract_all(sql, '(?:FROM|JOIN|UPDATE) ([A-Z]+)', 1))) AS t FROM st) GROUP BY t""",
     "q_access_advice": """WITH n AS (SELECT (SELECT count(*) FROM orders) >= 100 AS ob, (SELECT count(*) FROM customer) >= 100 AS cb)
 SELECT o_orderkey AS id, t AS "table", f AS finding, s AS severity FROM orders, n, (VALUES
   ('2-HIGH', NULL, 'CUSTOMER', 'no supporting column', 'high'),
