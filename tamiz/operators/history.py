@@ -216,18 +216,49 @@ def graph_ends(edges: DataFrame) -> DataFrame:
     return both.select("node", no("has_in").alias("entry"), no("has_out").alias("leaf")).where("entry OR leaf")
 
 
-def _core(edges: DataFrame) -> DataFrame:
-    """Edges left after taking away, again and again, nodes without edges in or out."""
-    edges = durable(edges)
-    count = edges.count()
+def _chains(edges: DataFrame) -> DataFrame | None:
+    """Nodes with one edge in and one out: ``(node, back, start, end, top, ring)``, between which other nodes their chain lies, or
+    that it is a ring of its own, whose greatest node is ``top``. Pointers double their reach in every round, so a chain takes rounds
+    by the logarithm of its length."""
+    out = edges.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("n"), F.max("target").alias("end")).where("n = 1")
+    into = edges.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("m"), F.max("source").alias("back")).where("m = 1")
+    state = durable(out.join(into, "node").select("node", "back", F.col("back").alias("start"), "end", F.col("node").alias("top")))
+    if state.isEmpty():
+        return None
+    before = None
     while True:
+        ahead = state.select(F.col("node").alias("end"), F.col("end").alias("end2"), F.col("top").alias("top2"))
+        behind = state.select(F.col("node").alias("start"), F.col("start").alias("start2"))
+        state = durable(state.join(ahead, "end", "left").join(behind, "start", "left").select(
+            "node", "back", F.coalesce("start2", "start").alias("start"), F.coalesce("end2", "end").alias("end"), F.greatest("top", "top2").alias("top"),
+            F.col("end2").isNotNull().alias("ring"), F.col("start2").isNotNull().alias("tied"), (F.col("top2") > F.col("top")).alias("moved")))
+        # A pointer that leaves its chain stays; those of rings never do, and are whole when their greatest nodes no longer change.
+        now = state.agg(F.count_if("ring") + F.count_if("tied"), F.count_if("moved")).first()
+        if now[0] == 0 or (now[0] == before and now[1] == 0):
+            return state.select("node", "back", "start", "end", "top", "ring")
+        before, state = now[0], state.select("node", "back", "start", "end", "top")
+
+
+def _core(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges left after taking away, again and again, nodes without edges in or out, and joining the ends of chains; and the
+    chains of each round."""
+    edges, levels = durable(edges), []
+    count = edges.count()
+    while count:
         kept = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        kept = kept.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        edges = durable(kept.select("source", "target"))
-        left = edges.count()
-        if left == count or left == 0:
-            return edges
-        count = left
+        kept = durable(kept.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+        chains = _chains(kept)
+        if chains is not None:
+            levels.append(chains)
+            over = chains.where("NOT ring AND back = start AND start <> end").select(F.col("start").alias("source"), F.col("end").alias("target"))
+            inner = chains.select("node")
+            direct = kept.join(inner.withColumnRenamed("node", "source"), "source", "left_anti").join(inner.withColumnRenamed("node", "target"), "target", "left_anti")
+            kept = durable(direct.select("source", "target").union(over).distinct())
+        edges, before = kept, count
+        count = edges.count()
+        if count == before:
+            break
+    return edges, levels
 
 
 def _spread(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -242,25 +273,16 @@ def _spread(edges: DataFrame, state: DataFrame) -> DataFrame:
             return state
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """Cyclic groups: ``(cycle, node)``, a group being nodes that all reach each other.
-
-    Labels travel forward along the edges; within one label the nodes that reach its owner form one
-    group. Each round costs one join on the edges, never all pairs of a group.
-    """
-    loops = edges.where("source = target").select(F.col("source").alias("cycle"), F.col("source").alias("node"))
-    rest = _core(edges.where("source <> target").select("source", "target").distinct())
-    found = loops.distinct()
+def _strong(rest: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
+    """Groups ``(cycle, node)`` of the edges that `_core` leaves; the chains it joins on the way are added to ``levels``."""
+    found = []
     while not rest.isEmpty():
         nodes = rest.select(F.col("source").alias("node")).union(rest.select("target")).distinct()
         color = _spread(rest, durable(nodes.withColumn("label", F.col("node"))))
-        same = (rest.join(color.select(F.col("node").alias("source"), F.col("label").alias("a")), "source")
-                .join(color.select(F.col("node").alias("target"), F.col("label").alias("b")), "target")
-                .where("a = b").select("source", "target"))
-        owners = color.where("node = label").select("node")
-        group = owners.select(F.col("node").alias("cycle"), "node")
-        front = group = durable(group)
-        same = durable(same)
+        same = durable(rest.join(color.select(F.col("node").alias("source"), F.col("label").alias("a")), "source")
+                       .join(color.select(F.col("node").alias("target"), F.col("label").alias("b")), "target")
+                       .where("a = b").select("source", "target"))
+        front = group = durable(color.where("node = label").select(F.col("node").alias("cycle"), "node"))
         while True:
             step = (front.join(same, front["node"] == same["target"])
                     .select("cycle", same["source"].alias("node")).distinct())
@@ -268,10 +290,36 @@ def cycles(edges: DataFrame) -> DataFrame:
             if front.isEmpty():
                 break
             group = group.unionByName(front)
-        sized = group.join(group.groupBy("cycle").count().where("count > 1").select("cycle"), "cycle", "left_semi")
-        found = found.unionByName(sized)
+        found.append(group.join(group.groupBy("cycle").count().where("count > 1").select("cycle"), "cycle", "left_semi"))
         done = durable(group.select("node").distinct())
         left = (rest.join(done.withColumnRenamed("node", "source"), "source", "left_anti")
                 .join(done.withColumnRenamed("node", "target"), "target", "left_anti"))
-        rest = _core(left.select("source", "target"))
+        rest, more = _core(left.select("source", "target"))
+        levels += more
     return found
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Cyclic groups: ``(cycle, node)``, a group being nodes that all reach each other, named by its greatest node. A node with an
+    edge to itself is a group too.
+
+    Ends are trimmed and chains joined in turn, which takes rounds by the logarithm of the longest chain and of a tree's size. On
+    what is left, labels travel forward along the edges; within one label the nodes that reach its owner form one group, in rounds
+    by the number of chains of the longest path. Then the chains go back, each to the group that holds both its ends. Each round
+    costs joins on the edges, never all pairs of a group."""
+    loops = edges.where("source = target").select(F.col("source").alias("cycle"), F.col("source").alias("node")).distinct()
+    rest, levels = _core(edges.where("source <> target").select("source", "target").distinct())
+    groups = _strong(rest, levels)
+    members = loops.limit(0)
+    for group in groups:
+        members = members.unionByName(group)
+    for chains in reversed(levels):
+        members = durable(members)
+        lone = chains.where("NOT ring AND start = end").select(F.col("start").alias("node")).distinct().join(members, "node", "left_anti")
+        whole = durable(members.unionByName(lone.select(F.col("node").alias("cycle"), "node")))
+        inside = (chains.where("NOT ring").join(whole.select(F.col("node").alias("start"), "cycle"), "start")
+                  .join(whole.select(F.col("node").alias("end"), F.col("cycle").alias("other")), "end").where("cycle = other").select("cycle", "node"))
+        members = whole.unionByName(inside).unionByName(chains.where("ring").select(F.col("top").alias("cycle"), "node"))
+    members = durable(members)
+    names = members.groupBy("cycle").agg(F.max("node").alias("name"))
+    return loops.unionByName(members.join(names, "cycle").select(F.col("name").alias("cycle"), "node"))

@@ -72,6 +72,30 @@ def test_cycles_equal_mutual_reach(spark):
         assert {g for g in want if len(g) == 1} <= got
 
 
+def test_cycles_through_chains(spark):
+    """Edges drawn out to chains, rings that hang on one node, rings of their own, and two groups joined by a chain."""
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("b", "x1"), ("x1", "x2"), ("x2", "d"),
+             ("d", "y1"), ("y1", "y2"), ("y2", "p"), ("p", "q"), ("q", "r"), ("r", "p"), ("q", "s"), ("s", "q"),
+             ("m1", "m2"), ("m2", "m3"), ("m3", "m1"), ("u", "u1"), ("u1", "u2"), ("u2", "u"), ("v", "u"), ("u", "w"), ("k", "k")]
+    groups = {}
+    for r in H.cycles(spark.createDataFrame(edges * 2, "source string, target string")).collect():
+        groups.setdefault(r["cycle"], []).append(r["node"])
+    assert {k: sorted(v) for k, v in groups.items()} == {"x2": ["a", "b", "c", "d", "x1", "x2"], "s": ["p", "q", "r", "s"], "m3": ["m1", "m2", "m3"],
+                                                         "u2": ["u", "u1", "u2"], "k": ["k"]}
+
+
+def test_cycles_of_long_paths_take_few_rounds(spark, monkeypatch):
+    """A chain of 100,000 edges, a ring of 70,000 and a ring of 30,000 that hangs on the chain."""
+    stored = []
+    kept = H.durable
+    monkeypatch.setattr(H, "durable", lambda df: (stored.append(1), kept(df))[1])
+    edges = spark.range(100000).selectExpr("id AS source", "id + 1 AS target").union(
+        spark.range(70000).selectExpr("200000 + id AS source", "200000 + (id + 1) % 70000 AS target")).union(
+        spark.range(30000).selectExpr("if(id = 0, 500, 400000 + id) AS source", "if(id = 29999, 500, 400001 + id) AS target"))
+    got = {r["cycle"]: r["count"] for r in H.cycles(edges).groupBy("cycle").count().collect()}
+    assert got == {269999: 70000, 429999: 30000} and len(stored) <= 40
+
+
 def test_commit_groups(spark):
     log = spark.createDataFrame([("Añade pantalla",), ("fix nueva pantalla",), ("Corrige bug",), ("cambio en tabla X",), ("merge rama",), ("refactor",), ("otros",)],
                                 "message string")
