@@ -101,7 +101,8 @@ def carry_failed_sections(old: DataFrame, new: DataFrame, errors: DataFrame) ->
 
 def order_by_dependency(rows: DataFrame) -> DataFrame:
     """Rows in the order objects depend on each other, then by name, a package head first."""
-    return rows.orderBy(B.section_rank(F.col("section")), "name")
+    clean = F.regexp_replace("name", r"(?i)^PACKAGE\s+(BODY\s+)?", "")
+    return rows.orderBy(B.section_rank(F.col("section")), clean, F.col("name").rlike(r"(?i)^PACKAGE\s+BODY\s"), "name")
 
 
 def users_of(inventory: DataFrame, table: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamiz.functions import bodies as B
@@ -14,7 +17,7 @@ from tamiz.plans.base import documents
 from tamiz.plans.history import runs
 from tamiz.sources import sinks as Z
 from tamiz.sources import text as A
-from tamiz.session import durable, table
+from tamiz.session import durable, local_rows, shared_folder, table
 
 SECTION = "CASE lang WHEN 'en' THEN 'procedimientos' WHEN 'fr' THEN 'vistas' WHEN 'de' THEN 'secuencias' ELSE 'triggers' END"
 NAME = """CASE WHEN lang <> 'en' THEN 'D' || CAST(doc_id AS TXT) WHEN doc_id % 4 = 0 THEN 'PACKAGE P' || CAST(doc_id DIV 4 AS TXT)
@@ -168,12 +171,34 @@ def seed_rows(spark, folder):
 
 
 def seed_related(spark, folder):
-    """Synthetic orders per synthetic client: a client for every customer, an order for every order, drawn to some client."""
-    customers = table(spark, folder, "customer")
-    clients = G.seed_like(customers, "c_custkey", CLIENTS).select("id")
-    number = (F.col("o_orderkey") + V.SEED_BASE).alias("n")
-    drawn = table(spark, folder, "orders").select(number).select((F.lit(V.SEED_BASE) + G.draw(F.col("n"), "orders.client") % customers.count()).alias("id"))
-    return clients.join(drawn, "id").groupBy("id").agg(F.count("*").alias("orders"))
+    """Synthetic orders per synthetic client: as many clients as customers and as many orders as orders, each drawn to some client."""
+    many = {n: table(spark, folder, n).count() for n in ("customer", "orders")}
+    order = [G.SeedColumn("n", "bigint", unique=True, nullable=False), G.SeedColumn("client", "bigint")]
+    made = G.seed_related(spark, {"orders": (order, many["orders"]), "client": (CLIENTS, many["customer"])}, {("orders", "client"): ("client", "id")})
+    return made["client"].join(made["orders"].select(F.col("client").alias("id")), "id").groupBy("id").agg(F.count("*").alias("orders"))
+
+
+def export_tables(spark, folder):
+    """Scripts of the picked tables, written and read back; one table lacks the column to order by, and the others are written all the same."""
+    known = {"NATION": False, "CUSTOMER": False, "REGION": False, "SUPPLIER": True, "PART": False, "ORDERS": False}
+    names, notes = Z.pick_tables(["nation", "customer", "supplier", "part"], ["region", "Nation", "ghost", "orders"], ["part"], known)
+    keys = {"NATION": ["n_nationkey"], "CUSTOMER": ["c_custkey"], "REGION": ["missing"], "ORDERS": ["o_orderkey"]}
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    status = Z.export_tables({n: (table(spark, folder, n.lower()), keys[n]) for n in names}, path)
+    seen = local_rows(spark, [(n, "status", f"{s} {k}") for n, s, k, _ in status] + [(n, "skipped", why) for n, why in notes], "table string, kind string, value string")
+    for name in [n for n, s, _, _ in status if s == "OK"]:
+        seen = seen.unionByName(spark.read.text(f"{path}/{name}").select(F.lit(name).alias("table"), F.lit("line").alias("kind"), "value"))
+    return seen
+
+
+def dependency_order(spark, folder):
+    """Sections in the order objects depend on each other: their place, objects, first and last one, and whether they lie apart."""
+    placed = durable(O.order_by_dependency(editions(spark, folder)[1].select("section", "name")).withColumn("at", F.monotonically_increasing_id()))
+    per = placed.groupBy("section").agg(F.count("*").alias("objects"), F.min("at").alias("from"), F.max("at").alias("to"), F.min_by("name", "at").alias("first"), F.max_by("name", "at").alias("last"))
+    # One row a section is left to rank.
+    by = Window.orderBy("from")
+    return per.select("section", "objects", "first", "last", F.row_number().over(by).cast("bigint").alias("place"),
+                      F.coalesce(F.lag("to").over(by) < F.col("from"), F.lit(True)).alias("apart"))
 
 
 def sample_input(spark, folder):
@@ -194,7 +219,7 @@ QUERIES = {
     "q_compare_trees": compare_trees, "q_insert_sql": insert_sql, "q_terminated_rows": terminated_rows,
     "q_structured_rows": structured_rows, "q_commit_log": commit_log, "q_commit_paths": commit_paths,
     "q_parse_diff": parse_diff, "q_seed": seed_rows, "q_seed_related": seed_related, "q_sample_input": sample_input,
-    "q_split_history": split_history,
+    "q_split_history": split_history, "q_export_tables": export_tables, "q_dependency_order": dependency_order,
 }
 
 
@@ -259,7 +284,22 @@ FROM t JOIN orders f ON f.o_orderkey = t.h GROUP BY f.o_custkey""",
   (CASE WHEN {_HEX.format(salt='saldo')} % 10 <> 0 THEN {_HEX.format(salt='saldo')} % 1000 END)::VARCHAR AS saldo
 FROM (SELECT 900000 + c_custkey AS n FROM customer)""",
     "q_seed_related": f"""SELECT id, count(*) AS orders FROM (SELECT 900000 + {_HEX.format(salt='orders.client')} % (SELECT count(*) FROM customer) AS id
-  FROM (SELECT 900000 + o_orderkey AS n FROM orders)) WHERE id IN (SELECT 900000 + c_custkey FROM customer) GROUP BY 1""",
+  FROM (SELECT 899999 + row_number() OVER () AS n FROM orders)) GROUP BY 1""",
+    "q_export_tables": """WITH c AS (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM orders) AS o)
+SELECT 'NATION' AS "table", 'line' AS kind, 'INSERT INTO NATION (n_nationkey, n_name, n_regionkey) VALUES (' || n_nationkey || ', ''' || n_name || ''', ' || n_regionkey || ');' AS value FROM nation
+UNION ALL SELECT 'CUSTOMER', 'line', 'INSERT INTO CUSTOMER (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) VALUES (' || c_custkey || ', ''' || c_name || ''', ' || c_nationkey || ', ' ||
+  regexp_replace(c_acctbal::VARCHAR, '\\.0$', '') || ', ''' || c_mktsegment || ''');' FROM customer
+UNION ALL SELECT 'ORDERS', 'line', 'INSERT INTO ORDERS (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority) VALUES (' || o_orderkey || ', ' || o_custkey || ', ''' ||
+  o_orderstatus || ''', ' || regexp_replace(o_totalprice::VARCHAR, '\\.0$', '') || ', ''' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ''', ''' || o_orderpriority || ''');' FROM orders
+UNION ALL SELECT t, 'line', l FROM (VALUES ('NATION'), ('CUSTOMER'), ('ORDERS')) AS a(t), (VALUES ('SET DEFINE OFF;'),
+  ('ALTER SESSION SET NLS_DATE_FORMAT=''YYYY-MM-DD HH24:MI:SS'';'), ('ALTER SESSION SET NLS_TIMESTAMP_FORMAT=''YYYY-MM-DD HH24:MI:SS'';'), ('commit;')) AS b(l)
+UNION ALL SELECT t, 'line', '-- Inserts ' || t FROM (VALUES ('NATION'), ('CUSTOMER'), ('ORDERS')) AS a(t)
+UNION ALL SELECT 'NATION', 'status', 'OK ' || n FROM c UNION ALL SELECT 'CUSTOMER', 'status', 'OK ' || c FROM c UNION ALL SELECT 'ORDERS', 'status', 'OK ' || o FROM c
+UNION ALL SELECT * FROM (VALUES ('REGION', 'status', 'ERROR 0'), ('SUPPLIER', 'skipped', 'orphan'), ('GHOST', 'skipped', 'not in the catalog'))""",
+    "q_dependency_order": f"""WITH {_CARDS}, b AS (SELECT s, n, regexp_replace(n, '^PACKAGE (BODY )?', '') AS clean, n LIKE 'PACKAGE BODY %' AS body,
+  CASE s WHEN 'secuencias' THEN 1 WHEN 'vistas' THEN 2 WHEN 'procedimientos' THEN 4 ELSE 6 END AS r FROM base WHERE source <> 'src2'),
+k AS (SELECT *, row_number() OVER w AS up, count(*) OVER (PARTITION BY s) AS objects FROM b WINDOW w AS (PARTITION BY s ORDER BY clean, body, n))
+SELECT s AS section, objects, max(n) FILTER (up = 1) AS "first", max(n) FILTER (up = objects) AS "last", row_number() OVER (ORDER BY r) AS place, true AS apart FROM k GROUP BY s, r, objects""",
     "q_sample_input": "SELECT lpad(c_custkey::VARCHAR, 10, '0') || rpad(c_name, 20, ' ') || rpad(c_mktsegment, 4, ' ') AS value FROM customer",
     "q_split_history": """WITH r AS (SELECT *, 'revisar [PII] en ' || CASE WHEN user_id % 10 = 0 THEN '' ELSE 'u' || user_id END AS task,
   row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S') DESC, event_id DESC) AS rn FROM events)

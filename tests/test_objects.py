@@ -51,6 +51,8 @@ def test_delivery(spark, editions):
     assert got == {("vistas", "V1"): ("modified", "deliver"), ("vistas", "V2"): ("new", "deliver"), ("triggers", "T1"): ("state changed", "deliver"),
                    ("secuencias", "S1"): ("modified", "hold"), ("funciones", "F1"): ("removed", "comment")}
     assert [r["section"] for r in O.order_by_dependency(diff).collect()] == ["secuencias", "vistas", "vistas", "funciones", "triggers"]
+    blocks = spark.createDataFrame([("procedimientos", n) for n in ("PACKAGE BODY A", "PACKAGE B", "PACKAGE A", "PACKAGE BODY B")], "section string, name string")
+    assert [r["name"] for r in O.order_by_dependency(blocks).collect()] == ["PACKAGE A", "PACKAGE BODY A", "PACKAGE B", "PACKAGE BODY B"]
     errors = spark.createDataFrame([("vistas",), ("procedimientos",)], "section string")
     assert O.drop_failed_sections(diff, errors).where("section = 'vistas'").count() == 0
     with pytest.raises(ValueError):
