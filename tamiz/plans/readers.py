@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
+from pyspark.sql import functions as F
 
 from tamiz.functions import personal as P
 from tamiz.functions.fixed_values import CONTROL_LETTERS
 from tamiz.operators import catalog as K, guard, history as H, personal as O, stats as T, textsearch as X, validate as C
 from tamiz.plans.base import CATALOG_SCHEMA, DEMO_KEY, catalog_of, hmac_sql
 from tamiz.plans.personal import POLICY
-from tamiz.session import local_rows, table
+from tamiz.session import local_rows, shared_folder, table
 from tamiz.sources import documents as D
-from tamiz.sources.text import decoded
+from tamiz.sources.text import decoded, read_lines
 
 
 def _text(c):
@@ -25,6 +26,16 @@ def lines_encoded(spark, folder):
     return rows.select("doc_id", F.md5(decoded(F.col("raw"), F.is_valid_utf8(F.col("raw").cast("string")))).alias("digest"))
 
 
+def lines_numbered(spark, folder):
+    """Order lines written as text, each with its place in its file, and read back over file blocks: how many have that number."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
+    table(spark, folder, "lineitem").select(F.rpad(F.concat_ws(" ", place, "l_linenumber", "l_orderkey"), 200, ".").alias("value")).write.text(path)
+    cell = lambda i: F.split_part("text", F.lit(" "), F.lit(i)).cast("long")
+    lines = read_lines(spark, path).select("line_no", cell(1).alias("place"), cell(2).alias("l_linenumber"), F.length("text").alias("n"))
+    return lines.groupBy("l_linenumber").agg(F.count("*").alias("lines"), F.count_if((F.col("line_no") == F.col("place")) & (F.col("n") == 200)).alias("in_place"))
+
+
 def error_xml(spark, folder):
     key = _text("o_orderkey")
     doc = F.concat(F.lit('<error time="2026-01-01T00:00:00" type="App.'), "o_orderstatus", F.lit('Exception" message="order '), key,
@@ -206,7 +217,7 @@ def coverage_notes(spark, folder):
 QUERIES = {
     "q_inventory_suspects": inventory_suspects, "q_sample_columns": sample_columns, "q_failed_tests": failed_tests, "q_table_schema": table_schema,
     "q_coverage_notes": coverage_notes,
-    "q_lines_encoded": lines_encoded, "q_error_xml": error_xml, "q_test_results": test_results, "q_catalog_json": catalog_json, "q_history_parse": history_parse,
+    "q_lines_numbered": lines_numbered, "q_lines_encoded": lines_encoded, "q_error_xml": error_xml, "q_test_results": test_results, "q_catalog_json": catalog_json, "q_history_parse": history_parse,
     "q_extract_controls": extract_controls, "q_gate": gate, "q_mask_numeric_types": mask_numeric_types, "q_guarded_quoted_names": guarded_quoted_names,
     "q_guarded_capped": guarded_capped, "q_guarded_renamed": guarded_renamed, "q_numeric_precision": numeric_precision, "q_layers": layers,
     "q_phrase_repeats_whole": phrase_repeats_whole,
@@ -234,6 +245,7 @@ c AS (SELECT upper(p_brand) AS t, count(*) AS n FROM part GROUP BY 1) SELECT w.t
   count(*) FILTER (o_orderkey % 20 = 0) AS e FROM orders GROUP BY 1))
 SELECT gaps, gaps > 0 AS partial, CASE WHEN gaps > 0 THEN 'owner account: the gap is a filter, not a permission' ELSE '' END AS note, true AS owner FROM g
 UNION ALL SELECT gaps, gaps > 0, CASE WHEN gaps > 0 THEN 'not the owner: an object may exist without a grant; nothing was removed' ELSE 'not the owner, but the count matches the dictionary' END, false FROM g""",
+    "q_lines_numbered": "SELECT l_linenumber::BIGINT AS l_linenumber, count(*) AS lines, count(*) AS in_place FROM lineitem GROUP BY 1",
     "q_lines_encoded": "SELECT doc_id, md5(text) AS digest FROM documents",
     "q_error_xml": """SELECT o_orderkey, 'xml' AS kind, '2026-01-01T00:00:00' AS stamp, 'App.' || o_orderstatus || 'Exception: order ' || o_orderkey AS head,
   least(o_orderkey % 30 + 1, 20) + 1 AS n_lines FROM orders WHERE o_orderkey % 7 <> 0""",
