@@ -130,7 +130,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def combine(keys: np.ndarray, n: int) -> np.ndarray:
     """Key of each run of ``n`` keys; one entry per possible start."""
-    out = np.zeros(max(0, len(keys) - n + 1), dtype=np.uint64)
+    size = max(0, len(keys) - n + 1)
+    out = np.zeros(size, dtype=np.uint64)
     for j in range(n):
-        out = mix(out * np.uint64(_BASE) + keys[j:len(keys) - n + 1 + j])
+        out = mix(out * np.uint64(_BASE) + keys[j:j + size])
     return out

@@ -1,6 +1,7 @@
 """Word keys of long data equal those of short data."""
 
 import numpy as np
+import pytest
 
 from tamiz.llm import words as W
 
@@ -18,3 +19,9 @@ def test_keys_do_not_depend_on_stretches(monkeypatch):
     assert (W.span_hashes(data, starts, ends) == whole).all()
     many = np.repeat(starts, 2)
     assert (W.span_hashes(data, many, np.minimum(many + 3, np.repeat(ends, 2))) == np.repeat(W.span_hashes(data, starts, np.minimum(starts + 3, ends)), 2)).all()
+
+
+@pytest.mark.parametrize("n", range(8))
+def test_runs_of_fewer_keys_than_asked_are_none(n):
+    keys = np.arange(n, dtype=np.uint64)
+    assert len(W.combine(keys, 5)) == max(0, n - 4)
