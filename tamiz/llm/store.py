@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,8 +37,13 @@ def crc32_of_id(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the session's Arrow batches to ``rows`` texts where they are larger: a batch lies in the JVM and in the worker at once."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows and about ``size`` bytes where they are larger: a batch lies in the JVM and in the
+    worker at once. One row is never cut, whatever its size."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
+    if not 0 < int(digits) << 10 * " kmgt".index(unit or " ") <= size:
+        spark.conf.set(name, size)

@@ -180,7 +180,7 @@ def logits(docs: DataFrame, net: Net, model: langid.Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, model = shared.value
-        for piece in W.slices(batches, "text", W.SLICE_BYTES // 2, langid.ROWS):
+        for piece in W.slices(batches, "text", rows=langid.ROWS):
             column = piece.column(1)
             buckets, text_of = buckets_of(column)
             guess = [""] * len(column)
