@@ -11,13 +11,14 @@ words the set is empty and links with nothing. Documents link when ``100 * |A &
 3. Groups. For each shared shingle the smallest node is a centre. A centre and a node that share enough head shingles, counted
    where that node is the centre, are compared exactly; their links join similar documents into groups. This leaves few links
    open, however large a set of near copies is.
-4. The matrix. Groups are cut into blocks of at most ``block_nodes``; the matrix holds each block's union of head shingles. A
-   node is a query for the blocks of other groups. Its overlap with a block's union bounds the head shingles that it shares with
+4. The matrix. Nodes without a link so far are grouped by their commonest open shingle and by length. All groups are cut into blocks
+   of about ``BLOCK_NODES``; the matrix holds each block's union of head shingles. A node is a query for the blocks of other groups,
+   and within a group that no links made for its own blocks too. Its overlap with a block's union bounds the head shingles that it shares with
    any member, and what lies behind the heads is bounded by their ends, so only blocks whose overlap reaches the difference
    qualify. Of those, the union of the whole sets must hold ``ceil(3n/4)`` of the query; only then members are compared.
 5. Links between groups give the components; every document takes the component of its node.
 
-Every link between different sets is either inside a group or found in step 4, so the classes are exact. Overlaps are computed on
+Every link between different sets is either inside a linked group or found in step 4, so the classes are exact. Overlaps are computed on
 64-bit keys; only a collision within two compared sets could change one. Null text counts as empty. Repeated ids are told apart
 by nothing, so ids should be unique; a repeated row is a copy of itself. A row without an id has no set that could be looked up: it gets
 ``n_shingles`` 0 whatever its text, as in the SQL. Only the named columns are read.
@@ -289,31 +290,36 @@ def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def block_links(asked: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` of queries ``(block, node)`` with members ``(block, node, component)`` of the blocks they ask: one for
-    each query and block at most, since the members of a block are in one component already."""
+    """Links ``(a, b)`` of queries ``(block, node)`` with members ``(block, node, loose)`` of the blocks they ask: one for each query
+    and block of a linked group at most, since its members are in one component already, and all of a loose block's."""
     parts = asked.groupBy("block").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    queries = (asked.join(parts, "block").select("block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("asks"), F.col("node").alias("q"))
-               .join(sets, F.col("q") == F.col("node")).select("block", "part", "asks", "node", "set"))
-    members = (parts.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(blocks.select("block", F.col("node").alias("q")), "block")
-               .join(sets, F.col("q") == F.col("node")).select("block", "part", F.lit(False).alias("asks"), "node", "set"))
+    queries = (asked.join(parts, "block").select("block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("asks"), F.lit(False).alias("loose"), F.col("node").alias("q"))
+               .join(sets, F.col("q") == F.col("node")).select("block", "part", "asks", "loose", "node", "set"))
+    members = (parts.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+               .join(blocks.select("block", "loose", F.col("node").alias("q")), "block")
+               .join(sets, F.col("q") == F.col("node")).select("block", "part", F.lit(False).alias("asks"), "loose", "node", "set"))
 
     def open_block(table: pa.Table) -> pa.Table:
         asks, nodes = table.column("asks").to_numpy(), table.column("node").to_numpy()
+        loose = table.column("loose").to_numpy()
         sets = [unpack_sorted(x.as_py(), np.uint64) for x in table.column("set")]
-        inside = [k for k in range(len(nodes)) if not asks[k]]
-        outside = [k for k in range(len(nodes)) if asks[k]]
+        lengths = np.array([len(s) for s in sets], np.int64)
+        inside, outside = np.flatnonzero(~asks), np.flatnonzero(asks)
         union = np.unique(np.concatenate([sets[k] for k in inside]))
         bound = _overlap([sets[k] for k in outside], union)
-        sizes = np.array([len(sets[k]) for k in inside], np.int64)
         a, b = [], []
         for k, most in zip(outside, bound):
             n = len(sets[k])
             if most < least_common(n):
                 continue
-            hits = np.flatnonzero(linked(_overlap([sets[j] for j in inside], sets[k]), n, sizes))
-            if len(hits):
-                a.append(nodes[k])
-                b.append(nodes[inside[hits[0]]])
+            # A query that is a member itself meets those before it.
+            inner = (nodes[inside] == nodes[k]).any()
+            fits = inside[(4 * np.minimum(lengths[inside], n) >= 3 * np.maximum(lengths[inside], n)) & ((nodes[inside] < nodes[k]) | (not inner))]
+            hits = fits[linked(_overlap([sets[j] for j in fits], sets[k]), n, lengths[fits])] if len(fits) else fits
+            if len(hits) and not loose[hits[0]]:
+                hits = hits[:1]
+            a += [nodes[k]] * len(hits)
+            b += nodes[hits].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return queries.unionByName(members).groupBy("block", "part").applyInArrow(open_block, "a long, b long")
@@ -351,26 +357,34 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = stored(counted.where((4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (F.col("c") >= _least_shared("n", "m", tail))).select("a", "b"), "shingle-pairs")
     near = star_links(pairs, sets_of(has_id, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     groups = components(near)
-    grouped = shared.join(groups, "node", "left").select("token", "node", "n", "last", F.coalesce("component", "node").alias("component"))
+    grouped = shared.join(groups, "node", "left").select("token", "node", "n", "last", F.coalesce("component", "node").alias("component"), F.isnull("component").alias("loose"))
     apart = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = stored(grouped.join(apart, "token"), "shingle-open")
-    # Nodes of a group are cut into blocks in the order of their lengths, which only the counts of each length are sorted for; a length
-    # with more nodes than a block holds is split by hash.
-    nodes = open_.select("node", "n", "last", "component").distinct()
-    shorter = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = nodes.groupBy("component", "n").agg(F.count("*").alias("nodes")).select(
-        "component", "n", F.floor(F.coalesce(F.sum("nodes").over(shorter), F.lit(0)) / BLOCK_NODES).alias("k"), F.ceil(F.col("nodes") / BLOCK_NODES).alias("parts"))
+    # Nodes without a link so far form groups by their commonest open shingle and by length, so neighbours that a shared passage makes
+    # meet as blocks and not one by one.
+    met_by = open_.groupBy("token").agg(F.count("*").alias("df"))
+    leading = open_.where("loose").join(met_by, "token").groupBy("node").agg(F.max(F.struct("df", "token"))["token"].alias("leading"))
+    group = F.when(F.col("loose"), F.xxhash64("leading", F.floor(F.log(F.col("n")) / math.log(4 / 3)))).otherwise(F.col("component"))
+    nodes = open_.select("node", "n", "last", "component", "loose").distinct().join(leading, "node", "left").select("node", "n", "last", "loose", group.alias("group"))
+    # A group is cut into blocks in the order of lengths, which only the counts of each length are sorted for; a length with more nodes
+    # than a block holds is split by hash.
+    shorter = Window.partitionBy("loose", "group").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = nodes.groupBy("loose", "group", "n").agg(F.count("*").alias("nodes")).select(
+        "loose", "group", "n", F.floor(F.coalesce(F.sum("nodes").over(shorter), F.lit(0)) / BLOCK_NODES).alias("k"), F.ceil(F.col("nodes") / BLOCK_NODES).alias("parts"))
     part = F.when(F.col("parts") > 1, F.struct("n", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")))
-    blocks = stored(nodes.join(lengths, ["component", "n"]).select("node", "n", "last", "component", F.struct("component", "k", part.alias("split")).alias("block")), "shingle-blocks")
-    bounds = blocks.groupBy("block").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"), F.min("last").alias("first_end"), F.max("last").alias("last_end"))
-    matrix = open_.join(blocks.select("node", "block"), "node").select("token", "block").distinct()
-    met = (open_.select("token", "node", F.col("component").alias("own")).join(matrix, "token").where(F.col("own") > F.col("block.component"))
-           .groupBy("node", "block").agg(F.count("*").alias("c")))
+    blocks = stored(nodes.join(lengths, ["loose", "group", "n"]).select("node", "n", "last", "loose", "group", F.xxhash64("loose", "group", "k", part).alias("block")), "shingle-blocks")
+    bounds = blocks.groupBy("block").agg(F.count("*").alias("nodes"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.min("last").alias("first_end"), F.max("last").alias("last_end"))
+    entries = open_.select("token", "node").join(blocks.select("node", "loose", "group", "block"), "node")
+    matrix = entries.select("token", F.col("loose").alias("of_loose"), F.col("group").alias("of_group"), F.col("block").alias("asked")).distinct()
+    # Of two blocks one asks the other. Members of a linked group need not ask it; those of a loose one ask their own block too.
+    asks = (F.col("block") > F.col("asked")) & ~(~F.col("loose") & ~F.col("of_loose") & (F.col("group") == F.col("of_group"))) | F.col("loose") & (F.col("block") == F.col("asked"))
+    met = entries.join(matrix, "token").where(asks).groupBy("node", "asked").agg(F.count("*").alias("c"))
     rest = (F.when(F.col("last") < F.col("first_end"), _tail("n")).when(F.col("last") > F.col("last_end"), _tail("longest"))
             .otherwise(F.greatest(_tail("n"), _tail("longest"))))
-    asked = (met.join(nodes.select("node", "n", "last"), "node").join(bounds, "block")
-             .where((4 * F.col("longest") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("shortest")) & (F.col("c") >= _least_shared("n", "shortest", rest))))
-    asked = stored(asked.select("node", "block"), "shingle-asked")
+    qualifies = (4 * F.col("longest") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("shortest")) & (F.col("c") >= _least_shared("n", "shortest", rest))
+    asked = (met.join(blocks.select("node", "n", "last", F.col("block").alias("own")), "node").join(bounds.withColumnRenamed("block", "asked"), "asked")
+             .where(qualifies & ((F.col("own") != F.col("asked")) | (F.col("nodes") > 1))))
+    asked = stored(asked.select("node", F.col("asked").alias("block")), "shingle-asked")
     used = asked.select("node").union(blocks.join(asked.select("block").distinct(), "block", "left_semi").select("node")).distinct()
     across = block_links(asked, blocks, sets_of(has_id, used))
     joined = across.join(groups.select(F.col("node").alias("b"), F.col("component").alias("g")), "b", "left").select("a", F.coalesce("g", "b").alias("b"))

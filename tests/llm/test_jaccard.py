@@ -80,6 +80,45 @@ def test_small_limits_change_nothing(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_classes(docs).collect()} == brute(rows)
 
 
+def test_pages_of_one_template_meet_as_blocks(spark, monkeypatch):
+    """A template fills most of every page, so all share shingles, and only the planted pairs link; pages are asked by block."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(60)]
+    rows = []
+    for k in range(400):
+        own = [word() for _ in range(24)]
+        rows.append(template + own)
+        if k % 8 == 0:
+            rows.append(template + own[:-3] + [word() for _ in range(3)])
+    rng.shuffle(rows)
+    rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
+    asked, plain = [], J.block_links
+    monkeypatch.setattr(J, "block_links", lambda a, blocks, sets: asked.append((a.count(), blocks.groupBy("block").count().count())) or plain(a, blocks, sets))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_classes(docs).collect()}
+    assert got == brute(rows)
+    assert sum(k != c for k, (_, c) in got.items()) == 50
+    (queries, blocks), = asked
+    assert blocks <= 64 and queries <= len(rows) * blocks
+
+
+def test_batches_are_lowered_only(spark):
+    from tamiz.llm.store import bounded_batches
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for given, expected in (("0", "64m"), ["1000", 4 << 20]), (("50", "1k"), ["50", 1 << 10]):
+            for name, value in zip(names, given):
+                spark.conf.set(name, value)
+            bounded_batches(spark)
+            found = [spark.conf.get(n) for n in names]
+            assert found[0] == expected[0] and found[1] in (str(expected[1]), f"{expected[1]}b", "1k")
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
 def test_shingle_sets_keep_texts_apart():
     grams, bounds = J.shingle_sets(pa.array(["a b c d e f", None, "", "A B C D E F", "e f", "f"]))
     sets = [grams[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
