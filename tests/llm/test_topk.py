@@ -1,5 +1,9 @@
 import math
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,3 +42,43 @@ def test_edges(spark):
     assert sorted(map(tuple, T.top_k(df, F.col("id") % 5 == 0, 2).collect())) == brute(rows, 2)
     assert T.top_k(df.limit(0), F.col("id") % 5 == 0).count() == 0
     assert T.top_k(df, F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("cell_bytes,blocks", [(300, 4), (1000, 3), (1 << 20, 1)])
+def test_grid_of_many_cells(spark, cell_bytes, blocks):
+    """Vectors of several lengths and sizes (floats, doubles and integers are scored), repeated rows, ids in no order, ties over cells."""
+    rng = random.Random(cell_bytes)
+    rows = [(k, [float(rng.choice([0.5, 1.0, -1.0])) * rng.choice([1, 1, 1, 3e3, 1e6]) for _ in range(rng.choice([0, 3, 6, 6]))]) for k in range(120)]
+    rows += rows[:30] + [(1000 + k, [1.0] * 6) for k in range(40)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = T.top_k(df, F.col("id") % 5 == 0, 5, chunk_rows=8, blocks=blocks, cell_bytes=cell_bytes)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5)
+
+
+PEAK = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+import pyarrow as pa
+from pyspark.sql import SparkSession, functions as F
+from tamiz.llm import topk as T
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+         .config("spark.checkpoint.dir", sys.argv[2]).config("spark.sql.warehouse.dir", sys.argv[3]).getOrCreate())
+rows = spark.range(0, 16384, 1, 2).select(F.col("id").alias("vec_id"), F.array(*[(F.pmod(F.xxhash64("id", F.lit(j)), F.lit(513)) - 256) / 2048 for j in range(16)]).alias("embedding"))
+assert T.top_k(rows, F.col("id") % 4 == 0).count() == 5 * 4096
+
+def peak(batches):
+    for _ in batches:
+        pass
+    yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss])], names=["kb"])
+
+print("PEAK", spark.range(0, 64, 1, 8).mapInArrow(peak, "kb long").agg(F.max("kb")).first()[0] // 1024)
+"""
+
+
+def test_memory_of_a_full_query_block(tmp_path):
+    """4,096 queries meet full chunks; a worker needed about 900 MB for whole matrices of scores."""
+    root = str(Path(T.__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", PEAK, root, str(tmp_path / "c"), str(tmp_path / "w")], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": root})
+    assert "PEAK" in done.stdout, done.stderr[-2000:]
+    assert int(done.stdout.split("PEAK")[1]) < 400
