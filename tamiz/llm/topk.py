@@ -106,7 +106,7 @@ def _lists(q: np.ndarray, c: np.ndarray, blocks: int) -> list[np.ndarray]:
     return [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _tiles(q_ids: np.ndarray, q: np.ndarray, q_norm: float, chunks: list, blocks: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+def _tiles(q: np.ndarray, q_norm: float, chunks: list, blocks: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """Place among the site's candidates, ids and lists, tile by tile. The first tiles are narrow: all their entries are among the best so far."""
     width, before = 64, 0
     for ids, c, c_norm, _ in chunks:
@@ -120,8 +120,13 @@ def _tiles(q_ids: np.ndarray, q: np.ndarray, q_norm: float, chunks: list, blocks
 
 
 def _entries(open_: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column, whole score and flat place of the open entries."""
-    flat = np.flatnonzero(open_)
+    """Row, column, whole score and flat place of the open entries. Most are closed: eight are looked at together where they can be."""
+    flags = open_.ravel()
+    if flags.size % 8:
+        flat = np.flatnonzero(flags)
+    else:
+        flat = (8 * np.flatnonzero(flags.view(np.uint64))[:, None] + np.arange(8)).ravel()
+        flat = flat[flags[flat]]
     row, col = np.divmod(flat, open_.shape[1])
     return row, col, sum(s.ravel()[flat] for s in lists).astype(np.int64), flat
 
@@ -143,15 +148,28 @@ def _merge(kept: list[np.ndarray], row: np.ndarray, fresh: list[np.ndarray]) ->
 def _name(q_ids: np.ndarray, q: np.ndarray, q_norm: float, chunks: list, k: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Phase one at a site: row and whole score of the best ``k`` entries that a list names among its ``k`` largest."""
     lists_kept: list[list[np.ndarray]] = []
-    for before, ids, lists in _tiles(q_ids, q, q_norm, chunks, blocks):
+    waiting: list[list[list[np.ndarray]]] = []  # new entries of each list, merged when there are about as many as are kept
+
+    def settle(j: int) -> None:
+        row, *fresh = (np.concatenate(x) for x in zip(*waiting[j]))
+        _merge(lists_kept[j], row, fresh)
+        waiting[j].clear()
+
+    for before, ids, lists in _tiles(q, q_norm, chunks, blocks):
         for j, s in enumerate(lists):
             if j == len(lists_kept):  # local score, place, whole score
                 lists_kept.append([np.full((len(q), k), NONE), np.full((len(q), k), -1), np.full((len(q), k), NONE)])
+                waiting.append([])
             last = lists_kept[j][0][:, -1]
             row, col, whole, flat = _entries(s >= (last + (last > NONE)).astype(s.dtype)[:, None], lists)
             fine = ids[col] != q_ids[row]
             row, col, whole, flat = row[fine], col[fine], whole[fine], flat[fine]
-            _merge(lists_kept[j], row, [s.ravel()[flat].astype(np.int64), before + col, whole])
+            waiting[j].append([row, s.ravel()[flat].astype(np.int64), before + col, whole])
+            if sum(len(x[0]) for x in waiting[j]) >= len(q) * k:
+                settle(j)
+    for j in range(len(waiting)):
+        if waiting[j]:
+            settle(j)
     row = np.concatenate([np.repeat(np.arange(len(q)), k)] * len(lists_kept))
     place, whole = (np.concatenate([kept[x].ravel() for kept in lists_kept]) for x in (1, 2))
     named = np.unique(np.stack([row, place, whole])[:, place >= 0], axis=1)  # an entry that two lists name counts once
@@ -164,7 +182,7 @@ def _name(q_ids: np.ndarray, q: np.ndarray, q_norm: float, chunks: list, k: int,
 def _resolve(q_ids: np.ndarray, q: np.ndarray, q_norm: float, chunks: list, k: int, blocks: int, cutoffs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phases two and three at a site: row, id and whole score of the best ``k`` that reach the cut-offs, ties to the smaller id."""
     kept = [np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)]
-    for _, ids, lists in _tiles(q_ids, q, q_norm, chunks, blocks):
+    for _, ids, lists in _tiles(q, q_norm, chunks, blocks):
         # Ids rise within a chunk: an equal score counts only where the k-th best has a larger id than the tile's first.
         last = kept[0][:, -1]
         least = np.maximum(cutoffs, last + ((last > NONE) & (kept[1][:, -1] <= ids[0])))
