@@ -303,58 +303,95 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 
 _WORDS = r"[^\p{L}\p{N}]+"
-#: Length of the pieces that phrases without an inner word are looked up by; phrases looked for in one pass over the lines.
-STRIDE, PHRASES_A_PASS = 6, 8000
-
-
-def _among(items: Column, wanted: list[str]) -> Column:
-    """The items that are in a list, which Spark turns into a hash set of the plan."""
-    return F.array_distinct(F.filter(items, lambda w: w.isin(wanted))) if wanted else F.array().cast("array<string>")
-
-
-def _rarest(lines: DataFrame, text: str, inner: dict[str, list[str]]) -> dict[str, str]:
-    """For each phrase the inner word that the lines hold least often. A phrase with a word that no line holds is in none, and left out."""
-    words = sorted({w for ws in inner.values() for w in ws})
-    if not words:
-        return {}
-    counted = lines.select(F.explode(F.filter(F.split(text, _WORDS), lambda w: w.isin(words))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    held = {r["word"]: r["n"] for r in counted.collect()}
-    return {p: min(ws, key=lambda w: (held[w], -len(w), w)) for p, ws in inner.items() if all(w in held for w in ws)}
-
-
-def _held(lines: DataFrame, phrases: list, keys: list[str], text: str) -> DataFrame:
-    inner = {r["phrase"]: r["inner"] for r in phrases if r["inner"]}
-    by_word = _rarest(lines, text, inner)
-    by_piece = {r["phrase"]: {r["phrase"][i:i + STRIDE] for i in range(STRIDE)} for r in phrases if not r["inner"]}
-    keyed = [(1, w, p) for p, w in by_word.items()] + [(0, piece, p) for p, pieces in by_piece.items() for piece in sorted(pieces)]
-    hits = [F.transform(_among(items, sorted({k for kind, k, _ in keyed if kind == n})), lambda k: F.struct(F.lit(n).alias("kind"), k.alias("key")))
-            for n, items in ((1, F.split(text, _WORDS)), (0, F.regexp_extract_all(text, F.lit(rf"(?s).{{{STRIDE}}}"), F.lit(0))))
-            if any(kind == n for kind, _, _ in keyed)]
-    wanted = F.broadcast(local_rows(lines.sparkSession, keyed, "kind int, key string, phrase string"))
-    met = lines.select(*keys, text, F.explode(F.concat(*hits) if hits else F.array().cast("array<struct<kind:int,key:string>>")).alias("__hit"))
-    pairs = met.join(wanted, (F.col("__hit.kind") == F.col("kind")) & (F.col("__hit.key") == F.col("key"))).where(F.contains(text, "phrase"))
-    # Of a phrase's pieces only the first whole one behind its first place counts, so a pair comes once.
-    first = F.ceil((F.instr(F.col(text), F.col("phrase")) - 1) / STRIDE) * STRIDE + 1
-    return pairs.where((F.col("kind") == 1) | (F.substr(F.col(text), first.cast("int"), F.lit(STRIDE)) == F.col("key"))).select(*keys, text, "phrase")
-
-
-def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text: str = "text", a_pass: int = PHRASES_A_PASS) -> DataFrame:
+#: Kinds of keys that phrases are looked up by: an inner word, a window of the least length of a phrase, and the piece in the middle of
+#: a stretch of text that tells whether one of the windows in it may be wanted.
+WORD, WINDOW, PIECE = 0, 1, 2
+STRIDE = V.PHRASE_MIN // 2
+#: A key marks three bits in one cell of 64; keys that share a cell at most, unless that took more than 8 MB of cells.
+KEYS_A_CELL, MOST_CELLS = 4, 1 << 20
+
+
+def _key(kind: int | Column, token: Column) -> Column:
+    return F.xxhash64(F.lit(kind) if isinstance(kind, int) else kind, token)
+
+
+def _cell_and_bits(key: Column, cells: int) -> tuple[Column, Column]:
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(key, n).bitwiseAND(63).cast("int")) for n in (0, 6, 12)]
+    return F.shiftrightunsigned(key, 18).bitwiseAND(cells - 1), reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def _marked(wanted: DataFrame):
+    """A test of keys that all keys of the table ``(kind, token)`` pass and few others. The executors make its bits, whose number is
+    bounded, and the plan reads them as one value of a subquery."""
+    spark = wanted.sparkSession
+    pieces = F.transform(F.sequence(F.lit(1), F.lit(STRIDE)), lambda i: _key(PIECE, F.substr("token", i + 1, F.lit(STRIDE))))
+    keys = wanted.select(F.explode(F.when(F.col("kind") == WINDOW, F.concat(F.array(_key(WINDOW, F.col("token"))), pieces))
+                                   .otherwise(F.array(_key(F.col("kind"), F.col("token"))))).alias("key"))
+    cells = min(MOST_CELLS, 1 << (keys.count() // KEYS_A_CELL).bit_length())
+    cell, bits = _cell_and_bits(F.col("key"), cells)
+    filled = keys.select(cell.alias("cell"), bits.alias("bits")).unionByName(spark.range(cells).select(F.col("id").alias("cell"), F.lit(0).cast("bigint").alias("bits")))
+    field = (filled.groupBy("cell").agg(F.bit_or("bits").alias("bits")).agg(F.sort_array(F.collect_list(F.struct("cell", "bits"))).alias("all"))
+             .select(F.col("all.bits")).scalar())
+
+    def test(key: Column) -> Column:
+        at, mask = _cell_and_bits(key, cells)
+        return F.get(field, at.cast("int")).bitwiseAND(mask) == mask
+    return test
+
+
+def _met(lines: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``(keys, text, __key)``: the keys among those of ``wanted`` that a text holds, each once, and a few others."""
+    marked = _marked(wanted)
+    has = wanted.agg(*[F.count_if(F.col("kind") == kind).alias(str(kind)) for kind in (WORD, WINDOW)]).first()
+    words = lines.select(*keys, text, F.explode(F.array_distinct(F.split(text, _WORDS))).alias("__token")).select(*keys, text, _key(WORD, F.col("__token")).alias("__key"))
+    found = [words.where(marked(F.col("__key")))]
+    if has[str(WINDOW)]:
+        # Stretches begin every STRIDE characters and overlap, so each window lies in the one that begins at it or closely before it.
+        stretch = rf"(?s)(?=(.{{{V.PHRASE_MIN},{V.PHRASE_MIN + STRIDE - 1}}})).{{{STRIDE}}}"
+        parts = (lines.select(*keys, text, F.posexplode(F.regexp_extract_all(text, F.lit(stretch), F.lit(1))).alias("__at", "__part"))
+                 .where(marked(_key(PIECE, F.substring("__part", STRIDE + 1, STRIDE)))))
+        windows = parts.select(*keys, text, "__at", F.posexplode(F.array(*[F.substring("__part", i + 1, V.PHRASE_MIN) for i in range(STRIDE)])).alias("__in", "__token"))
+        # A window that comes again in its text counts at its first place.
+        first = F.instr(F.col(text), F.col("__token")) == F.col("__at") * STRIDE + F.col("__in") + 1
+        windows = windows.where((F.length("__token") == V.PHRASE_MIN) & marked(_key(WINDOW, F.col("__token")))).where(first)
+        found = found[:bool(has[str(WORD)])] + [windows.select(*keys, text, _key(WINDOW, F.col("__token")).alias("__key"))]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _looked_up_by(lines: DataFrame, phrases: DataFrame, text: str) -> DataFrame:
+    """``(phrase, kind, token)``: the one key of each phrase, that the lines hold least often. Phrases that no line can hold are left out
+    where that is known."""
+    split = F.split("phrase", _WORDS)
+    words = F.array_distinct(F.filter(F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))), lambda w: w != ""))
+    windows = F.array_distinct(F.regexp_extract_all("phrase", F.lit(rf"(?s)(?=(.{{{V.PHRASE_MIN}}}))."), F.lit(1)))
+    of_kind = lambda kind, tokens: F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
+    wanted = phrases.select("phrase").where(F.length("phrase") >= V.PHRASE_MIN).distinct().select("phrase", words.alias("words"))
+    wanted = durable(wanted.select(F.monotonically_increasing_id().alias("id"), "phrase",
+                                   F.when(F.size("words") > 0, of_kind(WORD, F.col("words"))).otherwise(of_kind(WINDOW, windows)).alias("keys")))
+    chosen = wanted.where(F.size("keys") == 1).select("phrase", F.col("keys")[0].alias("key"))
+    several = wanted.where(F.size("keys") > 1)
+    if not several.isEmpty():
+        choices = several.select("id", F.explode("keys").alias("key")).withColumn("__key", _key(F.col("key.kind"), F.col("key.token")))
+        counted = _met(lines, choices.select("key.*").distinct(), [], text).groupBy("__key").agg(F.count("*").alias("n"))
+        rarest = (choices.join(counted, "__key", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("best"))
+                  .where("best.n > 0").select("id", "best.key"))
+        chosen = chosen.unionByName(several.select("id", "phrase").join(rarest, "id").select("phrase", "key"))
+    return chosen.select("phrase", "key.*")
+
+
+def contains_phrase(lines: DataFrame, phrases: DataFrame, keys: list[str], text: str = "text", a_pass: int | None = None) -> DataFrame:
     """Lines that hold a phrase literally: ``(keys, text, phrase)``, one row for each line and phrase, without comparing every
     line with every phrase. Shorter phrases than twelve characters are left out.
 
     The words strictly inside a phrase appear as whole words in any text that holds it (its first and last may be cut there), so
-    a phrase is looked up by the one of them that is rarest over the lines. A phrase with no inner word is looked up by its
-    pieces of six characters: a text is cut into such pieces from its start, and any twelve characters of it hold a whole one,
-    at one of six places. The keys are tested inside the row against a hash set in the plan, so lines without any go no further,
-    nothing is shuffled, and every candidate is verified on the spot. Phrases are looked for in passes of about ``a_pass``, which bounds
-    the set."""
-    split = F.split("phrase", _WORDS)
-    wanted = phrases.select("phrase").where(F.length("phrase") >= V.PHRASE_MIN).distinct().select(
-        "phrase", F.filter(F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))), lambda w: w != "").alias("inner"))
-    wanted = durable(wanted)
-    passes = max(1, -(-wanted.count() // a_pass))
-    parts = [_held(lines, wanted.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == n).collect(), keys, text) for n in range(passes)]
-    return reduce(DataFrame.unionByName, parts)
+    a phrase is looked up by one of them. A phrase with no inner word is looked up by one of its windows of twelve characters. Of
+    several, the one that the lines hold least often is taken. The keys of a text are tested against a field of bits, so few that no
+    phrase is looked up by go further; the rest meet the phrases in one equality join, and every candidate is verified there.
+    Phrases are never brought to the driver and any number of them takes one pass, so ``a_pass``, once the phrases of a pass, has no
+    effect any more."""
+    wanted = durable(_looked_up_by(lines, phrases, text))
+    held = _met(lines, wanted, keys, text).join(wanted.select(_key(F.col("kind"), F.col("token")).alias("__key"), "phrase"), "__key")
+    return held.where(F.contains(text, "phrase")).select(*keys, text, "phrase")
 
 
 def leak_rules(lines: DataFrame, phrases: DataFrame, patterns=None, shown: int | None = 120) -> DataFrame:

@@ -136,6 +136,36 @@ def test_phrases_by_brute_force(spark):
         assert sorted(map(tuple, O.contains_phrase(lines, asked, ["n"], a_pass=a_pass).collect())) == want
 
 
+def test_any_number_of_phrases_takes_one_pass_over_the_lines(spark, tmp_path):
+    """20,000 phrases of words, and names without an inner word: the plan reads the lines once for each kind of key, and holds no phrase."""
+    texts = [f"note about client{i % 3000 * 7} and Client#{i % 90:09d} {'Client#000000003 ' * (i % 3)}" for i in range(4000)]
+    spark.createDataFrame(list(enumerate(texts)), "n int, text string").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    asked = [f"about client{i} and" for i in range(20_000)] + [f"Client#{i:09d}" for i in range(200)]
+    held = O.contains_phrase(lines, spark.createDataFrame([(p,) for p in asked], "phrase string"), ["n"])
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(str(tmp_path / "lines")) == 2 and "client1407" not in plan
+    known = set(asked)
+    want = sorted((n, p) for n, t in enumerate(texts) for p in {f"about {t.split()[2]} and", *t.split()[4:]} & known)
+    assert sorted((r["n"], r["phrase"]) for r in held.collect()) == want and len(want) > 8000
+
+
+def test_names_with_a_common_beginning_are_looked_up_by_what_differs(spark):
+    """500 names that begin alike, all lines with that beginning: few candidates for each line, where the beginning would give all of them."""
+    lines = spark.createDataFrame([(i, f"for Client#{i:09d} only") for i in range(500)], "n int, text string")
+    phrases = spark.createDataFrame([(f"Client#{i:09d}",) for i in range(500)], "phrase string")
+    keys = O._looked_up_by(lines, phrases, "text")
+    assert keys.count() == 500 and keys.groupBy("token").count().agg(F.max("count")).first()[0] == 1
+    assert O._met(lines, keys, ["n"], "text").count() < 1000
+    assert sorted(map(tuple, O.contains_phrase(lines, phrases, ["n"]).select("n", "phrase").collect())) == [(i, f"Client#{i:09d}") for i in range(500)]
+
+
+def test_no_phrases_are_in_no_line(spark):
+    lines = spark.createDataFrame([(1, "una frase bastante larga"), (2, None)], "n int, text string")
+    none = O.contains_phrase(lines, spark.createDataFrame([(None,), ("corta",)], "phrase string"), ["n"])
+    assert none.columns == ["n", "text", "phrase"] and none.count() == 0
+
+
 def test_a_very_long_line_takes_no_more_than_its_length(spark):
     import time
     phrases = spark.createDataFrame([("entre dos palabras mas",), ("sinpalabrainterior",)], "phrase string")
